@@ -186,10 +186,22 @@ def lexical_branch(normalized: Column) -> Column:
             .otherwise("other"))
 
 
+def json_string(text: Column) -> Column:
+    """One JSON string literal, non-ASCII kept."""
+    quoted = F.to_json(F.array(F.coalesce(text, F.lit(""))))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
 def serialize_state(state: Column) -> Column:
-    """The four state fields as one JSON text, in fixed order."""
-    return F.to_json(F.struct(*[state[f].alias(f) for f in (
-        "agent_speaking", "recent_turns", "agent_last_utterance", "user_partial")]))
+    """The four state fields as one JSON text, in fixed order, with ", " and ": " separators."""
+    turns = F.transform(state["recent_turns"], lambda t: F.concat(
+        F.lit('{"speaker": '), json_string(t["speaker"]), F.lit(', "text": '),
+        json_string(t["text"]), F.lit("}")))
+    return F.concat(
+        F.lit('{"agent_speaking": '), state["agent_speaking"].cast("string"),
+        F.lit(', "recent_turns": ['), F.array_join(turns, ", "),
+        F.lit('], "agent_last_utterance": '), json_string(state["agent_last_utterance"]),
+        F.lit(', "user_partial": '), json_string(state["user_partial"]), F.lit("}"))
 
 
 def opener_pick(row_id: Column) -> Column:

@@ -4,6 +4,7 @@ Windows over a whole group send the group to one task. These helpers cut a group
 chunks or hash buckets, aggregate the small per-chunk summary, and add the carried state back.
 """
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -27,6 +28,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, column-pruned on reads."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame to every row, as a scalar subquery."""
     packed = one_row.select(F.struct("*").alias("_row")).scalar()
@@ -36,13 +44,15 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 # -- sequences ------------------------------------------------------------------------------------
 
 def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column | None = None,
-               lag=None, lead=None, cumsum=None, last_before=None, next_after=None) -> DataFrame:
+               lag=None, lead=None, cumsum=None, last_before=None, next_after=None,
+               keep_chunk: bool = False) -> DataFrame:
     """Sequence functions over (keys ordered by `order`), computed per chunk of `width` order units.
 
     lag/lead: value on the neighbouring row. cumsum: inclusive running sum. last_before/next_after:
     nearest non-null value strictly before/after the row. Each maps an output name to a column.
     `order` must be unique within the keys; `order_value` is the numeric column that is cut into
-    chunks (default: `order` itself) and must not decrease along the order.
+    chunks (default: `order` itself) and must not decrease along the order. With `keep_chunk` the
+    chunk column stays, so that a following scan needs no new shuffle.
     """
     lag, lead, cumsum = lag or {}, lead or {}, cumsum or {}
     last_before, next_after = last_before or {}, next_after or {}
@@ -50,7 +60,7 @@ def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column |
     order = [order] if isinstance(order, (str, Column)) else list(order)
     key_order = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     position = order_value if order_value is not None else F.col(order[0])
-    d = df.withColumn("_chunk", F.floor(position / F.lit(width)))
+    d = df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(position / F.lit(width)))
     d = d.withColumn("_at", key_order)
     named = {**lag, **lead, **cumsum, **last_before, **next_after}
     for name, c in named.items():
@@ -91,7 +101,9 @@ def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column |
     summary = d.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carried)
     wide = d.select("*", *inside)
     joined = wide.join(summary, [*keys, "_chunk"], "left")
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(c) for c in df.columns if c != "_chunk"]
+    if keep_chunk:
+        out.append(F.col("_chunk"))
     for name in named:
         i, c = F.col("_i_" + name), F.col("_c_" + name)
         if name in cumsum:

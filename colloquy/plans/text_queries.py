@@ -204,8 +204,8 @@ def lexical_branch(spark, sf):
     return D.table(spark, sf, "events").select("event_id", T.lexical_branch(n).alias("branch"))
 
 
-@query("serialize_state", """SELECT conv_id, turn, '{"agent_speaking":false,"recent_turns":[{"speaker":"user","text":"'
- || role || '"}],"agent_last_utterance":"","user_partial":"' || turn::VARCHAR || '"}' AS state
+@query("serialize_state", """SELECT conv_id, turn, '{"agent_speaking": false, "recent_turns": [{"speaker": "user", "text": "'
+ || role || '"}], "agent_last_utterance": "", "user_partial": ' || to_json(text) || '}' AS state
 FROM conversations""")
 def serialize_state(spark, sf):
     c = D.table(spark, sf, "conversations")
@@ -213,7 +213,7 @@ def serialize_state(spark, sf):
         F.lit(False).alias("agent_speaking"), F.array(F.struct(F.lit("user").alias("speaker"),
                                                               F.col("role").alias("text"))
                                                       ).alias("recent_turns"),
-        F.lit("").alias("agent_last_utterance"), F.col("turn").cast("string").alias("user_partial"))
+        F.lit("").alias("agent_last_utterance"), F.col("text").alias("user_partial"))
     return c.withColumn("s", s).select("conv_id", "turn", T.serialize_state(F.col("s")).alias("state"))
 
 
@@ -232,11 +232,12 @@ def stratum(spark, sf):
     return d.select("doc_id", T.stratum(T.cue_flag(F.col("text")), last).alias("stratum"))
 
 
-@query("softmax_t", f"""WITH {D.sql_predictions()}
-SELECT id, list_transform({D.sql_softmax('logits', '1.7::DOUBLE')}, lambda x: round(x, 9)) AS p FROM pred""")
+@query("softmax_t", f"""WITH {D.sql_predictions()}, a AS (SELECT id, {D.sql_softmax('logits', '1.7::DOUBLE')} AS p FROM pred)
+SELECT id, i::INT AS class_idx, round(p[i + 1], 9) AS p FROM a, range(10) t(i)""")
 def softmax_t(spark, sf):
     p = P.softmax(F.col("logits"), 1.7)
-    return D.predictions(spark, sf).select("id", F.transform(p, lambda x: F.round(x, 9)).alias("p"))
+    return D.predictions(spark, sf).select("id", F.posexplode(p).alias("class_idx", "p")
+                                           ).withColumn("p", F.round("p", 9))
 
 
 @query("argmax_first", f"""WITH {D.sql_predictions()},
@@ -303,9 +304,9 @@ def baseline_prompt(spark, sf):
         F.col("props"), "user_speech_during_agent").alias("prompt"))
 
 
-@query("smoothed_target", """SELECT vec_id, list_transform(range(10), lambda i: round(0.01::DOUBLE +
- CASE WHEN i = label THEN 0.9::DOUBLE ELSE 0.0 END, 9)) AS target FROM embeddings""")
+@query("smoothed_target", """SELECT vec_id, i::INT AS class_idx, round(0.01::DOUBLE +
+ CASE WHEN i = label THEN 0.9::DOUBLE ELSE 0.0 END, 9) AS target FROM embeddings, range(10) t(i)""")
 def smoothed_target(spark, sf):
     t = P.smoothed_target(F.col("label"), 10, 0.1)
-    return D.table(spark, sf, "embeddings").select("vec_id", F.transform(
-        t, lambda x: F.round(x, 9)).alias("target"))
+    return D.table(spark, sf, "embeddings").select("vec_id", F.posexplode(t).alias(
+        "class_idx", "target")).withColumn("target", F.round("target", 9))
