@@ -280,7 +280,7 @@ def min_label_gate(spark, sf):
 
 @query("cached_answers", """WITH r AS (SELECT event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id::VARCHAR || '}') AS key FROM events),
 c AS (SELECT DISTINCT key FROM r JOIN events USING (event_id) WHERE user_id % 3 <> 0)
-SELECT event_id, r.key, c.key IS NOT NULL AS valid, CASE WHEN c.key IS NULL THEN 0.5 ELSE 0.75 END AS p_first
+SELECT event_id, r.key, c.key IS NOT NULL AS valid, CASE WHEN c.key IS NULL THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS p_first
 FROM r LEFT JOIN c ON r.key = c.key""")
 def cached_answers(spark, sf):
     e = D.table(spark, sf, "events")
