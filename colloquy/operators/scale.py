@@ -243,19 +243,23 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, *, coarse: int = 32,
 # -- joins ----------------------------------------------------------------------------------------
 
 def hot_safe_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", *,
-                    hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Join many rows to a table that is unique on `key`; keys with over `hot_rows` rows are salted.
+                    hot_rows: int = 1_000_000, hot_keys: int = 1000, salts: int = 64) -> DataFrame:
+    """Join many rows to a table that is unique on `key`, with the heaviest keys salted.
 
-    There are at most rows/hot_rows hot keys. Only their lookup rows are replicated.
+    One map-side combined count finds the (at most `hot_keys`) keys over `hot_rows` rows; any other
+    key holds less than 1/hot_keys of the rows. Only hot lookup rows are replicated. Without hot
+    keys this is the plain join.
     """
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(
-        (F.col("_n") > hot_rows) & F.col(key).isNotNull()).select(key, F.lit(True).alias("_hot"))
-    left = rows.join(hot, key, "left").withColumn("_salt", F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0))
-        .cast("int")).drop("_hot")
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(F.when(
-        F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-        ).drop("_hot")
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(
+        (F.col("_n") > hot_rows) & F.col(key).isNotNull()).orderBy(F.desc("_n")).limit(hot_keys)
+    hot = [r[key] for r in found.select(key).collect()]
+    if not hot:
+        return rows.join(lookup, key, how)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0))
+    left = rows.withColumn("_salt", salt.cast("int"))
+    right = lookup.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(
+        F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
