@@ -4,7 +4,7 @@ Input utterances: (conv_id, idx, caller, act, text, norm, claims, ends_unit, aba
 orders a conversation. Sequence state is computed with `chunk_scan`, so one very long conversation
 is spread over many tasks. `turn_no` counts floor turns (maximal runs of one caller among claiming
 utterances); `stint` is the number of floor turns that were over when the row's caller took or will
-take the floor.
+take the floor; `anchor` is the idx of the last claim by anybody else (-1: none).
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,23 +24,28 @@ def speaker_runs(u: DataFrame, width: int) -> DataFrame:
 
 
 def annotate(u: DataFrame, width: int) -> DataFrame:
-    """Adds neighbours, run_id, turn_no, turn_caller and stint."""
+    """Adds neighbours, run_id, turn_no, turn_caller, stint and anchor."""
     claimed_by = F.when(F.col("claims"), F.col("caller"))
     s = chunk_scan(u, CONV, "idx", width, lag={"prev_caller": F.col("caller")},
                    lead={"next_caller": F.col("caller")},
-                   last_before={"prev_claimer": claimed_by},
+                   last_before={"prev_claimer": claimed_by,
+                                "prev_claim_idx": F.when(F.col("claims"), F.col("idx"))},
                    next_after={"next_claim_idx": F.when(F.col("claims"), F.col("idx"))},
                    keep_chunk=True)
     new_run = F.col("prev_caller").isNull() | (F.col("prev_caller") != F.col("caller"))
     new_turn = F.col("claims") & (F.col("prev_claimer").isNull()
                                   | (F.col("prev_claimer") != F.col("caller")))
     s = s.withColumn("new_turn", new_turn.cast("bigint"))
+    before = F.coalesce("prev_claim_idx", F.lit(-1).cast("bigint"))
     s = chunk_scan(s, CONV, "idx", width, cumsum={"run_id": new_run.cast("bigint"),
-                                                  "turn_no": F.col("new_turn")})
+                                                  "turn_no": F.col("new_turn")},
+                   last_before={"_opened": F.when(F.col("new_turn") == 1, before)})
     s = s.withColumn("turn_caller", F.when(F.col("claims"), F.col("caller")).otherwise(
         F.col("prev_claimer")))
     holds = F.coalesce(F.col("turn_caller") == F.col("caller"), F.lit(False))
-    return s.withColumn("stint", F.col("turn_no") - holds.cast("bigint"))
+    anchor = F.when(F.col("new_turn") == 1, before).when(holds, F.col("_opened")).otherwise(before)
+    return s.withColumn("stint", F.col("turn_no") - holds.cast("bigint")).withColumn(
+        "anchor", anchor).drop("_opened", "prev_claim_idx")
 
 
 def _ordered(idx: str, value: str) -> Column:
@@ -61,7 +66,7 @@ def floor_turns(ann: DataFrame) -> DataFrame:
 
 def current_turn(ann: DataFrame) -> DataFrame:
     """Everything the row's caller has said since the other side's last claim, row included."""
-    w = Window.partitionBy("conv_id", "caller", "stint").orderBy("idx").rowsBetween(
+    w = Window.partitionBy("conv_id", "caller", "anchor").orderBy("idx").rowsBetween(
         Window.unboundedPreceding, 0)
     said = F.array_join(F.collect_list(F.when(F.col("text") != "", F.col("text"))).over(w), " ")
     return ann.withColumn("turn_text", said).withColumn("turn_start", F.min("idx").over(w))
@@ -126,9 +131,9 @@ def turn_complete_examples(ann: DataFrame, width: int) -> DataFrame:
         & (F.col("next_own_act") == K.CONTINUATION_TAG), "continuation")
     pts = s.where(F.col("claims") & (F.col("next_caller") != F.col("caller"))).withColumn(
         "kind", kind).where(F.col("kind").isNotNull())
-    pts = pts.select("conv_id", "idx", "caller", "stint", "kind", F.col("text").alias("last_text"))
-    own = ann.groupBy("conv_id", "caller", "stint").agg(_ordered("idx", "text").alias("own"))
-    p = pts.join(own, ["conv_id", "caller", "stint"])
+    pts = pts.select("conv_id", "idx", "caller", "stint", "anchor", "kind", F.col("text").alias("last_text"))
+    own = ann.groupBy("conv_id", "caller", "anchor").agg(_ordered("idx", "text").alias("own"))
+    p = pts.join(own, ["conv_id", "caller", "anchor"])
     p = p.withColumn("before", _said(F.filter("own", lambda r: r["idx"] < F.col("idx")))).drop("own")
     p = p.withColumn("user_partial", F.trim(F.concat_ws(" ", "before", "last_text")))
     p = with_history(p, floor_turns(ann), "stint", "caller")

@@ -12,20 +12,20 @@ from colloquy.functions.hashing import hex_int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (`spark.checkpoint.dir`). Only a local session may do without:
+    it gets a temporary folder of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def written(df: DataFrame) -> DataFrame:

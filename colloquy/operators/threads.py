@@ -28,9 +28,10 @@ def thread_roots(messages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     for _ in range(max(1, max_depth).bit_length() + 1):
         if state.where("NOT done").isEmpty():
             break
-        step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("nxt"))
-        moved = hot_safe_lookup(state.where("NOT done"), step, "ptr").select(
-            "id", F.col("nxt").alias("ptr"), (F.col("nxt") == F.col("ptr")).alias("done"))
+        step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("nxt"),
+                            F.col("done").alias("at_root"))
+        moved = hot_safe_lookup(state.where("NOT done").drop("done"), step, "ptr").select(
+            "id", F.col("nxt").alias("ptr"), F.col("at_root").alias("done"))
         state = written(state.where("done").unionByName(moved))
     return state.select("id", F.when(F.col("done"), F.col("ptr")).alias("root"))
 

@@ -22,7 +22,8 @@ an2 AS (SELECT *, (sum((prev_caller IS NULL OR prev_caller <> caller)::BIGINT) O
   (sum(new_turn) OVER w)::BIGINT AS turn_no,
   CASE WHEN claims THEN caller ELSE prev_claimer END AS turn_caller
   FROM an1 WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
-ann AS (SELECT *, turn_no - coalesce(turn_caller = caller, FALSE)::BIGINT AS stint FROM an2),
+ann AS (SELECT a.*, turn_no - coalesce(turn_caller = caller, FALSE)::BIGINT AS stint, coalesce((SELECT max(x.idx) FROM um x
+  WHERE x.conv_id = a.conv_id AND x.claims AND x.caller <> a.caller AND x.idx < a.idx), -1) AS anchor FROM an2 a),
 turns AS (SELECT conv_id, turn_no, min(caller) AS caller, string_agg(text, ' ' ORDER BY idx) AS text,
   min(idx) AS first_idx, max(idx) AS last_idx FROM ann WHERE claims GROUP BY 1, 2)"""
 
@@ -51,7 +52,7 @@ def floor_turns(spark, sf):
 
 @query("current_turn", f"""WITH {SQL_ANN} SELECT conv_id, idx, caller,
  coalesce(string_agg(CASE WHEN text <> '' THEN text END, ' ') OVER w, '') AS turn_text, min(idx) OVER w AS turn_start
- FROM ann WINDOW w AS (PARTITION BY conv_id, caller, stint ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+ FROM ann WINDOW w AS (PARTITION BY conv_id, caller, anchor ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def current_turn(spark, sf):
     return O.current_turn(annotated(spark, sf)).select("conv_id", "idx", "caller", "turn_text",
                                                        "turn_start")
@@ -83,9 +84,9 @@ tc0 AS (SELECT *, next_claim_idx IS NOT NULL AND (next_own_idx IS NULL OR next_c
   FROM ann WHERE claims AND next_caller <> caller),
 tc1 AS (SELECT *, CASE WHEN answered AND ends_unit THEN 'complete'
   WHEN NOT answered AND NOT ends_unit AND NOT abandoned AND next_own_act = '+' THEN 'continuation' END AS kind FROM tc0),
-tc2 AS (SELECT p.conv_id, p.idx, p.caller, p.stint, p.kind, p.text AS last_text, coalesce(string_agg(
+tc2 AS (SELECT p.conv_id, p.idx, p.caller, p.stint, p.anchor, p.kind, p.text AS last_text, coalesce(string_agg(
   CASE WHEN a.text <> '' THEN a.text END, ' ' ORDER BY a.idx), '') AS before
-  FROM tc1 p LEFT JOIN ann a ON a.conv_id = p.conv_id AND a.caller = p.caller AND a.stint = p.stint AND a.idx < p.idx
+  FROM tc1 p LEFT JOIN ann a ON a.conv_id = p.conv_id AND a.caller = p.caller AND a.anchor = p.anchor AND a.idx < p.idx
   WHERE p.kind IS NOT NULL GROUP BY ALL),
 tc AS (SELECT *, trim(before || ' ' || last_text) AS user_partial FROM tc2)"""
 

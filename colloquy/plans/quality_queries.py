@@ -171,15 +171,17 @@ def sql_percentiles(keys: str, where: str = "TRUE") -> str:
 
 
 PCT = ("p50", "p95", "p99", "mean", "max")
-SQL_PCT = ", ".join(f"round({c}, 6) AS {c}" for c in PCT)
+SQL_PCT = ", ".join(f"round({c}, 9) AS {c}" for c in PCT)
 
 
 @query("latency_percentiles", f'WITH {SQL_SAMPLES}, {sql_percentiles("row")} SELECT row, component, n, {SQL_PCT} FROM lp')
 def latency_percentiles(spark, sf):
-    return r6(Q.latency_percentiles(samples(spark, sf)), *PCT)
+    p = Q.latency_percentiles(samples(spark, sf))
+    return p.select("row", "component", "n", *[F.round(c, 9).alias(c) for c in PCT])
 
 
-@query("latency_percentiles_approx")
+@query("latency_percentiles_approx", f"""WITH {SQL_SAMPLES} SELECT row, component, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99
+FROM (UNPIVOT smp ON total_ms, pack_ms, encode_ms, forward_ms INTO NAME component VALUE ms) GROUP BY 1, 2""")
 def latency_percentiles_approx(spark, sf):
     return Q.latency_percentiles_approx(samples(spark, sf))
 
