@@ -2,16 +2,26 @@
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lit(x):
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
 def softmax(logits: Column, temperature=1.0) -> Column:
     t = _lit(temperature)
-    z = F.transform(logits, lambda x: x / t)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+
+    def shares(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x),
+                   lambda total: F.transform(e, lambda x: x / total))
+
+    def exps(z):
+        return let(F.array_max(z), lambda m: F.transform(z, lambda x: F.exp(x - m)))
+
+    return let(let(F.transform(logits, lambda x: x / t), exps), shares)
 
 
 def argmax_first(p: Column) -> Column:

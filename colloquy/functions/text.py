@@ -9,6 +9,8 @@ from colloquy import constants as K
 
 # ASCII, Latin-1 letters and the apostrophe variants: text made of these is unchanged by NFKC.
 _MAYBE_COMPAT = "[^\\x00-\\x7FÀ-ÿ‘’ʼ–—“”]"
+# The same without the apostrophe variants: text outside it needs no character mapping at all.
+_NEEDS_MAPPING = "[^\\x00-\\x5F\\x61-\\x7FÀ-ÿ–—“”]"
 
 
 def _compat_table() -> tuple[str, str]:
@@ -37,13 +39,17 @@ def nfkc_stable(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def normalize_text(text: Column) -> Column:
-    """Recogniser-style text: lower case, letters/digits/marks/inner apostrophes, single spaces."""
-    s = F.when(text.rlike(_MAYBE_COMPAT), F.translate(text, _COMPAT_FROM, _COMPAT_TO)
-               ).otherwise(text)
-    s = F.regexp_replace(s, "[’‘ʼ`]", "'")
-    s = F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}\p{M}']+", " ")
-    s = F.regexp_replace(s, r"(?<![\p{L}\p{N}])'|'(?![\p{L}\p{N}])", " ")
-    return F.trim(F.regexp_replace(s, " +", " "))
+    """Recogniser-style text: lower case, letters/digits/marks/inner apostrophes, single spaces.
+
+    Ordinary text takes one scan, one lower-casing and one replacement; mapping characters and
+    judging apostrophes happens only where there are any.
+    """
+    mapped = F.regexp_replace(F.translate(text, _COMPAT_FROM, _COMPAT_TO), "[’‘ʼ`]", "'")
+    s = F.when(text.rlike(_NEEDS_MAPPING), mapped).otherwise(text)
+    spaced = F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}\p{M}']+", " ")
+    judged = F.regexp_replace(F.regexp_replace(
+        spaced, r"(?<![\p{L}\p{N}])'|'(?![\p{L}\p{N}])", " "), " +", " ")
+    return F.trim(F.when(F.contains(s, F.lit("'")), judged).otherwise(spaced))
 
 
 def words(normalized: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy import constants as K
 from colloquy.operators.policy import Policy, barge_policy, pause_policy
-from colloquy.operators.scale import chunk_scan, covering
+from colloquy.operators.scale import chunk_scan, covering, written
 
 BUCKET_MS = 10_000
 SCAN_MS = 600_000
@@ -190,7 +190,8 @@ def policy_acts(seg: DataFrame, probs: DataFrame, route_labels, budgets: dict,
     over = over.withColumn("d", d).withColumn("decided_at_ms", at).withColumn(
         "effective_ms", at + float(budgets[OVER])).withColumn(
         "stops", F.col("d.action") == "stop_and_listen")
-    cuts = cut_lines(over)
+    over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
+    cuts = written(cut_lines(over))
     lines = spoken_lines(seg, cuts)
     barge = _met(over, cuts).select("*", "d.*").withColumn("event", F.lit(OVER)).withColumn(
         "budget_ms", F.lit(float(budgets[OVER]))).withColumn("timer", F.lit(False))
@@ -221,7 +222,8 @@ def naive_acts(seg: DataFrame, silence_ms: int = K.NAIVE_SILENCE_MS, vad_ms: int
     """(acts, lines) of an agent with a silence timeout that stops at any user speech."""
     over = speech_over_agent(seg).withColumn("stops", F.lit(True)).withColumn(
         "effective_ms", F.col("onset").cast("double"))
-    cuts = cut_lines(over)
+    over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
+    cuts = written(cut_lines(over))
     lines = spoken_lines(seg, cuts)
     none = F.lit(None).cast("string")
     barge = _met(over, cuts).select(
@@ -256,7 +258,8 @@ def wanted_acts(seg: DataFrame, expect: DataFrame, budgets: dict, cfg: Policy =
     over = over.withColumn("action", F.coalesce("want", F.lit("keep_talking"))).withColumn(
         "decided_at_ms", at).withColumn("effective_ms", at + float(budgets[OVER])).withColumn(
         "stops", F.col("action") == "stop_and_listen")
-    cuts = cut_lines(over)
+    over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
+    cuts = written(cut_lines(over))
     lines = spoken_lines(seg, cuts)
     both = {"reason": F.lit("wanted"), "timer": F.lit(False), "escalate": F.coalesce(
         "w_esc", F.lit(False))}

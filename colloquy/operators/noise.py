@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H, text as T
+from colloquy.functions.probs import let
 from colloquy.operators.scale import attach_row
 
 
@@ -27,19 +28,25 @@ def asr_noise(text: Column, row_id: Column, level: Column, vocab: Column, seed,
         return F.md5(F.concat_ws(":", key, part))
 
     def word(w, i):
-        h = draw(i.cast("string"))
-        u = H.unit32(h)
-        swap = F.get(vocab, (H.hex_int(h, 9, 8) % F.size(vocab)).cast("int"))
-        return F.when(u < level / 2, F.lit(None)).when(u < level, swap).otherwise(w)
-
-    words = T.words(T.normalize_text(text))
-    kept = F.filter(F.transform(words, word), lambda w: w.isNotNull())
-    h = draw(F.lit("tail"))
-    size = F.size(kept)
-    drop = F.when((size > 0) & (H.unit32(h) < level), 1 + H.hex_int(h, 9, 8) % F.greatest(
-        F.least(F.lit(2), size), F.lit(1))).otherwise(0).cast("int")
-    noisy = F.array_join(F.slice(kept, F.lit(1), size - drop), " ")
-    return F.when(level <= 0, F.array_join(words, " ")).otherwise(noisy)
+        def chosen(h):
+            swap = F.get(vocab, (H.hex_int(h, 9, 8) % F.size(vocab)).cast("int"))
+            return let(H.unit32(h), lambda u: F.when(u < level / 2, F.lit(None)).when(
+                u < level, swap).otherwise(w))
+
+        return let(draw(i.cast("string")), chosen)
+
+    def cut(kept):
+        size = F.size(kept)
+        drop = let(draw(F.lit("tail")), lambda h: F.when(
+            (size > 0) & (H.unit32(h) < level), 1 + H.hex_int(h, 9, 8) % F.greatest(
+                F.least(F.lit(2), size), F.lit(1))).otherwise(0).cast("int"))
+        return F.array_join(F.slice(kept, F.lit(1), size - drop), " ")
+
+    def noisy(words):
+        kept = F.filter(F.transform(words, word), lambda w: w.isNotNull())
+        return F.when(level <= 0, F.array_join(words, " ")).otherwise(let(kept, cut))
+
+    return let(let(T.normalize_text(text), T.words), noisy)
 
 
 def noisy_rows(examples: DataFrame, vocab: DataFrame, seed=K.SPLIT_SEED, levels=K.NOISE_LEVELS

@@ -20,13 +20,18 @@ def _text_key(text: Column) -> Column:
     return F.sha2(T.normalize_text(text), 256)
 
 
+def _ids_with_text_in(rows: DataFrame, others: DataFrame, text: str) -> DataFrame:
+    """Ids of `rows` whose normalised text occurs among `others`. Each text is normalised once."""
+    keys = S.written(rows.select("id", _text_key(F.col(text)).alias("_k")))
+    seen = S.written(others.select(_text_key(F.col(text)).alias("_k")).distinct()).withColumn(
+        "_seen", F.lit(True))
+    return S.hot_safe_lookup(keys, seen, "_k", "inner").select("id")
+
+
 def dedupe_against_train(df: DataFrame, text: str = "text") -> DataFrame:
-    """Drops calib/test rows whose normalised text also occurs in train."""
-    d = df.withColumn("_k", _text_key(F.col(text)))
-    seen = d.where("split = 'train'").select("_k").distinct().withColumn("_seen", F.lit(True))
-    held = S.hot_safe_lookup(d.where("split <> 'train'"), seen, "_k")
-    kept = held.where("_seen IS NULL").select(*df.columns)
-    return df.where("split = 'train'").unionByName(kept)
+    """Drops calib/test rows whose normalised text also occurs in train. `id` must be unique."""
+    repeats = _ids_with_text_in(df.where("split <> 'train'"), df.where("split = 'train'"), text)
+    return df.join(repeats, "id", "left_anti")
 
 
 def dedupe_report(df: DataFrame, text: str = "text") -> DataFrame:
@@ -60,10 +65,8 @@ def train_pool(cands: DataFrame, held_out: DataFrame, n: int, seed) -> DataFrame
 
 
 def _not_held_out(cands: DataFrame, held_out: DataFrame) -> DataFrame:
-    banned = held_out.select(_text_key(F.col("text")).alias("_k")).distinct().withColumn(
-        "_b", F.lit(True))
-    t = cands.where("split = 'train'").withColumn("_k", _text_key(F.col("text")))
-    return S.hot_safe_lookup(t, banned, "_k").where("_b IS NULL").select(*cands.columns)
+    train = cands.where("split = 'train'")
+    return train.join(_ids_with_text_in(train, held_out, "text"), "id", "left_anti")
 
 
 def train_pool_report(cands: DataFrame, held_out: DataFrame, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from colloquy import constants as K
 from colloquy.operators.policy import Policy, barge_policy, pause_policy
@@ -17,7 +17,9 @@ PAUSE_SCHEMA = StructType([
 class PauseTimers(StatefulProcessor):
     """Two event-time timers per call: a pause after `vad` ms of silence, the net after `wait` ms.
 
-    Rows: (call_id, start_ms, end_ms). State is the last end seen; it goes once the net has fired.
+    Rows: (call_id, start_ms, end_ms). State is the last end seen and whether its pause was
+    reported; it goes once the net has fired. New rows of a batch are handled before the batch's
+    expired timers, so a row that ends a long enough silence reports what is still due.
     """
 
     def __init__(self, vad: int = K.VAD_PAUSE_MS, wait: int = K.MAX_WAIT_MS) -> None:
@@ -25,7 +27,8 @@ class PauseTimers(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("end_ms", LongType())]))
+        self.last = handle.getValueState("last", StructType([
+            StructField("end_ms", LongType()), StructField("paused", BooleanType())]))
 
     def _clear(self) -> None:
         for t in list(self.handle.listTimers()):
@@ -33,32 +36,34 @@ class PauseTimers(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         spans = sorted((int(s), int(e)) for pdf in rows for s, e in zip(pdf.start_ms, pdf.end_ms))
-        out, end = [], self.last.get()[0] if self.last.exists() else None
+        end, paused = self.last.get() if self.last.exists() else (None, False)
+        out = []
         for s, e in spans:
-            if end is not None and s - end >= self.vad:
-                # timers that have not fired yet, because the watermark is behind this row
-                for at, kind in ((self.vad, "user_pause"), (self.wait, "max_wait")):
-                    if s - end >= at and not self._fired(end + at, timerValues):
-                        out.append((int(key[0]), kind, end, at))
-            end = e if end is None else max(end, e)
+            if end is not None:
+                if s - end >= self.vad and not paused:
+                    out.append((int(key[0]), "user_pause", end, self.vad))
+                if s - end >= self.wait:
+                    out.append((int(key[0]), "max_wait", end, self.wait))
+            if end is None or e > end:
+                end, paused = e, False
         self._clear()
-        self.last.update((end,))
-        self.handle.registerTimer(end + self.vad)
+        self.last.update((end, paused))
+        if not paused:
+            self.handle.registerTimer(end + self.vad)
         self.handle.registerTimer(end + self.wait)
         if out:
             yield pd.DataFrame(out, columns=PAUSE_SCHEMA.names)
 
-    @staticmethod
-    def _fired(at: int, timer_values) -> bool:
-        return at < timer_values.getCurrentWatermarkInMs()
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.last.exists():
             return
         end, at = self.last.get()[0], expiredTimerInfo.getExpiryTimeInMs()
-        kind = "max_wait" if at - end >= self.wait else "user_pause"
-        if kind == "max_wait":
+        if at - end >= self.wait:
             self.last.clear()
+            kind = "max_wait"
+        else:
+            self.last.update((end, True))
+            kind = "user_pause"
         yield pd.DataFrame([(int(key[0]), kind, end, at - end)], columns=PAUSE_SCHEMA.names)
 
     def close(self) -> None:
