@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import decontam, mixing, sharding, simhash, substring_dedup, topk, warc
+from colloquy.llm import decontam, licenses, mixing, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
 from colloquy.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,68 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 @query
 def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def taught_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, "doc_id", "text", taught_labels(spark, sf_dir), "doc_id", "toxic")
+    return (toxicity.scored(docs, "text", lexicon)
+            .select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.learn(docs, "doc_id", "text", taught_labels(spark, sf_dir), "doc_id", "quality")
+    return (quality.scored(docs, "text", network)
+            .select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is source/lang/doc_id, so that sources and languages are its directories."""
+    name = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select(name.alias("path"), "text")
+    return (licenses.license_scan(docs, "path", "text")
+            .withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long")))
+
+
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t.lower()}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+_CUED = lambda x: "(" + " OR ".join(f"contains({x}, '{c}')" for c in licenses.CUES) + ")"
+SQL["op1_licenses"] = rf"""
+WITH base AS (SELECT doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id::VARCHAR) AS path, lower(text) AS text FROM documents),
+cued AS (SELECT path, text FROM base WHERE {_CUED('text')}),
+units AS (SELECT path, 0 AS unit, text AS segment FROM cued UNION ALL
+  SELECT path, generate_subscripts(s, 1) AS unit, unnest(s) AS segment FROM (SELECT path, list_filter(
+    string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: {_CUED('x')}) AS s FROM cued)),
+tf AS (SELECT path, unit, term, count(*) AS n FROM (SELECT path, unit, unnest(regexp_extract_all(segment, '{licenses.TERM}')) AS term FROM units) GROUP BY ALL),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(text, '{licenses.TERM}')) AS term
+       FROM (VALUES {_TEMPLATES}) t(template, license, text)) GROUP BY ALL),
+units_n AS (SELECT count(*) AS units FROM (SELECT DISTINCT path, unit FROM tf WHERE unit > 0)),
+df AS (SELECT term, count(*) AS df FROM tf WHERE unit > 0 GROUP BY term),
+idf AS (SELECT term, ln((1.0 + units) / (1.0 + coalesce(df, 0))) + 1.0 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), units_n),
+tv AS (SELECT template, license, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (term)),
+len AS (SELECT path, unit, sqrt(sum((n * coalesce(idf, ln(1.0 + units) + 1.0)) ** 2)) AS length FROM tf LEFT JOIN idf USING (term), units_n GROUP BY ALL),
+dots AS (SELECT path, unit, template, license, sum(n * idf * w) AS dot FROM tf JOIN tv USING (term) GROUP BY ALL),
+scored AS (SELECT *, round(dot / length, 6) AS score FROM dots JOIN len USING (path, unit)),
+own AS (SELECT path, license, CASE WHEN unit = 0 THEN 'file' ELSE 'header' END AS origin, score FROM scored
+        WHERE (unit = 0 AND score >= {licenses.FILE}) OR (unit > 0 AND score >= {licenses.HEADER})
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY unit > 0, score DESC, template) = 1),
+given AS (SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS folder, license, path FROM own WHERE origin = 'file'
+          QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '(^|/)[^/]*$', '') ORDER BY score DESC, path) = 1),
+homes AS (SELECT DISTINCT regexp_replace(path, '(^|/)[^/]*$', '') AS home FROM base),
+inh AS (SELECT home, license, given.path FROM homes JOIN given ON folder = '' OR home = folder OR starts_with(home, folder || '/')
+        QUALIFY row_number() OVER (PARTITION BY home ORDER BY length(folder) DESC) = 1)
+SELECT base.doc_id, base.path, coalesce(own.license, inh.license) AS license,
+       CASE WHEN own.license IS NOT NULL THEN own.origin WHEN inh.license IS NOT NULL THEN 'inherited' END AS origin, own.score,
+       CASE WHEN own.license IS NOT NULL THEN base.path ELSE inh.path END AS licensed_by
+FROM base LEFT JOIN own ON own.path = base.path LEFT JOIN inh ON inh.home = regexp_replace(base.path, '(^|/)[^/]*$', '')
+"""
