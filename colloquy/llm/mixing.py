@@ -63,19 +63,20 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str, text: str, source: str, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
-        most: float = 2.0, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+        most: float = 2.0, block: int = BLOCK, seed: str = "mix", row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Mix all documents: (one row per document, one row per piece of the mix in slot order).
 
     Per document: _row, _id, _source and size (words), source_size, target (its source's), taken (words the mix takes,
     repeats counted). Pieces: slot, src, rank, _row, doc_id, first (word of the document), words.
     A source's documents, shuffled by MD5 of seed and id, form a stream of words that repeats; rank r of a source takes its
     words [r x block, (r + 1) x block), the last rank only up to round(target). As targets end at `most` times the
-    source, no document is taken more often than that. Null texts have no words; a null source is a source of its
+    source, no document is taken more often than that; what it takes of a document is whole copies and
+    then its first words. `row` names a column that tells rows apart, else they are numbered. Null texts have no words; a null source is a source of its
     own, the last; null ids and repeated rows take part like others. No words at all: targets and taken are 0.
     """
     size = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(
         F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != ""))).cast("long")
-    d = docs.withColumns({"size": size, "_row": F.monotonically_increasing_id()})
+    d = docs.withColumns({"size": size, "_row": F.col(row) if row else F.monotonically_increasing_id()})
     light = d.select("_row", F.col(doc_id).alias("_id"), F.col(source).alias("_source"), "size")
     sizes = light.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumnRenamed("_source", "source")
     targets = saved(source_targets(sizes, weights, share, most))
@@ -95,3 +96,22 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, *, weights: tuple[
     taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
     rows = placed.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     return rows, pieces
+
+
+def mixed_documents(docs: DataFrame, doc_id: str, text: str, source: str, n_chars: str | None = None, **options) -> DataFrame:
+    """The mix as documents, with the columns of `docs`: a row per whole copy taken, and one of the first words of a partly taken one.
+
+    Documents of which the mix takes nothing have no row. `n_chars`, if given, is set anew for cut texts. The input is
+    written once with a row number, since its texts meet their counts by it.
+    """
+    d = saved(docs.withColumn("_n", F.monotonically_increasing_id()))
+    rows, _ = mix(d, doc_id, text, source, row="_n", **options)
+    taken = rows.where("taken > 0").select(F.col("_row").alias("_n"), "size", "taken")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    copies = F.sequence(F.lit(1), whole + (rest > 0).cast("int"))
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    out = d.join(taken.withColumns({"_whole": whole, "_rest": rest, "_copy": F.explode(copies)}), "_n")
+    cut = F.col("_copy") > F.col("_whole")
+    out = out.withColumn("_text", F.when(cut, F.array_join(F.slice(words, 1, F.col("_rest")), " ")).otherwise(F.col(text)))
+    named = {text: F.col("_text")} | ({n_chars: F.when(cut, F.length("_text")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)} if n_chars else {})
+    return out.select(*[named[c].alias(c) if c in named else F.col(c) for c in docs.columns])

@@ -232,6 +232,18 @@ def scored(docs: DataFrame, text: str, lexicon: Lexicon, *, raw: bool = False) -
     return base.mapInArrow(work, schema)
 
 
+def filtered(docs: DataFrame, text: str, lexicon: Lexicon, *, below: float) -> DataFrame:
+    """The rows, all columns, that score less than `below`."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(lexicon.weights, lexicon.exceptions, lexicon.scale)
+        for whole in batches:
+            for batch in text_slices(whole, text):
+                yield batch.filter(pa.array([own.score(t or "") < below for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of all ids that is never learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
