@@ -76,8 +76,8 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, *, weights: tuple[
     """
     size = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(
         F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != ""))).cast("long")
-    d = docs.withColumns({"size": size, "_row": F.col(row) if row else F.monotonically_increasing_id()})
-    light = d.select("_row", F.col(doc_id).alias("_id"), F.col(source).alias("_source"), "size")
+    light = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), F.col(doc_id).alias("_id"),
+                        F.col(source).alias("_source"), size.alias("size"))
     sizes = light.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumnRenamed("_source", "source")
     targets = saved(source_targets(sizes, weights, share, most))
     named = targets.select(F.col("source").alias("_name"), "src", "source_size", "target")
@@ -106,8 +106,8 @@ def mixed_documents(docs: DataFrame, doc_id: str, text: str, source: str, n_char
     """
     d = saved(docs.withColumn("_n", F.monotonically_increasing_id()))
     rows, _ = mix(d, doc_id, text, source, row="_n", **options)
-    taken = rows.where("taken > 0").select(F.col("_row").alias("_n"), "size", "taken")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    taken = rows.where("taken > 0").select(F.col("_row").alias("_n"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     copies = F.sequence(F.lit(1), whole + (rest > 0).cast("int"))
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     out = d.join(taken.withColumns({"_whole": whole, "_rest": rest, "_copy": F.explode(copies)}), "_n")

@@ -33,11 +33,12 @@ def shard(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     `key` is a long; a null key counts as 0. A null text counts as empty. Equal keys share a shard. Slots follow
     the MD5 of the key, then the key and the text's checksum, so they do not depend on the partitioning; rows
     equal in these take their slots in any order. An empty table gives an empty result. Added names replace
-    columns of the same name.
+    other columns of the same name.
     """
     k = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
     t = F.coalesce(F.col(text), F.lit(""))
     added = {"size": (F.octet_length(t) + 16).cast("long"), "text_crc32": F.crc32(t.cast("binary")),
              "shard": jump_shard(k, shards), "grown_shard": jump_shard(k, shards + 1), "_digest": F.md5(k.cast("string"))}
-    d = docs.withColumns(added)
+    kept = [c for c in docs.columns if c in (key, text) or c not in ("slot", *added)]
+    d = docs.select(*kept, *[c.alias(n) for n, c in added.items()])
     return prefix_sums(d, ["shard"], "_digest", [key, "text_crc32"], F.lit(1).cast("long"), "slot").drop("_digest")
