@@ -31,7 +31,7 @@ SUPPORT, ODDS = 5, 2.5
 
 _LOOKALIKE = re.compile("[" + "".join(HOMOGLYPHS) + "​-‏⁠﻿­]")
 _SUBSTITUTE = re.compile(r"(?<=[^\W\d_])[" + "".join(DIGITS) + r"]+|[" + "".join(DIGITS) + r"]+(?=[^\W\d_])|(?<=[^\W\d_])["
-                         + re.escape("".join(SIGNS)) + r"]{1,2}(?=[^\W\d_])")
+                         + re.escape("".join(SIGNS)) + r"]{1,2}(?=[^\W\d_])|(?<!\S)\$(?=[^\W\d_])")
 _BLANK = re.compile(r"[\W_]+")
 _TABLE = str.maketrans(HOMOGLYPHS | {c: None for c in "​‌‍‎‏⁠﻿­"})
 _LETTERS = str.maketrans(DIGITS | SIGNS)
