@@ -58,6 +58,12 @@ def words(normalized: Column) -> Column:
         F.split(normalized, " "))
 
 
+def padded(number: Column, width: int) -> Column:
+    """Digits with leading zeros up to `width`; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def n_words(normalized: Column) -> Column:
     return F.when(normalized == "", F.lit(0)).otherwise(
         F.length(normalized) - F.length(F.replace(normalized, F.lit(" "), F.lit(""))) + 1)

@@ -222,9 +222,13 @@ def resume_todo(cands: DataFrame, labels: DataFrame, model: str, prompt: str) ->
 
 
 def latest_label(labels: DataFrame, at: str = "at") -> DataFrame:
-    """The last record per id. Aggregates before the shuffle, so repeated ids stay cheap."""
-    return labels.groupBy(F.col("id").alias("_id")).agg(F.max_by(
-        F.struct(*labels.columns), at).alias("r")).select("r.*")
+    """The last record per id: the greatest `at`, then the greatest `seq` if there is one (the
+    record's place in its log), then the greatest other fields, so input order never decides.
+    Aggregates before the shuffle, so repeated ids stay cheap."""
+    first = [c for c in (at, "seq") if c in labels.columns]
+    order = first + [c for c in labels.columns if c not in first]
+    return labels.groupBy(F.col("id").alias("_id")).agg(F.max(F.struct(*order)).alias("r")).select(
+        *[F.col(f"r.{c}").alias(c) for c in labels.columns])
 
 
 def labelled_rows(cands: DataFrame, labels: DataFrame, split: str, guidelines: str) -> DataFrame:

@@ -44,17 +44,17 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 # -- sequences ------------------------------------------------------------------------------------
 
 def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column | None = None,
-               lag=None, lead=None, cumsum=None, last_before=None, next_after=None,
+               lag=None, lead=None, cumsum=None, cummax=None, last_before=None, next_after=None,
                keep_chunk: bool = False) -> DataFrame:
     """Sequence functions over (keys ordered by `order`), computed per chunk of `width` order units.
 
-    lag/lead: value on the neighbouring row. cumsum: inclusive running sum. last_before/next_after:
+    lag/lead: value on the neighbouring row. cumsum, cummax: inclusive running sum, maximum. last_before/next_after:
     nearest non-null value strictly before/after the row. Each maps an output name to a column.
     `order` must be unique within the keys; `order_value` is the numeric column that is cut into
     chunks (default: `order` itself) and must not decrease along the order. With `keep_chunk` the
     chunk column stays, so that a following scan needs no new shuffle.
     """
-    lag, lead, cumsum = lag or {}, lead or {}, cumsum or {}
+    lag, lead, cumsum, cummax = lag or {}, lead or {}, cumsum or {}, cummax or {}
     last_before, next_after = last_before or {}, next_after or {}
     keys = list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
@@ -62,7 +62,7 @@ def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column |
     position = order_value if order_value is not None else F.col(order[0])
     d = df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(position / F.lit(width)))
     d = d.withColumn("_at", key_order)
-    named = {**lag, **lead, **cumsum, **last_before, **next_after}
+    named = {**lag, **lead, **cumsum, **cummax, **last_before, **next_after}
     for name, c in named.items():
         d = d.withColumn("_v_" + name, c)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
@@ -88,6 +88,11 @@ def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column |
                                         ).alias("_i_" + name))
             totals.append(F.sum(v).alias("_t_" + name))
             carried.append(F.sum("_t_" + name).over(earlier).alias("_c_" + name))
+        elif name in cummax:
+            inside.append(F.max(v).over(w.rowsBetween(Window.unboundedPreceding, 0)
+                                        ).alias("_i_" + name))
+            totals.append(F.max(v).alias("_t_" + name))
+            carried.append(F.max("_t_" + name).over(earlier).alias("_c_" + name))
         elif name in last_before:
             inside.append(F.last(v, ignorenulls=True).over(before).alias("_i_" + name))
             totals.append(F.max_by(v, F.when(v.isNotNull(), F.col("_at"))).alias("_t_" + name))
@@ -108,6 +113,8 @@ def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column |
         i, c = F.col("_i_" + name), F.col("_c_" + name)
         if name in cumsum:
             out.append((F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))).alias(name))
+        elif name in cummax:
+            out.append(F.greatest(i, c).alias(name))
         elif name in lag or name in lead:
             out.append(F.coalesce(i, c)["v"].alias(name))
         else:

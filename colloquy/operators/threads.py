@@ -8,9 +8,6 @@ from colloquy import constants as K
 from colloquy.functions import hashing as H, text as T
 from colloquy.operators.scale import hot_safe_lookup, written
 
-MAX_DEPTH = 10_000
-
-
 def known_parents(messages: DataFrame) -> DataFrame:
     """(id, parent_id) with parents that are absent from the table set to NULL."""
     ids = messages.select(F.col("id").alias("parent_id"), F.lit(True).alias("_in"))
@@ -18,14 +15,15 @@ def known_parents(messages: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.col("_in"), F.col("parent_id")).alias("parent_id"))
 
 
-def thread_roots(messages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def thread_roots(messages: DataFrame) -> DataFrame:
     """(id, root): pointer doubling, so ceil(log2(depth)) rounds of one lookup join each.
 
-    A message on a reply cycle has no root; it is reported with a NULL root after the round cap.
+    No chain is deeper than there are messages, so what has not arrived after log2 of their number
+    rounds stands on, or below, a reply cycle; it has no root and is reported with NULL.
     """
     state = written(known_parents(messages).select("id", F.coalesce("parent_id", "id").alias("ptr"),
                                                    F.col("parent_id").isNull().alias("done")))
-    for _ in range(max(1, max_depth).bit_length() + 1):
+    for _ in range(state.count().bit_length() + 1):
         if state.where("NOT done").isEmpty():
             break
         step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("nxt"),
@@ -126,7 +124,7 @@ def intent_examples(rows: DataFrame, intents) -> DataFrame:
     from colloquy.operators.sampling import dedupe_against_train
 
     keep = rows.where(F.col("intent").isin(*intents, K.OUT_OF_SCOPE))
-    rid = F.concat_ws("-", F.lit("intent"), "split", F.lpad(F.col("n").cast("string"), 5, "0"))
+    rid = F.concat_ws("-", F.lit("intent"), "split", T.padded(F.col("n"), 5))
     e = keep.select(rid.alias("id"), "split", "text", F.col("intent").alias("label"), F.when(
         F.col("intent") == K.OUT_OF_SCOPE, "oos").otherwise("in_scope").alias("kind"))
     return dedupe_against_train(e).withColumn("agent_last", T.opener_pick(F.col("id")))

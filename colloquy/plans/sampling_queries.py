@@ -211,18 +211,18 @@ def cap_rows(spark, sf):
 # -- label records: hand labels from quality, machine labels from toxic --------------------------
 
 SQL_LABELS = """
-hand AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, 8, '0') AS id, doc_id * 10 AS "at", 'v1' AS guidelines, 'h1' AS labeller,
+hand AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, greatest(8, length(doc_id::VARCHAR))::INTEGER, '0') AS id, doc_id * 10 AS "at", 'v1' AS guidelines, 'h1' AS labeller,
    CASE WHEN doc_id % 11 = 0 THEN 'skip' WHEN quality = 1 THEN 'true' ELSE 'false' END AS label FROM labels
- UNION ALL SELECT 'doc-' || lpad(doc_id::VARCHAR, 8, '0'), doc_id * 10 + 5, 'v1', 'h1',
+ UNION ALL SELECT 'doc-' || lpad(doc_id::VARCHAR, greatest(8, length(doc_id::VARCHAR))::INTEGER, '0'), doc_id * 10 + 5, 'v1', 'h1',
    CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END FROM labels WHERE doc_id % 5 = 0),
-machine AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, 8, '0') AS id, doc_id * 10 AS "at", 'm1' AS model,
+machine AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, greatest(8, length(doc_id::VARCHAR))::INTEGER, '0') AS id, doc_id * 10 AS "at", 'm1' AS model,
    CASE WHEN doc_id % 7 = 0 THEN 'v2' ELSE 'v3' END AS prompt,
    CASE WHEN doc_id % 13 = 0 THEN 'unsure' WHEN toxic = 0 THEN 'y' ELSE 'n' END AS label FROM labels),
 lh AS (SELECT * FROM hand QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at" DESC) = 1)"""
 
 
 def _doc_id():
-    return F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id")
+    return F.concat(F.lit("doc-"), T.padded(F.col("doc_id"), 8)).alias("id")
 
 
 def hand_labels(spark, sf):

@@ -3,10 +3,11 @@
 The mappings (act tags from word counts, logits from embeddings, calls from events) only give the
 operators realistic-looking input of any size; every row derives from the tables.
 """
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H, text as T
+from colloquy.operators.scale import chunk_scan
 
 IDX_PER_TURN = 1 << 20      # sentences of one message stay below this
 CHUNK_TURNS = 256           # chunk of a conversation, in messages
@@ -48,8 +49,10 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
            .when(n <= 6, pick(4, "bk", "sd^e", "b", "b^m"))
            .otherwise(pick(5, "sd", "sv,b", "qy^d", "sd(^q)", "ba")))
     raw = F.concat("t", F.when(m % 5 <= 2, " /").when(m % 5 == 3, " -/").otherwise(""))
+    place = F.when(F.col("pos") < IDX_PER_TURN, F.col("pos")).otherwise(F.raise_error(
+        F.lit("a message has more sentences than positions")).cast("int"))
     return s.select(
-        "conv_id", (F.col("turn") * IDX_PER_TURN + F.col("pos")).alias("idx"),
+        "conv_id", (F.col("turn") * IDX_PER_TURN + place).alias("idx"),
         caller.alias("caller"), tag.alias("act_tag"), raw.alias("raw"))
 
 
@@ -75,7 +78,7 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     grp = F.concat(F.lit("thread:"), F.floor(F.col("doc_id") / 4).cast("string"))
     return d.select(
-        F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"),
+        F.concat(F.lit("doc-"), T.padded(F.col("doc_id"), 8)).alias("id"),
         "doc_id", grp.alias("group"), F.col("lang").alias("label"), F.col("source").alias(
             "company"), "text").withColumn("split", H.assign_split(
                 F.col("group"), K.SPLIT_SEED, K.SPLIT_FRACTIONS))
@@ -89,7 +92,7 @@ def split_sql(group: str) -> str:
 
 
 SQL_EXAMPLES = f"""
-ex0 AS (SELECT doc_id, 'doc-' || lpad(doc_id::VARCHAR, 8, '0') AS id,
+ex0 AS (SELECT doc_id, 'doc-' || lpad(doc_id::VARCHAR, greatest(8, length(doc_id::VARCHAR))::INTEGER, '0') AS id,
   'thread:' || (doc_id // 4)::VARCHAR AS grp, lang AS label, source AS company, text
   FROM documents),
 ex AS (SELECT *, {split_sql('grp')} AS split FROM ex0)"""
@@ -136,7 +139,7 @@ def predictions(spark: SparkSession, sf: str, model: str = "a", decision: str =
     logits = F.array(*[
         F.get("embedding", F.lit(shift + i)).cast("double") * 10.0 + F.when(
             (y == i) & (F.col("vec_id") % 10 < 7), boost).otherwise(0.0) for i in range(k)])
-    idc = F.concat(F.lit("vec-"), F.lpad(F.col("vec_id").cast("string"), 8, "0"))
+    idc = F.concat(F.lit("vec-"), T.padded(F.col("vec_id"), 8))
     return e.select(
         F.lit(model).alias("model"), F.lit(decision).alias("decision"), idc.alias("id"),
         H.assign_split(idc, K.SPLIT_SEED, K.SPLIT_FRACTIONS).alias("split"),
@@ -146,7 +149,7 @@ def predictions(spark: SparkSession, sf: str, model: str = "a", decision: str =
 def sql_predictions(model: str = "a", decision: str = "route10", name: str = "pred") -> str:
     shift, boost = (0, 3.0) if model == "a" else (10, 1.5)
     k = {"route10": 10, "turn_complete": 2, "barge_in": 3}[decision]
-    vid = "'vec-' || lpad(vec_id::VARCHAR, 8, '0')"
+    vid = "'vec-' || lpad(vec_id::VARCHAR, greatest(8, length(vec_id::VARCHAR))::INTEGER, '0')"
     return f"""
 {name} AS (SELECT {vid} AS id, {split_sql('(' + vid + ')')} AS split, label % {k} AS y,
   vec_id % 3 = 0 AS hard,
@@ -195,14 +198,15 @@ msg AS (SELECT doc_id AS id,
 # -- calls ----------------------------------------------------------------------------------------
 
 CALL_DAYS, CALL_SCALE = 5, 20_000
+CALL_CHUNK_MS = 500
 
 
 def segments(spark: SparkSession, sf: str, clip: bool = True) -> DataFrame:
     """Call timelines from events: (call_id, seg, who, at_ms, dur_ms, end_ms, text).
 
     A call is five days of one user's events on a compressed clock. With `clip` a speaker's line
-    ends where the same speaker's next line starts. One line per speaker and millisecond of a
-    21.6 s call is kept, so a call has at most 43,200 rows and its windows are bounded.
+    ends where the same speaker's next line starts; of lines that start in the same millisecond,
+    all but the last are empty. Lines are ordered and numbered in chunks of the call's clock.
     """
     e = table(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
@@ -212,24 +216,21 @@ def segments(spark: SparkSession, sf: str, clip: bool = True) -> DataFrame:
         F.floor((us - day5 * 86_400_000_000 * CALL_DAYS) / 1000 / CALL_SCALE).alias("at_ms"),
         F.when(F.col("event_id") % 2 == 0, "user").otherwise("agent").alias("who"),
         (F.lit(600) + F.floor(F.col("value") * 20)).alias("dur_ms"), "event_type")
-    one = e.groupBy("call_id", "who", "at_ms").agg(F.min_by(F.struct(
-        "event_id", "dur_ms", "event_type"), "event_id").alias("e")).select(
-        "call_id", "who", "at_ms", "e.*")
+    one, order = e, ["at_ms", "event_id"]
     if clip:
-        mine = Window.partitionBy("call_id", "who").orderBy("at_ms")
-        one = one.withColumn("dur_ms", F.least("dur_ms", F.lead("at_ms").over(mine)
-                                               - F.col("at_ms")))
+        one = chunk_scan(e, ["call_id", "who"], order, CALL_CHUNK_MS, lead={"_next": F.col("at_ms")})
+        one = one.withColumn("dur_ms", F.least("dur_ms", F.col("_next") - F.col("at_ms"))).drop("_next")
+    one = chunk_scan(one, ["call_id"], order, CALL_CHUNK_MS, cumsum={"_nth": F.lit(1).cast("bigint")})
     n = (2 + F.col("event_id") % 7).cast("int")
     text = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
         F.col("event_type"), i.cast("string"))), " ")
-    order = Window.partitionBy("call_id").orderBy("at_ms", "event_id")
     return one.select(
-        "call_id", (F.row_number().over(order) - 1).alias("seg"), "who", "at_ms", "dur_ms",
+        "call_id", (F.col("_nth") - 1).cast("int").alias("seg"), "who", "at_ms", "dur_ms",
         (F.col("at_ms") + F.col("dur_ms")).alias("end_ms"), text.alias("text"), "event_id")
 
 
 def sql_segments(clip: bool = True) -> str:
-    dur = ("least(dur_ms, lead(at_ms) OVER (PARTITION BY call_id, who ORDER BY at_ms) - at_ms)"
+    dur = ("least(dur_ms, lead(at_ms) OVER (PARTITION BY call_id, who ORDER BY at_ms, event_id) - at_ms)"
            if clip else "dur_ms")
     win = 86_400_000_000 * CALL_DAYS
     return f"""
@@ -238,8 +239,7 @@ e1 AS (SELECT event_id, user_id * 100 + us // {win} AS call_id, event_type,
   floor((us - (us // {win}) * {win}) / 1000.0 / {CALL_SCALE})::BIGINT AS at_ms,
   CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'agent' END AS who,
   600 + floor(value * 20)::BIGINT AS dur_ms FROM e0),
-e2 AS (SELECT * FROM e1 QUALIFY row_number() OVER (PARTITION BY call_id, who, at_ms ORDER BY event_id) = 1),
-e3 AS (SELECT * REPLACE ({dur} AS dur_ms) FROM e2),
+e3 AS (SELECT * REPLACE ({dur} AS dur_ms) FROM e1),
 seg AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY at_ms, event_id) - 1 AS seg,
   who, at_ms, dur_ms, at_ms + dur_ms AS end_ms,
   array_to_string(list_transform(range(1, 3 + event_id % 7), lambda i: event_type || i::VARCHAR), ' ') AS text,

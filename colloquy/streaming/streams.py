@@ -79,11 +79,14 @@ def stream_pauses(speech: DataFrame, vad: int = K.VAD_PAUSE_MS, wait: int = K.MA
 
 def pauses_batch(speech: DataFrame, width: int, vad: int = K.VAD_PAUSE_MS, wait: int = K.MAX_WAIT_MS
                  ) -> DataFrame:
-    """The batch twin: gaps to the next start, the last row of a call counts as long silence."""
+    """The batch twin: gaps from the latest end so far to the next start, the last row of a call
+    counts as long silence. Rows of one start and end are one."""
     from colloquy.operators.scale import chunk_scan
 
-    s = chunk_scan(speech.select("call_id", "start_ms", "end_ms"), ["call_id"], "start_ms", width,
-                   lead={"next_ms": F.col("start_ms")})
+    rows = speech.select("call_id", "start_ms", "end_ms").distinct()
+    s = chunk_scan(rows.withColumn("own_ms", F.col("end_ms")), ["call_id"], ["start_ms", "own_ms"], width,
+                   lead={"next_ms": F.col("start_ms")}, cummax={"_latest": F.col("end_ms")})
+    s = s.withColumn("end_ms", F.col("_latest"))
     gap = F.col("next_ms") - F.col("end_ms")
     kinds = F.array_compact(F.array(*[F.when(gap.isNull() | (gap >= at), F.struct(
         F.lit(kind).alias("kind"), F.lit(at).cast("bigint").alias("silence_ms")))
@@ -134,10 +137,12 @@ def running_accuracy(cells: DataFrame) -> DataFrame:
 
 
 def stream_sessions(turns: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions per call split by silence. turns: (call_id, ts, text). Constant state per session."""
+    """Sessions per call split by silence. turns: (call_id, ts, text) and `tie` if times may be
+    equal; without it the greater text counts as the later. Constant state per session."""
+    order = ["ts", *(["tie"] if "tie" in turns.columns else []), "text"]
     return turns.withWatermark("ts", delay).groupBy(
         F.session_window("ts", gap).alias("s"), "call_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.max_by("text", "ts").alias("last_text")).select(
+        F.count(F.lit(1)).alias("turns"), F.max(F.struct(*order)).getField("text").alias("last_text")).select(
         "call_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "turns", "last_text")
 
 
@@ -162,7 +167,8 @@ class SessionHistory(StatefulProcessor):
         return int(key[0]), s[0], s[2], " | ".join(s[3])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = sorted((int(t), x) for pdf in rows for t, x in zip(pdf.at_ms, pdf.text))
+        seen = [r for pdf in rows for r in zip(pdf.at_ms, pdf.tie if "tie" in pdf else pdf.text, pdf.text)]
+        seen = [(int(t), x) for t, _, x in sorted(seen)]
         s = list(self.state.get()) if self.state.exists() else None
         closed = []
         for at, text in seen:
@@ -190,7 +196,8 @@ class SessionHistory(StatefulProcessor):
 
 
 def stream_history(turns: DataFrame, gap_ms: int, delay: str = "1 hour") -> DataFrame:
-    """Closed sessions with capped history. turns: (call_id BIGINT, at_ms, text, ts)."""
+    """Closed sessions with capped history. turns: (call_id BIGINT, at_ms, text, ts) and
+    `tie`, which orders turns of the same millisecond (without it, the text does)."""
     return turns.withWatermark("ts", delay).groupBy("call_id").transformWithStateInPandas(
         SessionHistory(gap_ms), HISTORY_SCHEMA, "Append", "eventtime")
 
