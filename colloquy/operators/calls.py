@@ -308,10 +308,10 @@ def missed_points(acts: DataFrame, lines: DataFrame, expect: DataFrame, seg: Dat
                    last_before={"stopped_at": F.when(F.col("kind") == 0, F.col("t"))})
     m = m.join(s.where("kind = 1").select("call_id", "seg", "stopped_at"), ["call_id", "seg"])
     quiet = F.col("over_agent") & F.col("stopped_at").isNotNull()
-    why = (F.when(quiet, F.concat(F.lit("the agent had already stopped talking at "),
+    why = (F.when(quiet, F.concat(F.lit("agent silent since "),
                                   F.format_string("%.2f", F.col("stopped_at") / 1000), F.lit(" s")))
-           .when(~F.col("over_agent"), "the agent was still talking over the user")
-           .otherwise("no decision point arose here"))
+           .when(~F.col("over_agent"), "user covered by agent speech")
+           .otherwise("nothing to decide at this point"))
     counts = ~(quiet & (F.col("want") == "stop_and_listen"))
     return m.select("call_id", "seg", "over_agent", "want", why.alias("why"),
                     counts.alias("counts"))
@@ -360,20 +360,20 @@ def consequences(outcomes: DataFrame, seg: DataFrame) -> DataFrame:
     def ms(c):
         return F.format_string("%.0f", F.col(c))
 
-    answered = F.concat(F.lit("answered "), ms("after_ms"), F.lit(" ms after the user stopped"))
+    answered = F.concat(F.lit("answered "), ms("after_ms"), F.lit(" ms into the silence"))
     text = (F.when((F.col("event") == PAUSE) & (F.col("action") == "keep_listening"),
-                   "kept listening")
+                   "waited on")
             .when(F.col("before_next_ms").isNotNull() & mid, F.concat(
-                answered, F.lit(", mid-thought: it cut them off "), ms("before_next_ms"),
-                F.lit(" ms before they went on")))
+                answered, F.lit(", cutting in "), ms("before_next_ms"),
+                F.lit(" ms ahead of the next words")))
             .when(F.col("before_next_ms").isNotNull(), F.concat(
-                answered, F.lit("; the user spoke again "), ms("before_next_ms"), F.lit(" ms later")))
+                answered, F.lit("; user back after "), ms("before_next_ms"), F.lit(" ms")))
             .when(F.col("event") == PAUSE, F.concat(answered, F.lit(" ("), how, F.lit(")")))
             .when(F.col("action") == "stop_and_listen", F.concat(
-                F.lit("stopped talking at "), F.format_string("%.2f", F.col("effective_ms") / 1000),
-                F.lit(" s ("), ms("unsaid_ms"), F.lit(" ms of its line unsaid)")))
-            .when(F.col("action") == "keep_talking", "kept talking")
-            .otherwise("ignored it and kept talking"))
+                F.lit("yielded at "), F.format_string("%.2f", F.col("effective_ms") / 1000),
+                F.lit(" s ("), ms("unsaid_ms"), F.lit(" ms unspoken)")))
+            .when(F.col("action") == "keep_talking", "held the floor")
+            .otherwise("held the floor, input ignored"))
     return o.withColumn("consequence", text).drop("next_user", "next_at", "line_end", "end_ms")
 
 

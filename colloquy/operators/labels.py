@@ -77,6 +77,11 @@ def stratum_agreement(hand: DataFrame, machine: DataFrame, strata: DataFrame) ->
         "level = 1 OR stratum IS NOT NULL")
 
 
+def served_config(labels: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: the value of each field that all labels share, NULL where they differ."""
+    return labels.agg(*[F.when(F.count_distinct(c) == 1, F.max(c)).alias(c) for c in fields])
+
+
 def gate(summary: DataFrame, served: DataFrame, want: dict, min_kappa: float = K.KAPPA_BAR,
          min_precision: float = K.PRECISION_BAR) -> DataFrame:
     """(accepted, failures): why a labeller may not label yet.

@@ -96,9 +96,9 @@ def run_verdict(runs: DataFrame, flags: DataFrame) -> DataFrame:
     """
     j = runs.join(flags, "run_id", "left")
     why = (F.when(F.coalesce("samples", F.lit(0)) == 0,
-                  "no telemetry while timed: throttling cannot be ruled out")
+                  "no samples in the timed phase, throttling unknown")
            .when((F.col("device") == "cuda") & (F.col("throttled_by") != ""), F.concat(
-               F.lit("throttled while timed: "), "throttled_by")))
+               F.lit("throttling seen: "), "throttled_by")))
     j = j.withColumn("discarded", why)
     valid = F.col("discarded").isNull() & (F.col("attempt") <= K.MAX_ATTEMPTS)
     best = j.groupBy("row").agg(F.min_by("run_id", F.when(valid, F.col("attempt"))).alias("_best"))

@@ -52,8 +52,8 @@ def asr_noise(text: Column, row_id: Column, level: Column, vocab: Column, seed,
 def noisy_rows(examples: DataFrame, vocab: DataFrame, seed=K.SPLIT_SEED, levels=K.NOISE_LEVELS
                ) -> DataFrame:
     """Each example at every noise level. Only the user's words change, never the agent's."""
-    d = attach_row(examples, vocab_row(vocab)).withColumn("level", F.explode(F.array(*[
-        F.lit(x) for x in levels])))
+    d = attach_row(examples.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))),
+                   vocab_row(vocab))
     v, lv = F.col("vocab"), F.col("level")
     turns = F.transform("recent_turns", lambda t, i: F.struct(
         t["speaker"].alias("speaker"), F.when(t["speaker"] == "user", asr_noise(

@@ -50,13 +50,13 @@ def pause_policy(p_complete: Column, p_route: Column, p_escalate: Column, silenc
     hand_off = responds & (pe >= cfg.theta_escalate)
     ms = F.format_string("%.0f", silence_ms.cast("double"))
     why = (F.when(pc >= cfg.theta_yield, F.concat(
-        F.lit("p(turn_complete)="), _two(pc), F.lit(f" >= {cfg.theta_yield}")))
+        F.lit("turn_complete "), _two(pc), F.lit(f" >= {cfg.theta_yield}")))
         .when(silence_ms >= cfg.max_wait_ms, F.concat(
             F.lit("silence "), ms, F.lit(f" ms >= max_wait {cfg.max_wait_ms} ms")))
-        .otherwise(F.concat(F.lit("p(turn_complete)="), _two(pc), F.lit(
+        .otherwise(F.concat(F.lit("turn_complete "), _two(pc), F.lit(
             f" < {cfg.theta_yield}, silence "), ms, F.lit(f" ms < {cfg.max_wait_ms} ms"))))
-    tail = F.when(hand_off, F.concat(F.lit("; p(escalate)="), _two(pe), F.lit(
-        f" >= {cfg.theta_escalate}: hand off"))).otherwise("")
+    tail = F.when(hand_off, F.concat(F.lit("; escalate "), _two(pe), F.lit(
+        f" >= {cfg.theta_escalate}, passed on"))).otherwise("")
     return F.struct(action.alias("action"), hand_off.alias("escalate"),
                     F.when(responds, routed).alias("route"), F.concat(why, tail).alias("reason"))
 
@@ -70,12 +70,12 @@ def barge_policy(p_barge: Column, p_escalate: Column, cfg: Policy = Policy()) ->
     esc, stop = pe >= cfg.theta_escalate, p_int >= cfg.theta_interrupt
     action = (F.when(esc | stop, "stop_and_listen")
               .when(top.isin("backchannel", "interruption"), "keep_talking").otherwise("ignore"))
-    why = (F.when(esc, F.concat(F.lit("p(escalate)="), _two(pe), F.lit(
-        f" >= {cfg.theta_escalate}: stop and hand off")))
-        .when(stop, F.concat(F.lit("p(interruption)="), _two(p_int), F.lit(
+    why = (F.when(esc, F.concat(F.lit("escalate "), _two(pe), F.lit(
+        f" >= {cfg.theta_escalate}, stopped and passed on")))
+        .when(stop, F.concat(F.lit("interruption "), _two(p_int), F.lit(
             f" >= {cfg.theta_interrupt}")))
         .when(top.isin("backchannel", "interruption"), F.concat(
-            top, F.lit(" (p="), _two(F.array_max(p)), F.lit("); p(interruption) "), _two(p_int),
+            top, F.lit(" (p="), _two(F.array_max(p)), F.lit("), interruption "), _two(p_int),
             F.lit(f" < {cfg.theta_interrupt}")))
         .otherwise(F.concat(F.lit("noise (p="), _two(F.array_max(p)), F.lit(")"))))
     return F.struct(action.alias("action"), esc.alias("escalate"),

@@ -237,7 +237,7 @@ def score_acts(spark, sf):
 @query("missed_points", f"WITH {BASE}, {sql_agent('policy')}, {sql_outcomes('policy')} SELECT * FROM policy_missed")
 def missed_points(spark, sf):
     _, _, out = both(spark, sf)
-    why = F.when(F.col("why").startswith("the agent had"), "stopped").when(F.col("why").startswith("the agent was"), "talking").otherwise("none")
+    why = F.when(F.col("why").startswith("agent silent"), "stopped").when(F.col("why").startswith("user covered"), "talking").otherwise("none")
     return out["policy"][3].drop("agent").withColumn("why", why)
 
 

@@ -52,11 +52,12 @@ def stratum_agreement(spark, sf):
     return r6(L.stratum_agreement(*hand_machine(spark, sf), examples(spark, sf)), "accuracy")
 
 
-@query("gate", f"""WITH {SQL_AGREE} SELECT kappa >= 0.6 AND precision >= 0.7 AS accepted,
- array_to_string(list_filter([CASE WHEN kappa IS NULL OR kappa < 0.6 THEN 'kappa is below 0.6' END,
- CASE WHEN precision < 0.7 THEN 'escalate precision is below 0.7' END], lambda x: x IS NOT NULL), '; ') AS failures FROM ag""")
+@query("gate", f"""WITH {SQL_AGREE}, cf AS (SELECT count(DISTINCT model) = 1 AND count(DISTINCT prompt) = 1 AND max(model) = 'm1' AND max(prompt) = 'v3' AS same FROM machine)
+SELECT same AND kappa >= 0.6 AND precision >= 0.7 AS accepted,
+ CASE WHEN NOT same THEN 'calib was labelled and judged under another configuration' ELSE array_to_string(list_filter([CASE WHEN kappa IS NULL OR kappa < 0.6 THEN 'kappa is below 0.6' END,
+ CASE WHEN precision < 0.7 THEN 'escalate precision is below 0.7' END], lambda x: x IS NOT NULL), '; ') END AS failures FROM ag, cf""")
 def gate(spark, sf):
-    served = machine_labels(spark, sf).agg(F.max("model").alias("model"), F.max("prompt").alias("prompt"))
+    served = L.served_config(machine_labels(spark, sf), ["model", "prompt"])
     return L.gate(L.agreement(*hand_machine(spark, sf)), served, {"model": "m1", "prompt": "v3"})
 
 
@@ -203,8 +204,9 @@ SQL_LINES = """ln AS (SELECT event_id AS i, user_id AS run_id, CASE WHEN event_i
  || ', 7000, 2100, ' || (event_id % 140)::VARCHAR || '.5, 140, P' || (event_id % 3)::VARCHAR || ', 0x0, ' || CASE WHEN event_id % 3 = 0 THEN 'Active' ELSE 'Not Active' END || ', '
  || CASE WHEN event_id % 101 = 0 THEN 'Active' ELSE 'Not Active' END || ', Not Active, Not Active, Not Active' END AS line FROM events),
 tl AS (SELECT i, run_id, phase, list_transform(string_split(line, ','), lambda x: trim(x)) AS p FROM ln WHERE len(string_split(line, ',')) = 14),
-tel AS (SELECT i, run_id, phase, TRY_CAST(p[2] AS DOUBLE) AS temperature_gpu, TRY_CAST(p[3] AS DOUBLE) AS clocks_sm, TRY_CAST(p[6] AS DOUBLE) AS power_draw, TRY_CAST(p[7] AS DOUBLE) AS power_limit,
- p[8] AS pstate, p[10] = 'Active' AS sw_power_cap, p[11] = 'Active' AS hw_slowdown FROM tl)"""
+tel AS (SELECT i, run_id, phase, TRY_CAST(p[2] AS DOUBLE) AS temperature_gpu, TRY_CAST(p[3] AS DOUBLE) AS clocks_sm, TRY_CAST(p[4] AS DOUBLE) AS clocks_mem, TRY_CAST(p[5] AS DOUBLE) AS clocks_max_sm, TRY_CAST(p[6] AS DOUBLE) AS power_draw, TRY_CAST(p[7] AS DOUBLE) AS power_limit,
+ p[8] AS pstate, p[10] = 'Active' AS sw_power_cap, p[11] = 'Active' AS hw_slowdown,
+ p[1] AS timestamp, p[9] AS events_active, p[12] = 'Active' AS hw_thermal_slowdown, p[13] = 'Active' AS sw_thermal_slowdown, p[14] = 'Active' AS hw_power_brake_slowdown FROM tl)"""
 
 
 def telemetry(spark, sf):
@@ -218,29 +220,28 @@ def telemetry(spark, sf):
     return Q.parse_telemetry(d)
 
 
-TEL = ("i", "run_id", "phase", "temperature_gpu", "clocks_sm", "power_draw", "power_limit", "pstate", "sw_power_cap", "hw_slowdown")
-
-
-@query("parse_telemetry", f"WITH {SQL_LINES} SELECT * FROM tel")
+@query("parse_telemetry", f"WITH {SQL_LINES} SELECT * EXCLUDE (timestamp) FROM tel")
 def parse_telemetry(spark, sf):
-    return telemetry(spark, sf).select(*TEL)
+    return telemetry(spark, sf).drop("timestamp")
 
 
-@query("telemetry_summary", f"""WITH {SQL_LINES}, u AS (UNPIVOT (SELECT phase, temperature_gpu, clocks_sm, power_draw, power_limit FROM tel) ON temperature_gpu, clocks_sm, power_draw, power_limit INTO NAME gauge VALUE v)
+@query("telemetry_summary", f"""WITH {SQL_LINES}, u AS (UNPIVOT (SELECT phase, temperature_gpu, clocks_sm, clocks_mem, clocks_max_sm, power_draw, power_limit FROM tel) ON temperature_gpu, clocks_sm, clocks_mem, clocks_max_sm, power_draw, power_limit INTO NAME gauge VALUE v)
 SELECT phase, gauge, count(*) AS n, min(v) AS min, quantile_cont(v, 0.5) AS median, max(v) AS max FROM u GROUP BY 1, 2""")
 def telemetry_summary(spark, sf):
-    return Q.telemetry_summary(telemetry(spark, sf)).where("gauge NOT IN ('clocks_mem', 'clocks_max_sm')")
+    return Q.telemetry_summary(telemetry(spark, sf))
 
 
 @query("telemetry_flags", f"""WITH {SQL_LINES} SELECT phase, count(*) AS samples, string_agg(DISTINCT pstate, ',' ORDER BY pstate) AS pstates, count(*) FILTER (hw_slowdown) AS hw_slowdown,
- count(*) FILTER (sw_power_cap) AS sw_power_cap, CASE WHEN bool_or(hw_slowdown) THEN 'hw_slowdown' ELSE '' END AS throttled_by FROM tel GROUP BY 1""")
+ count(*) FILTER (sw_power_cap) AS sw_power_cap, count(*) FILTER (hw_thermal_slowdown) AS hw_thermal_slowdown,
+ count(*) FILTER (sw_thermal_slowdown) AS sw_thermal_slowdown, count(*) FILTER (hw_power_brake_slowdown) AS hw_power_brake_slowdown,
+ CASE WHEN bool_or(hw_slowdown) THEN 'hw_slowdown' ELSE '' END AS throttled_by FROM tel GROUP BY 1""")
 def telemetry_flags(spark, sf):
-    return Q.telemetry_flags(telemetry(spark, sf)).select("phase", "samples", "pstates", "hw_slowdown", "sw_power_cap", "throttled_by")
+    return Q.telemetry_flags(telemetry(spark, sf))
 
 
 SQL_RUNS = f"""{SQL_LINES}, fl AS (SELECT run_id, count(*) AS samples, CASE WHEN bool_or(hw_slowdown) THEN 'hw_slowdown' ELSE '' END AS throttled_by FROM tel WHERE phase = 'timed' GROUP BY 1),
 rn AS (SELECT DISTINCT user_id AS run_id, 'row' || (user_id // 4)::VARCHAR AS row, (user_id % 4)::INT + 1 AS attempt, CASE WHEN user_id % 8 < 6 THEN 'cuda' ELSE 'cpu' END AS device FROM events),
-rv AS (SELECT rn.*, CASE WHEN coalesce(samples, 0) = 0 THEN 'no telemetry while timed: throttling cannot be ruled out' WHEN device = 'cuda' AND throttled_by <> '' THEN 'throttled while timed: ' || throttled_by END AS discarded
+rv AS (SELECT rn.*, CASE WHEN coalesce(samples, 0) = 0 THEN 'no samples in the timed phase, throttling unknown' WHEN device = 'cuda' AND throttled_by <> '' THEN 'throttling seen: ' || throttled_by END AS discarded
  FROM rn LEFT JOIN fl USING (run_id))"""
 
 

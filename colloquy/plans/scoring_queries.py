@@ -167,7 +167,7 @@ def score_variants(spark, sf):
 
 # -- bootstrap ------------------------------------------------------------------------------------
 
-REPS = 40
+REPS = K.BOOTSTRAP_SAMPLES
 _M = "18446744073709551616::UHUGEINT"
 
 
@@ -189,9 +189,9 @@ x AS (SELECT model, b, w, y, pred, conf, hard, {SQL_BIN} AS bin, {SQL_SQ} AS sq
 x1 AS (SELECT model, b, sum(w) AS n, sum(w * (y = pred)::INT) AS hit, sum(w * sq) AS sq,
   sum(CASE WHEN hard THEN w ELSE 0 END) AS hn, sum(CASE WHEN hard AND y = pred THEN w ELSE 0 END) AS hh FROM x GROUP BY 1, 2),
 x2 AS (SELECT model, b, sum(g) AS gap FROM (SELECT model, b, bin, abs(sum(w * ((y = pred)::INT - conf))) AS g FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2),
-x3 AS (SELECT model, b, avg(f) AS f1 FROM (SELECT model, b, c, 2 * sum(CASE WHEN y = c AND pred = c THEN w ELSE 0 END)
-  / nullif(sum(CASE WHEN y = c THEN w ELSE 0 END) + sum(CASE WHEN pred = c THEN w ELSE 0 END), 0)::DOUBLE AS f
-  FROM x, range({k}) t(c) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+xc AS (SELECT model, b, y AS c, 2 * sum(CASE WHEN y = pred THEN w ELSE 0 END) AS tp, sum(w) AS s FROM x GROUP BY 1, 2, 3
+  UNION ALL SELECT model, b, pred, 0, sum(w) FROM x GROUP BY 1, 2, 3),
+x3 AS (SELECT model, b, avg(f) AS f1 FROM (SELECT model, b, c, sum(tp) / nullif(sum(s), 0)::DOUBLE AS f FROM xc GROUP BY 1, 2, 3) GROUP BY 1, 2),
 rep AS (SELECT model, b, hit / n::DOUBLE AS accuracy, f1 AS macro_f1, gap / n AS ece, sq / n AS brier, hh / nullif(hn, 0)::DOUBLE AS hard_accuracy
   FROM x1 JOIN x2 USING (model, b) JOIN x3 USING (model, b)),
 lrep AS (UNPIVOT rep ON accuracy, macro_f1, ece, brier, hard_accuracy INTO NAME metric VALUE v)"""

@@ -170,12 +170,12 @@ def ablation_variants(spark, sf):
 # -- noise ----------------------------------------------------------------------------------------
 
 SQL_VOCAB = f"""{D.SQL_EXAMPLES}, vw AS (SELECT unnest({D.sql_words(D.sql_norm('text'))}) AS word FROM ex WHERE split = 'train'),
-vc AS (SELECT word, count(*) AS n FROM vw GROUP BY 1 ORDER BY n DESC, word LIMIT 300), vl AS (SELECT list(word ORDER BY n DESC, word) AS v FROM vc)"""
+vc AS (SELECT word, count(*) AS n FROM vw GROUP BY 1 ORDER BY n DESC, word LIMIT {K.NOISE_VOCAB}), vl AS (SELECT list(word ORDER BY n DESC, word) AS v FROM vc)"""
 
 
 @query("top_vocab", f"WITH {SQL_VOCAB} SELECT word, n FROM vc")
 def top_vocab(spark, sf):
-    return N.top_vocab(D.examples(spark, sf).where("split = 'train'"), 300)
+    return N.top_vocab(D.examples(spark, sf).where("split = 'train'"), K.NOISE_VOCAB)
 
 
 def sql_noise(words: str, rid: str, level: str, field: str) -> str:
@@ -199,7 +199,7 @@ def asr_noise(spark, sf):
     from colloquy.operators.scale import attach_row
 
     c = D.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    x = attach_row(c, N.vocab_row(N.top_vocab(D.examples(spark, sf).where("split = 'train'"), 300)))
+    x = attach_row(c, N.vocab_row(N.top_vocab(D.examples(spark, sf).where("split = 'train'"), K.NOISE_VOCAB)))
     return x.select("id", N.asr_noise(F.col("text"), F.col("id"), F.lit(0.2), F.col("vocab"), K.SPLIT_SEED, "user").alias("noisy"))
 
 
@@ -214,5 +214,5 @@ def noisy_rows(spark, sf):
         F.when(F.col("role") == "user", "user").otherwise("agent").alias("speaker"), "text").alias("p"))
     e = c.join(prev, ["conv_id", "turn"], "left").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("user_partial"), F.array_compact(F.array("p")).alias("recent_turns"))
-    n = N.noisy_rows(e, N.top_vocab(D.examples(spark, sf).where("split = 'train'"), 300))
+    n = N.noisy_rows(e, N.top_vocab(D.examples(spark, sf).where("split = 'train'"), K.NOISE_VOCAB))
     return n.select("id", "level", "user_partial", flat("recent_turns").alias("recent"))

@@ -155,9 +155,9 @@ def test_policy_texts_and_refusals(spark):
 
     a, b = at(300.0)
     assert (a.action, a.route, a.escalate) == ("respond", "out_of_scope", True)
-    assert a.reason == "p(turn_complete)=0.80 >= 0.785; p(escalate)=0.60 >= 0.505: hand off"
+    assert a.reason == "turn_complete 0.80 >= 0.785; escalate 0.60 >= 0.505, passed on"
     assert (b.action, b.route, b.escalate) == ("keep_listening", None, False)
-    assert b.reason == "p(turn_complete)=0.10 < 0.785, silence 300 ms < 2000 ms"
+    assert b.reason == "turn_complete 0.10 < 0.785, silence 300 ms < 2000 ms"
     assert at(2000.0)[1].action == "respond_after_timeout" and at(2000.0)[1].route == "transfer"
     bad = d.withColumn("pe", F.lit(float("nan")))
     with pytest.raises(Exception, match="must be a probability"):
