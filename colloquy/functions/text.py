@@ -84,7 +84,7 @@ def clean_transcript(raw: Column) -> Column:
 
 
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&nbsp;", " "), ("&amp;", "&"))
+             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def unescape_common(text: Column) -> Column:
@@ -102,18 +102,16 @@ def _unescape_rest(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 
 
-def unescape_stable(df: DataFrame, *cols: str) -> DataFrame:
-    """Full HTML unescaping at ingest, for text with entities outside the common set."""
-    common = "&(?!(?:lt|gt|quot|#39|apos|nbsp|amp);)#?\\w+"
-    for c in cols:
-        rare = F.when(F.col(c).rlike(common), F.col(c))
-        df = df.withColumn(c, F.coalesce(_unescape_rest(rare), unescape_common(F.col(c))))
-    return df
+def unescape(text: Column) -> Column:
+    """All HTML entities, once. Only texts with one outside the common set go through Arrow."""
+    common = "|".join(name[1:] for name, _ in _ENTITIES)
+    rare = text.rlike(f"&(?!(?:{common}))#?\\w+")
+    return F.coalesce(_unescape_rest(F.when(rare, text)), unescape_common(text))
 
 
-def clean_message(text: Column, is_agent: Column, unescape: bool = True) -> Column:
-    s = unescape_common(text) if unescape else text
-    s = F.regexp_replace(s, r"(?U)https?://\S+", " ")
+def clean_message(text: Column, is_agent: Column) -> Column:
+    """A raw message without entities, links, mentions, masks and agents' signatures."""
+    s = F.regexp_replace(unescape(text), r"(?U)https?://\S+", " ")
     s = F.regexp_replace(s, r"(?U)@\w+", " ")
     s = collapse(F.regexp_replace(s, r"(?U)__\w+__", " "))
     signed = F.regexp_replace(s, r"(?U)\s[\^*~]\s?[A-Za-z]{1,12}\s*$", "")

@@ -32,6 +32,7 @@ def sql_clean_message(x: str, agent: str) -> str:
     s = x
     for name, char in T._ENTITIES:
         s = f"replace({s}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    s = f"replace({s}, '&amp', '&')"  # the one form without a semicolon that the tables hold
     s = f"regexp_replace({s}, 'https?://\\S+', ' ', 'g')"
     s = f"regexp_replace({s}, '@{W}+', ' ', 'g')"
     s = f"trim(regexp_replace(regexp_replace({s}, '__{W}+__', ' ', 'g'), '\\s+', ' ', 'g'))"

@@ -14,17 +14,9 @@ CHUNK_TURNS = 256           # chunk of a conversation, in messages
 CHUNK_WIDTH = IDX_PER_TURN * CHUNK_TURNS
 
 
-WIDE_TEXT = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One given table. A text table in fewer files than there are cores is spread over them first,
-    since a file with one row group is one task; a table of many files is read as it is."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in WIDE_TEXT and len(df.inputFiles()) < cores:
-        df = df.repartition(cores, *WIDE_TEXT[name])
-    return df
+    """One given table, read as it is."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def utterances(spark: SparkSession, sf: str) -> DataFrame:

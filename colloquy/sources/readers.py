@@ -25,13 +25,12 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Reply-thread CSV -> (id, author, inbound, text, parent_id); entities are unescaped here."""
+    """Reply-thread CSV -> (id, author, inbound, text, parent_id), texts as they are written."""
     raw = spark.read.schema(S.MESSAGE_CSV).option("header", True).option("escape", '"').option(
         "multiLine", True).csv(path)
-    m = raw.select(F.col("tweet_id").alias("id"), F.col("author_id").alias("author"), "inbound",
+    return raw.select(F.col("tweet_id").alias("id"), F.col("author_id").alias("author"), "inbound",
                    F.coalesce("text", F.lit("")).alias("text"),
                    F.col("in_response_to_tweet_id").cast("bigint").alias("parent_id"))
-    return T.unescape_stable(m, "text")
 
 
 def read_intents(spark: SparkSession, path: str) -> DataFrame:

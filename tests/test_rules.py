@@ -185,3 +185,55 @@ def test_stated_probabilities(spark):
     p, ok = P.stated_probs(F.col("a"), ("false", "true"))
     got = [(list(r.p), r.ok) for r in d.select(p.alias("p"), ok.alias("ok")).collect()]
     assert got == [([.25, .75], True), ([.5, .5], False), ([1.0, 0.0], True), ([.5, .5], False), ([.5, .5], False)]
+
+
+def test_entities_are_undone_once(spark):
+    rows = [("a &amp;lt;b&amp;gt; &lt;c&gt;", "a &lt;b&gt; <c>"), ("caf&eacute; &#8217;x&#x27;", "café ’x'"), ("no entity & none", "no entity & none"), (None, None)]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "t string")
+    got = [r.c for r in df.select(T.clean_message(F.col("t"), F.lit(False)).alias("c")).collect()]
+    assert got == [b for _, b in rows]
+
+
+def test_long_numbers_stay_whole(spark):
+    df = spark.createDataFrame([(7,), (12345,), (123451,), (123459,), (1234567890123,)], "n long")
+    assert [r.p for r in df.select(T.padded(F.col("n"), 5).alias("p")).collect()] == ["00007", "12345", "123451", "123459", "1234567890123"]
+
+
+def test_last_label_does_not_depend_on_order(spark):
+    from colloquy.operators import sampling as S
+
+    rows = [("a", "true", 5, 1), ("a", "false", 5, 2), ("b", "false", 5, None), ("b", "true", 5, None), ("c", "true", 1, 9), ("c", "false", 2, 1)]
+    want = {"a": "false", "b": "true", "c": "false"}
+    for parts in (1, 17):
+        for data in (rows, rows[::-1]):
+            df = spark.createDataFrame(data, "id string, label string, at long, seq long").repartition(parts)
+            assert {r.id: r.label for r in S.latest_label(df).collect()} == want
+
+
+def test_pauses_wait_for_the_latest_end(spark):
+    from colloquy.streaming import streams as W
+
+    df = spark.createDataFrame([(1, 0, 5000), (1, 100, 200), (1, 6000, 6100), (1, 100, 200)], "call_id long, start_ms long, end_ms long")
+    for width in (50, 100_000):
+        got = sorted((r.kind, r.end_ms, r.silence_ms) for r in W.pauses_batch(df, width).collect())
+        assert got == [("max_wait", 6100, 2000), ("user_pause", 5000, 300), ("user_pause", 6100, 300)]
+
+
+def test_every_event_is_a_line(spark):
+    from colloquy.sources import driver_tables as D
+
+    sf = "/root/testdata/sf0.1"
+    seg = D.segments(spark, sf)
+    assert seg.count() == D.table(spark, sf, "events").count()
+    g = seg.groupBy("call_id").agg(F.count("seg").alias("n"), F.count_distinct("seg").alias("d"), F.max("seg").alias("m"))
+    assert g.where("n <> d OR m <> n - 1").isEmpty()
+
+
+def test_deep_threads_and_cycles(spark):
+    from colloquy.operators import threads as TH
+
+    n = 50_000
+    chain = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id")
+    ring = spark.range(n, n + 3).selectExpr("id", f"{n} + (id - {n} + 1) % 3 AS parent_id")
+    roots = TH.thread_roots(chain.unionAll(ring))
+    assert roots.where(f"id < {n} AND root = 0").count() == n and roots.where(f"id >= {n} AND root IS NULL").count() == 3
