@@ -333,10 +333,15 @@ def verify_manifest(spark, sf):
     return C.verify_manifest(versions(spark, sf).where("name <> 'fr'"), versions(spark, sf, changed=True))
 
 
-@query("freeze_version", f"WITH h AS (SELECT {sql_row_hash(DOC_COLS)} AS h FROM documents), f AS ({sql_fp('h')}) SELECT 'documents.v1' AS name, n_rows, fingerprint, FALSE AS new FROM f")
+@query("freeze_version", f"""WITH h AS (SELECT {sql_row_hash(DOC_COLS)} AS h FROM documents), f AS ({sql_fp('h')}),
+h2 AS (SELECT {sql_row_hash(DOC_COLS)} AS h FROM (SELECT * REPLACE (CASE WHEN doc_id % 100 = 1 THEN text || '!' ELSE text END AS text) FROM documents)), f2 AS ({sql_fp('h2')})
+SELECT 'documents.v1' AS name, n_rows, fingerprint, FALSE AS new FROM f UNION ALL SELECT 'documents.v2', n_rows, fingerprint, TRUE FROM f2""")
 def freeze_version(spark, sf):
+    """The first version again, which must not have changed, and a second one with edited texts."""
     d = D.table(spark, sf, "documents").select(*DOC_COLS)
-    return C.freeze_version(d, C.fingerprint(d).withColumn("name", F.lit("documents.v1")), "documents.v1")
+    frozen = C.fingerprint(d).withColumn("name", F.lit("documents.v1"))
+    edited = d.withColumn("text", F.when(F.col("doc_id") % 100 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return C.freeze_version(d, frozen, "documents.v1").unionAll(C.freeze_version(edited, frozen, "documents.v2"))
 
 
 @query("restore_private", f"""SELECT 'd' || doc_id::VARCHAR AS id, lang, doc_id % 10 <> 3 AS verified FROM documents""")

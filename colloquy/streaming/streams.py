@@ -100,7 +100,12 @@ def stream_speech_over(users: DataFrame, lines: DataFrame, delay: str = "10 seco
     """Onsets inside agent lines: a stream-stream join whose time range bounds the state.
 
     users: (call_id, seg, onset TIMESTAMP); lines: (call_id, line, line_at, line_end TIMESTAMP).
+    On streams a line's onsets count up to `longest_line` after its start, for the state must end;
+    `overlong_lines` puts the longer ones aside. Static tables have no such bound and join by
+    call and time bucket.
     """
+    if not (users.isStreaming or lines.isStreaming):
+        return _speech_over_static(users, lines)
     u = users.withWatermark("onset", delay).alias("u")
     a = lines.withWatermark("line_at", delay).alias("a")
     near = F.expr(f"a.call_id = u.call_id AND a.line_at <= u.onset AND u.onset < a.line_end "
@@ -108,6 +113,21 @@ def stream_speech_over(users: DataFrame, lines: DataFrame, delay: str = "10 seco
     return u.join(a, near).select("u.call_id", "u.seg", "a.line", "u.onset")
 
 
+def _speech_over_static(users: DataFrame, lines: DataFrame, width_ms: int = 10_000) -> DataFrame:
+    from colloquy.operators.scale import covering
+
+    at = users.select("call_id", "seg", "onset", F.unix_micros("onset").alias("_at"))
+    spans = lines.select("call_id", "line", F.unix_micros("line_at").alias("_from"),
+                         F.unix_micros("line_end").alias("_to"))
+    hit = covering(at, spans, "call_id", "_at", "_from", "_to", width=width_ms * 1000)
+    return hit.select("call_id", "seg", "line", "onset")
+
+
+def overlong_lines(lines: DataFrame, longest_line: str = "5 minutes") -> DataFrame:
+    """The lines whose onsets a stream would not follow to their end."""
+    return lines.where(F.expr(f"line_end > line_at + INTERVAL {longest_line}"))
+
+
 def stream_policy(points: DataFrame, route_labels, cfg: Policy = Policy()) -> DataFrame:
     """Decision points with probabilities -> acts, row by row.
 
@@ -232,7 +252,10 @@ def stream_latency(samples: DataFrame, budget_ms: float, window: str = "1 hour",
 
 
 def stream_dedup_labels(labels: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Repeated label events (same id, label and time) pass once inside the watermark."""
+    """Repeated label events (same id, label and time) pass once inside the watermark; on a static
+    table, once in all."""
+    if not labels.isStreaming:
+        return labels.dropDuplicates(["id", "label", "ts"])
     return labels.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id", "label", "ts"])
 
 
