@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline  # noqa: F401 - its worker functions travel by value
 from colloquy.llm import decontam, licenses, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, fp string, kept string"
