@@ -1,4 +1,4 @@
-"""Column-level text rules. All of it stays in the JVM; only `nfkc_stable` touches Python."""
+"""Column-level text rules. All of it stays in the JVM, but for rare characters and entities."""
 import unicodedata
 
 import pandas as pd
@@ -29,12 +29,15 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """NFKC of any text. Rows without characters that may change send only NULLs to the Arrow UDF."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_MAYBE_COMPAT), text)), text)
+
+
 def nfkc_stable(df: DataFrame, *cols: str) -> DataFrame:
-    """NFKC for the given columns, once, at ingest. Rows without such characters send only NULLs
-    to the Arrow UDF."""
+    """NFKC for the given columns, once, at ingest."""
     for c in cols:
-        flagged = F.when(F.col(c).rlike(_MAYBE_COMPAT), F.col(c))
-        df = df.withColumn(c, F.coalesce(_nfkc(flagged), F.col(c)))
+        df = df.withColumn(c, nfkc(F.col(c)))
     return df
 
 
@@ -52,6 +55,11 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.when(F.contains(s, F.lit("'")), judged).otherwise(spaced))
 
 
+def normalize_any(text: Column) -> Column:
+    """`normalize_text` of text that was not made NFKC at ingest. Not for use inside array functions."""
+    return normalize_text(nfkc(text))
+
+
 def words(normalized: Column) -> Column:
     """Words of already single-spaced text; empty text has no words."""
     return F.when(normalized == "", F.array().cast("array<string>")).otherwise(

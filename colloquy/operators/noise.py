@@ -9,7 +9,7 @@ from colloquy.operators.scale import attach_row
 
 def top_vocab(texts: DataFrame, n: int = K.NOISE_VOCAB) -> DataFrame:
     """(word, n): the n most common normalised words, ties by word."""
-    w = texts.select(F.explode(T.words(T.normalize_text(F.col("text")))).alias("word"))
+    w = texts.select(T.normalize_any(F.col("text")).alias("_n")).select(F.explode(T.words(F.col("_n"))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)
 
 

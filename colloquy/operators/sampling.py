@@ -17,7 +17,7 @@ def split_leaks(df: DataFrame, group: str = "group", split: str = "split") -> Da
 
 
 def _text_key(text: Column) -> Column:
-    return F.sha2(T.normalize_text(text), 256)
+    return F.sha2(T.normalize_any(text), 256)
 
 
 def _ids_with_text_in(rows: DataFrame, others: DataFrame, text: str) -> DataFrame:

@@ -11,7 +11,7 @@ W = "[\\p{L}\\p{N}_]"
 
 @query("normalize_text", f"SELECT doc_id, {D.sql_norm('text')} AS norm FROM documents")
 def normalize_text(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", T.normalize_text(F.col("text")
+    return D.table(spark, sf, "documents").select("doc_id", T.normalize_any(F.col("text")
                                                                              ).alias("norm"))
 
 
@@ -164,7 +164,7 @@ ft AS (SELECT conv_id, turn, list_concat(list_concat(uw,
 
 def feature_rows(spark, sf):
     """(conv_id, turn, f): features of each message with the previous message as context."""
-    c = D.table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_text(
+    c = D.table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_any(
         F.col("text")).alias("u"))
     prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("u").alias("c"))
     j = c.join(prev, ["conv_id", "turn"], "left")   # turns are dense: an equality, not a window

@@ -44,7 +44,7 @@ def read_intents(spark: SparkSession, path: str) -> DataFrame:
         pairs = F.concat(F.coalesce(name, F.array().cast(S.PAIRS)), oos)
         parts.append(doc.select(F.lit(split).alias("split"), F.posexplode(pairs).alias("n", "p")).select(
             "split", "n", F.get("p", F.lit(0)).alias("text"), F.get("p", F.lit(1)).alias("intent")))
-    return reduce(DataFrame.unionAll, parts)
+    return T.nfkc_stable(reduce(DataFrame.unionAll, parts), "text")
 
 
 def in_domain_positions(rows: DataFrame, intents) -> DataFrame:

@@ -237,3 +237,15 @@ def test_deep_threads_and_cycles(spark):
     ring = spark.range(n, n + 3).selectExpr("id", f"{n} + (id - {n} + 1) % 3 AS parent_id")
     roots = TH.thread_roots(chain.unionAll(ring))
     assert roots.where(f"id < {n} AND root = 0").count() == n and roots.where(f"id >= {n} AND root IS NULL").count() == 3
+
+
+def test_any_text_is_made_nfkc(spark):
+    rows = ["ﬁne ½", "cafe\u0301", "\U0001D400b", "plain text", "Ｆｕｌｌ", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [r.n for r in df.select(T.normalize_any(F.col("t")).alias("n")).collect()]
+    assert got == ["fine 1 2", "café", "ab", "plain text", "full", None]
+    from colloquy.operators import noise, sampling
+
+    both = spark.createDataFrame([("1", "train", "ﬁne cafe\u0301"), ("2", "test", "FINE café"), ("3", "test", "other")], "id string, split string, text string")
+    assert {r.id for r in sampling.dedupe_against_train(both).collect()} == {"1", "3"}
+    assert {r.word: r.n for r in noise.top_vocab(both, 9).collect()} == {"fine": 2, "café": 2, "other": 1}
