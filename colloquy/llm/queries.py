@@ -91,6 +91,23 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"))
 
 
+# CRC-32 from its 256 remainders, and one row per jump
+SQL["op9_shards"] = r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, (strlen(text) + 16)::BIGINT AS size, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda p: ('0x' || h[p:p + 1])::BIGINT),
+  lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)::BIGINT AS text_crc32 FROM d, tab),
+j AS (SELECT r, n, 0::BIGINT AS b, 0::BIGINT AS j, CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS k
+  FROM c, (VALUES (40), (41)) t(n)
+  UNION ALL SELECT r, n, j AS b, floor((j + 1) * (2147483648::DOUBLE / (((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT AS j,
+  (k * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM j WHERE j < n),
+s AS (SELECT r, max(b) FILTER (n = 40)::INTEGER AS shard, max(b) FILTER (n = 41)::INTEGER AS grown_shard FROM j GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id, 0)::VARCHAR), doc_id, text_crc32) - 1 AS slot, grown_shard
+FROM c JOIN s USING (r)
+"""
+
+
 @query
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", window=20)
