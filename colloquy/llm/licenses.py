@@ -4,6 +4,8 @@ DataFrame functions only.
 """
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from colloquy.llm.common import saved
+
 # Notices and opening sentences of public licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -106,8 +108,9 @@ def license_scan(files: DataFrame, path: str, text: str) -> DataFrame:
     folders = base.select(folder(F.col("path")).alias("home")).distinct()
     parts = F.split("home", "/")
     above = F.transform(F.sequence(F.lit(0), F.when(F.col("home") == "", 0).otherwise(F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    inherited = (folders.select("home", F.explode(above).alias("folder")).join(given, "folder")
-                 .groupBy("home").agg(F.max_by("g", F.length("folder")).alias("g")))
+    # as a table of its own the directories can be broadcast if they are few, and a large join can be split
+    inherited = saved(folders.select("home", F.explode(above).alias("folder")).join(given, "folder")
+                      .groupBy("home").agg(F.max_by("g", F.length("folder")).alias("g")))
     rows = (base.select("path", folder(F.col("path")).alias("home")).join(own, "path", "left").join(inherited, "home", "left"))
     return rows.select("path", F.coalesce("license", "g.license").alias("license"),
                        F.when(F.col("license").isNotNull(), F.col("origin")).when(F.col("g").isNotNull(), "inherited").alias("origin"),
