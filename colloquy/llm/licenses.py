@@ -68,8 +68,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
     cued = files.where(_has_cue(lower)).select("path", lower.alias("text"))
     cut = F.filter(F.split(F.regexp_replace("text", r"([.!?;])\s+", "$1\n"), "\n"), _has_cue)
     units = cued.select("path", F.posexplode(F.concat(F.array("text"), cut)).alias("unit", "segment"))
-    tf = (units.select("path", "unit", F.explode(_terms(F.col("segment"))).alias("term"))
-          .groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n")))
+    tf = saved(units.select("path", "unit", F.explode(_terms(F.col("segment"))).alias("term"))
+               .groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("n")))
     templates = template_terms(spark)
     vocabulary = F.broadcast(templates.select("term").distinct())
     total = tf.where("unit > 0").select("path", "unit").distinct().agg(F.count(F.lit(1)).alias("units"))
@@ -101,7 +101,7 @@ def license_scan(files: DataFrame, path: str, text: str) -> DataFrame:
     meet all files, so a directory with very many files is one join key that Spark splits.
     """
     base = files.select(F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
-    own = own_licenses(base)
+    own = saved(own_licenses(base))
     folder = lambda p: F.regexp_replace(p, r"(^|/)[^/]*$", "")
     given = (own.where("origin = 'file'").groupBy(folder(F.col("path")).alias("folder"))
              .agg(F.min_by(F.struct("license", "path"), F.struct(-F.col("score"), F.col("path"))).alias("g")))
