@@ -1,4 +1,4 @@
-"""Benchmark leaks in training documents: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark leaks in training documents: n-gram seeds, then Smith-Waterman alignment."""
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +9,6 @@ from colloquy.llm.common import WordIds, mixed, text_slices, utf8
 
 #: Words of a seed; items with fewer words are one seed themselves.
 SEED_WORDS = 3
-#: Share of an item's distinct seeds, the rarest in the corpus, that are searched for.
-RARE = 0.6
 #: Benchmark words that are broadcast at a time; a larger benchmark is searched for in blocks of this size.
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -71,9 +69,6 @@ class Items:
             item.append(np.full(len(g), i))
             place.append(np.arange(len(g)))
         self.seed, self.item, self.place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (seeds, item, place))
-        self._sorted()
-
-    def _sorted(self) -> None:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
         self.keys, self.begin = np.unique(self.seed, return_index=True)
@@ -91,17 +86,6 @@ class Items:
             places.append(found)
         return (np.concatenate(keys), np.concatenate(places)) if keys else (np.empty(0, int), np.empty(0, int))
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Of each item's distinct seeds keep the rarest, by the number of places in the corpus."""
-        keep = np.zeros(len(self.seed), bool)
-        key = np.searchsorted(self.keys, self.seed)
-        for rows in np.split(np.argsort(self.item, kind="stable"), np.searchsorted(np.sort(self.item), np.arange(1, len(self.words)))):
-            own = np.unique(key[rows])
-            rare = own[np.lexsort((own, counts[own]))][:int(np.ceil(RARE * len(own)))]
-            keep[rows] = np.isin(key[rows], rare)
-        self.seed, self.item, self.place = self.seed[keep], self.item[keep], self.place[keep]
-        self._sorted()
-
     def leaks(self, ids: np.ndarray) -> Iterator[tuple]:
         """(item name, score, first word, end) of every stretch of a document that aligns with an item."""
         key, pos = self.hits(ids)
@@ -126,8 +110,12 @@ class Items:
         todo = [(lo, hi)]
         while todo:
             lo, hi = todo.pop()
+            least = (LEAST_SCORE if len(words) >= SHORT else 1) * MATCH * len(words)
+            # no alignment scores more than all of the item's words that stand in the stretch
+            if MATCH * np.isin(words, ids[lo:hi]).sum() < least:
+                continue
             score, item_end, end = align(words, ids[lo:hi])
-            if score < (LEAST_SCORE if len(words) >= SHORT else 1) * MATCH * len(words):
+            if score < least:
                 continue
             _, _, back = align(words[:item_end][::-1], ids[lo:lo + end][::-1])
             first = lo + end - back
@@ -150,34 +138,12 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
         yield Items(rows)
 
 
-def with_rare_seeds(docs: DataFrame, text: str, items: Items):
-    """Count every seed's places in all documents, keep the rare ones, and broadcast the block."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(items)
-    size = len(items.keys)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, all_of = _Folded(), np.zeros(size, np.int64), shared.value
-        for whole in batches:
-            for batch in text_slices(whole, "_text"):
-                for t in utf8(batch, "_text"):
-                    found += np.bincount(all_of.hits(ids.of(t.split()))[0], minlength=size)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(at, pa.int64()), "n": pa.array(found[at], pa.int64())})
-
-    counts = np.zeros(size, np.int64)
-    for r in docs.select(F.col(text).alias("_text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        counts[r.key] = r.n
-    items.keep_rare(counts)
-    return sc.broadcast(items)
-
-
 def find_leaks(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, score, first, end): every stretch of words of a document that aligns with a benchmark item.
 
     Words are compared without case and outer punctuation. Score: Smith-Waterman (match 2, mismatch and gap -1) as a
-    share of the whole item's; 0.5 or more counts, for items under 8 words 1. Each item is searched for by its rarest seeds, rarity counted over
-    all documents. The benchmark is taken in blocks of bounded size; documents are read twice per block
+    share of the whole item's; 0.5 or more counts, for items under 8 words 1. Each item is searched for by all its three-word
+    seeds, however rare or common. The benchmark is taken in blocks of bounded size; documents are read once per block
     and never shuffled. Texts and items that are null or without words match nothing, repeated items count once, repeated
     documents give a row each; null ids are passed on. No items: an empty result.
     """
@@ -186,7 +152,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, it
     schema = f"doc_id {dict(ids_of.dtypes)['doc_id']}, item_id {kinds}, score double, first long, end long"
     found = docs.sparkSession.createDataFrame([], schema)
     for items in blocks(benchmark, item_id, item_text):
-        shared = with_rare_seeds(docs, text, items)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, block = _Folded(), shared.value
@@ -205,7 +171,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, it
 def without_leaks(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """The rows of `docs`, all columns, in whose text no benchmark item is found; rows are judged one by one."""
     for items in blocks(benchmark, item_id, item_text):
-        shared = with_rare_seeds(docs, text, items)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, block = _Folded(), shared.value

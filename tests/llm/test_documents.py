@@ -193,6 +193,16 @@ def test_leaks_equal_all_alignments(spark):
     assert decontam.find_leaks(df.limit(0), "doc_id", "text", bench, "item_id", "text").count() == 0
 
 
+def test_leaks_of_edited_copies_that_are_alone(spark):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(24))) for i in range(4)]
+    edited = [(i, " ".join("changed" if j in (3, 7, 11, 15, 19) else w for j, w in enumerate(t.split()))) for i, t in items]
+    docs = spark.createDataFrame([*edited, (9, "i0w0 i0w1 i0w2 and no more")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_leaks(docs, "doc_id", "text", bench, "item_id", "text").collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in found) == [(i, i, pytest.approx(33 / 48)) for i in range(4)]
+    assert [r.doc_id for r in decontam.without_leaks(docs, "text", bench, "item_id", "text").collect()] == [9]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 25)
     items = [(i, " ".join(f"i{i}w{j}" for j in range(10))) for i in range(6)]
