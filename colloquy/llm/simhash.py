@@ -91,24 +91,14 @@ def _tree(fp: np.ndarray, near, weight) -> Iterator[tuple[int, int]]:
             best[hit[better]], via[hit[better]] = w[better], node
 
 
-def linked(columns: dict[str, np.ndarray], bits: int, close: dict) -> np.ndarray:
+def linked(columns: dict[str, np.ndarray], bits: int) -> np.ndarray:
     """Row pairs (m x 2) that link all rows of equal key within `bits`, for rows sorted by key.
 
     In short runs every near pair; in longer ones a spanning forest, which joins what all pairs would join.
-    `close` may ask for more: fp_also within its bits, and n_words within its ratio.
     """
     key, fp = columns["key"], columns["fp"].view(np.uint64)
-    also = columns["fp_also"].view(np.uint64) if close else None
-
-    def near(a, b):
-        ok = np.bitwise_count(fp[a] ^ fp[b]) <= bits
-        if close:
-            ok &= np.bitwise_count(also[a] ^ also[b]) <= close["also_bits"]
-            n, m = columns["n_words"][a], columns["n_words"][b]
-            ok &= np.minimum(n, m) >= close["ratio"] * np.maximum(n, m)
-        return ok
-
-    weight = lambda a, b: np.bitwise_count(also[a] ^ also[b] if close else fp[a] ^ fp[b]).astype(float)
+    weight = lambda a, b: np.bitwise_count(fp[a] ^ fp[b]).astype(float)
+    near = lambda a, b: np.bitwise_count(fp[a] ^ fp[b]) <= bits
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     sizes = np.diff(cuts)
     pairs = []
@@ -124,15 +114,14 @@ def linked(columns: dict[str, np.ndarray], bits: int, close: dict) -> np.ndarray
     return np.concatenate(pairs)
 
 
-def links(prints: DataFrame, bits: int = 3, *, close: dict | None = None) -> DataFrame:
+def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """Pairs (a, b) of ids that connect exactly what all pairs of rows of `prints` within `bits` bits connect.
 
-    `prints`: id and fp, one row per thing to link, and fp_also and n_words with `close`. Rows are exploded to 64 keys,
+    `prints`: id and fp, one row per thing to link. Rows are exploded to 64 keys,
     sorted by key, and compared inside each key. A key with very many rows is passed on and dealt anew by the bytes
     of its whole fingerprint (for `bits` < 8 two links agree in one byte at least), so that no one task compares it.
     """
-    close = close or {}
-    used = ["id", "fp", *(["fp_also", "n_words"] if close else [])]
+    used = ["id", "fp"]
     out = "kind int, a long, b long"
 
     def work(last: bool):
@@ -141,7 +130,7 @@ def links(prints: DataFrame, bits: int = 3, *, close: dict | None = None) -> Dat
             late = None  # the key that is being passed on
 
             def emit(cols: dict) -> Iterator[pa.RecordBatch]:
-                pairs = linked(cols, bits, close)
+                pairs = linked(cols, bits)
                 ids = np.sort(cols["id"][pairs], axis=1)
                 ids = np.unique(ids[ids[:, 0] != ids[:, 1]], axis=0)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(ids), np.int32)), "a": pa.array(ids[:, 0]), "b": pa.array(ids[:, 1])})
@@ -211,10 +200,11 @@ def simhash_groups(docs: DataFrame, doc_id: str, text: str, *, words: int = 3, b
 
 #: Near-copies share this part of their distinct shingles of so many words.
 SIMILAR, SHINGLE = 0.8, 5
-#: Bits by which single-word fingerprints of near-copies may differ. Measured on pairs of 0.8 or more: 4 for 99 of 100, 7 at most.
-NEAR_BITS = 5
-#: Bits by which shingle fingerprints may differ (at most 14 measured), only to leave out pairs that cannot be similar.
-SHINGLE_BITS = 20
+#: Keys of a text and the minima that make one. Texts that share 0.8 of their shingles have no key in common in (1 - 0.8^4)^40
+#: = 7e-10 of cases; texts that share a tenth have one in 1 of 250.
+KEYS, MINIMA = 40, 4
+#: Texts that a task compares with as many others.
+BLOCK = 2000
 #: Least shingle hashes that a document keeps for verification: all of a shorter text's, so that its similarity is exact.
 SKETCH = 512
 
@@ -239,53 +229,125 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(np.isin(least, a, assume_unique=True) & np.isin(least, b, assume_unique=True)))
 
 
-def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, fp, fp_also, n_words, sketch) of (doc_id, same, text)."""
+def min_keys(h: np.ndarray) -> np.ndarray:
+    """KEYS hashes, each of MINIMA least values of a set of hashes multiplied by fixed odd numbers; none of an empty set."""
+    if not len(h):
+        return np.empty(0, np.uint64)
+    factors = mixed(np.arange(KEYS * MINIMA, dtype=np.uint64)) | np.uint64(1)
+    least = np.min([np.multiply.outer(factors, h[i:i + 1024]).min(axis=1) for i in range(0, len(h), 1024)], axis=0).reshape(KEYS, MINIMA)
+    keys = np.arange(KEYS, dtype=np.uint64)
+    for i in range(MINIMA):
+        keys = mixed(keys + least[:, i], i)
+    return keys
+
+
+def _per_text(docs: DataFrame, name: str, kind: str, of) -> DataFrame:
+    """(doc_id, same, name) of (doc_id, same, text): what `of` makes of a text's shingle hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds()
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                out = []
-                for t in utf8(batch, "text"):
-                    ids = ids_of.of(t.lower().split())
-                    h = shingle_hashes(ids, SHINGLE)
-                    one, many = (sum(_ones(x[i:i + COUNTED]) for i in range(0, len(x), COUNTED)) if len(x) else np.zeros(64) for x in (mixed(ids), h))
-                    sketch = np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-                    out.append((_majority(one, len(ids)), _majority(many, len(h)), len(h), sketch.tobytes()))
-                long = lambda i: pa.array(np.array([o[i] for o in out], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), long(0), long(1), long(2),
-                                                  pa.array([o[3] for o in out], pa.binary())], ["doc_id", "same", "fp", "fp_also", "n_words", "sketch"])
+                out = [of(np.unique(shingle_hashes(ids_of.of(t.lower().split()), SHINGLE))) for t in utf8(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(out, pa.list_(pa.int64()) if kind == "array<long>" else pa.binary())],
+                                                 ["doc_id", "same", name])
+
+    return docs.select("doc_id", "same", "text").mapInArrow(work, f"doc_id long, same string, {name} {kind}")
+
+
+def joined(band: np.ndarray, root: np.ndarray, side: np.ndarray, keys: np.ndarray, sets: list) -> list[tuple[int, int]]:
+    """Pairs of similar rows of one run that join all rows which its similar pairs would join.
+
+    Rows of one root are joined already; with two values of `side` only pairs across them count. A pair is compared in the
+    run of the first key that both rows have, and not if rows found before join it. Rows whose keys are the most common come first.
+    """
+    common = [np.unique(k, return_inverse=True, return_counts=True) for k in keys.T]
+    weight = sum(counts[at] for _, at, counts in common)
+    order, group, out = np.argsort(-weight, kind="stable"), root.copy(), []
+    across = len(np.unique(side)) > 1
+    for n, i in enumerate(order):
+        rest = order[n + 1:]
+        rest = rest[(group[rest] != group[i]) & ((side[rest] != side[i]) | (not across))]
+        for j in rest[np.argmax(keys[rest] == keys[i], axis=1) == band] if len(rest) else rest:
+            if group[j] != group[i] and similarity(sets[i], sets[j]) >= SIMILAR:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _rest_of_runs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of similar texts of one run that have different roots: what the stars of `near_duplicates` have not compared.
+
+    A run of more than BLOCK texts is dealt as pairs of blocks, each a group of its own.
+    """
+    spark = shared.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rooted = (shared.where("n > 2").join(roots.withColumnRenamed("node", "id"), "id", "left")
+              .withColumn("root", F.coalesce("root", "id")))
+    many = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    runs = (rooted.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("id"), blocks))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            .select("id", "root", "mine", "key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("run")))
+    rows = runs.join(nodes.select("id", "keys"), "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def pairs() -> pa.RecordBatch:
+            own = {r["id"]: r for r in held}
+            rows = list(own.values())
+            keys = np.array([r["keys"] for r in rows])
+            column = lambda c: np.array([r[c] for r in rows])
+            found = joined(int(np.argmax(keys[0] == rows[0]["key"])), column("root"), column("mine"), keys, [np.frombuffer(r["hashes"], np.uint64) for r in rows])
+            ids = column("id")[np.array(found, int).reshape(-1, 2)]
+            return pa.RecordBatch.from_pydict({"a": pa.array(ids[:, 0]), "b": pa.array(ids[:, 1])})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[-1]["run"] != r["run"]:
+                    yield pairs()
+                    held = []
+                held.append(r)
+        if held:
+            yield pairs()
 
-    return docs.mapInArrow(work, "doc_id long, same string, fp long, fp_also long, n_words long, sketch binary")
+    return rows.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, same, root) of documents that another one stands for: root is the smallest id of their group.
 
     Near-copies share at least 0.8 of their distinct five-word shingles, words lower-cased in A-Z. Equal texts (`same`
-    is their MD5) are one node. Candidates differ in at most 5 bits of a single-word fingerprint, cut into three
-    segments; inside a run of one key they are joined by their shingle fingerprints, closest first, and the pairs
-    so formed are verified on sketches: exactly for up to 511 distinct shingles, beyond that on the 512 least hashes.
+    is their MD5) are one node. Texts that share one of 40 MinHash keys are candidates. Of each run of one key, all are
+    compared with the text whose keys are the most common; pairs that this leaves apart are then compared one by one, so no
+    candidate pair stays untested unless its texts are joined already. Similarity is exact for up to 511 distinct
+    shingles, beyond that over the 512 least hashes.
     Null texts are empty texts. Rows without id are never listed; rows of equal id and text are one document.
     """
-    prints = saved(_prints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("same"), F.col(text).alias("text"))
-                           .where("doc_id is not null")))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("same"), F.col(text).alias("text")).where("doc_id is not null")
+    prints = saved(_per_text(texts, "keys", "array<long>", lambda h: min_keys(h).view(np.int64)))
     least = prints.groupBy("same").agg(F.min("doc_id").alias("least"))
-    nodes = (prints.join(least, "same").where("doc_id = least").select(F.col("doc_id").alias("id"), "fp", "fp_also", "n_words").distinct())
-    pairs = saved(links(nodes, NEAR_BITS, close={"also_bits": SHINGLE_BITS, "ratio": SIMILAR}))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sketches = saved(prints.select("doc_id", "sketch").join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    side = lambda n: sketches.select(F.col("doc_id").alias(n), F.col("sketch").alias("s" + n))
+    nodes = saved(prints.join(least, "same").where("doc_id = least").select(F.col("doc_id").alias("id"), "same", "keys").dropDuplicates(["id", "same"]))
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    shared = saved(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+    pairs = saved(shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    used = nodes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "same")
+    hashes = lambda h: h[:SKETCH].tobytes()
+    sets = saved(_per_text(texts.join(used, ["doc_id", "same"], "left_semi"), "hashes", "binary", hashes).drop("same").dropDuplicates(["doc_id"]))
+    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("hashes").alias("s" + n))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = lambda x: np.frombuffer(x.as_py(), np.uint32)
+        hashes = lambda x: np.frombuffer(x.as_py(), np.uint64)
         for b in batches:
-            ok = [similarity(sketch(x), sketch(y)) >= SIMILAR for x, y in zip(b.column("sa"), b.column("sb"))]
+            ok = [similarity(hashes(x), hashes(y)) >= SIMILAR for x, y in zip(b.column("sa"), b.column("sb"))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
-    roots = components(verified)
+    verified = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    rest = saved(_rest_of_runs(shared, components(verified), nodes, sets))
+    roots = components(verified.unionAll(rest))
     named = least.join(roots.withColumnRenamed("node", "least"), "least", "left").select("same", F.coalesce("root", "least").alias("root"))
     return prints.select("doc_id", "same").join(named, "same").where("doc_id <> root").select("doc_id", "same", "root")
 

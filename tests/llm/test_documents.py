@@ -140,6 +140,66 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert simhash.without_near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_near_duplicates_of_many_edited_copies(spark):
+    """Copies that are nearer to the base text than to each other are all joined through it."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    zipf = [1 / (i + 1) for i in range(3000)]
+    base = rng.choices(words, zipf, k=300)
+    rows = [(1000, " ".join(base))]
+    for i in range(400):
+        w = list(base)
+        for at in rng.sample(range(5, 295), 6):
+            w[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    shingles = {d: {tuple(t.split()[i:i + 5]) for i in range(296)} for d, t in rows}
+    like = {d: len(s & shingles[1000]) / len(s | shingles[1000]) for d, s in shingles.items()}
+    want = {d for d, x in like.items() if x >= 0.8}
+    assert len(want) > 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.root for r in simhash.near_duplicates(df, "doc_id", "text").collect()}
+    assert want - {min(want)} <= got.keys() and {got[d] for d in want - {min(want)}} == {min(want)}
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_a_run_is_joined_as_all_its_pairs_join_it(sides):
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 60):
+        sets = [np.unique(rng.choice(14, 11).astype(np.uint64)) for _ in range(n)]
+        root, side = rng.integers(0, max(1, n // 2), n), np.arange(n) % sides
+        keys = np.c_[np.arange(n), np.zeros(n, int), np.zeros(n, int)]
+        found = simhash.joined(1, root, side, keys, sets)
+        like = [(i, j) for i in range(n) for j in range(i) if simhash.similarity(sets[i], sets[j]) >= 0.8 and (side[i] != side[j] or len(set(side)) == 1)]
+        assert all((max(p), min(p)) in like for p in found)
+        groups = []
+        for edges in (found, like):
+            of = root.copy()
+            for i, j in edges:
+                of[of == of[i]] = of[j]
+            groups.append({frozenset(np.flatnonzero(of == x)) for x in of})
+        assert groups[0] == groups[1]
+        assert simhash.joined(2, root, side, keys, sets) == []  # each pair in the run of its first common key only
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_near_duplicates_test_what_stars_leave_apart(spark, monkeypatch, block):
+    """Chains of texts, each like the next only: their middle is no star."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(12)
+    rows = []
+    for c in range(4):
+        w = [f"c{c}w{i}" for i in range(200)]
+        for i in range(25):
+            rows.append((rng.randrange(10**9), " ".join(w)))
+            w[8 * i % 200:8 * i % 200 + 8] = [f"c{c}new{i}w{j}" for j in range(8)]
+    ids = [d for d, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.root for r in simhash.near_duplicates(df, "doc_id", "text").collect()}
+    for c in range(4):
+        chain = ids[25 * c:25 * c + 25]
+        assert {d: got.get(d, d) for d in chain} == {d: min(chain) for d in chain}
+
+
 def plain_score(item, text):
     """Smith-Waterman by the textbook."""
     a, b = [[w.lower().strip(".,") for w in x.split()] for x in (item, text)]
