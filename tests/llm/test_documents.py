@@ -200,6 +200,25 @@ def test_near_duplicates_test_what_stars_leave_apart(spark, monkeypatch, block):
         assert {d: got.get(d, d) for d in chain} == {d: min(chain) for d in chain}
 
 
+@pytest.mark.parametrize("edits", [5, 6])
+def test_near_duplicates_have_no_other_filter_than_their_shingles(spark, edits):
+    """Pairs just over 0.8, of any number of words and any fingerprint."""
+    rng = random.Random(13)
+    rows, want = [], set()
+    for i in range(300):
+        w = [f"{i}w{j}" for j in range(60 * edits)]
+        rows.append((2 * i, " ".join(w)))
+        for k in range(edits):
+            w[30 + 55 * k] = f"{i}edit{k}"
+        rows.append((2 * i + 1, " ".join(w)))
+        want.add(2 * i + 1)
+    passage = [" ".join(f"p{i}" for i in range(100))] * 3
+    rows += [(5000, passage[0]), (5001, "\n".join(passage))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.root for r in simhash.near_duplicates(df, "doc_id", "text").collect()}
+    assert got == {d: d - 1 for d in want | {5001}}
+
+
 def plain_score(item, text):
     """Smith-Waterman by the textbook."""
     a, b = [[w.lower().strip(".,") for w in x.split()] for x in (item, text)]
