@@ -205,8 +205,6 @@ SIMILAR, SHINGLE = 0.8, 5
 KEYS, MINIMA = 40, 4
 #: Texts that a task compares with as many others.
 BLOCK = 2000
-#: Least shingle hashes that a document keeps for verification: all of a shorter text's, so that its similarity is exact.
-SKETCH = 512
 
 
 def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -221,12 +219,9 @@ def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sketches: of the whole sets where both are whole, else over their joint least hashes."""
-    if len(a) < SKETCH and len(b) < SKETCH:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both / max(1, len(a) + len(b) - both)
-    least = np.union1d(a, b)[:SKETCH]
-    return float(np.mean(np.isin(least, a, assume_unique=True) & np.isin(least, b, assume_unique=True)))
+    """Jaccard similarity of two sorted sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def min_keys(h: np.ndarray) -> np.ndarray:
@@ -321,8 +316,8 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Near-copies share at least 0.8 of their distinct five-word shingles, words lower-cased in A-Z. Equal texts (`same`
     is their MD5) are one node. Texts that share one of 40 MinHash keys are candidates. Of each run of one key, all are
     compared with the text whose keys are the most common; pairs that this leaves apart are then compared one by one, so no
-    candidate pair stays untested unless its texts are joined already. Similarity is exact for up to 511 distinct
-    shingles, beyond that over the 512 least hashes.
+    candidate pair stays untested unless its texts are joined already. Similarity is that of
+    the whole sets of 64-bit shingle hashes, whatever their size.
     Null texts are empty texts. Rows without id are never listed; rows of equal id and text are one document.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("same"), F.col(text).alias("text")).where("doc_id is not null")
@@ -335,8 +330,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     hubs = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
     pairs = saved(shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     used = nodes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "same")
-    hashes = lambda h: h[:SKETCH].tobytes()
-    sets = saved(_per_text(texts.join(used, ["doc_id", "same"], "left_semi"), "hashes", "binary", hashes).drop("same").dropDuplicates(["doc_id"]))
+    sets = saved(_per_text(texts.join(used, ["doc_id", "same"], "left_semi"), "hashes", "binary", np.ndarray.tobytes).drop("same").dropDuplicates(["doc_id"]))
     side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("hashes").alias("s" + n))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

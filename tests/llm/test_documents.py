@@ -219,6 +219,21 @@ def test_near_duplicates_have_no_other_filter_than_their_shingles(spark, edits):
     assert got == {d: d - 1 for d in want | {5001}}
 
 
+def test_near_duplicates_of_long_texts_are_exact(spark):
+    """Pairs a little over and a little under 0.8 of far more than 512 shingles."""
+    rows, want = [], {}
+    for i in range(120):
+        w = [f"{i}w{j}" for j in range(3004)]
+        rows.append((2 * i, " ".join(w)))
+        changed = 330 if i % 2 else 337
+        rows.append((2 * i + 1, " ".join([f"{i}new{j}" for j in range(changed)] + w[changed:])))
+        if (3000 - changed) / (3000 + changed) >= 0.8:
+            want[2 * i + 1] = 2 * i
+    assert len(want) == 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.root for r in simhash.near_duplicates(df, "doc_id", "text").collect()} == want
+
+
 def plain_score(item, text):
     """Smith-Waterman by the textbook."""
     a, b = [[w.lower().strip(".,") for w in x.split()] for x in (item, text)]
