@@ -190,7 +190,7 @@ def class_balanced_mixture(items, quotas, seed, epoch) -> DataFrame:
 
 def even_subsample(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows at evenly spaced ranks of `order` (rounded half to even); all rows when n >= size."""
-    ranked = S.attach_row(S.order_ranks(df, [], order, "_rank"),
+    ranked = S.attach_row(S.range_ranks(df, [], [order], "_rank"),
                           df.agg(F.count(F.lit(1)).alias("_size")))
     size = df.agg(F.count(F.lit(1)).alias("_size"))
     steps = S.attach_row(df.sparkSession.range(n).withColumnRenamed("id", "_i"), size)
@@ -205,7 +205,7 @@ def stride_subsample(df: DataFrame, order: str, per: int, keys=("decision",)) ->
     """Per key, every step-th row in `order` (step = size div per, at least 1), the first `per`."""
     keys = list(keys)
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    r = S.order_ranks(df, keys, order, "_rank").join(size, keys)
+    r = S.range_ranks(df, keys, [order], "_rank").join(size, keys)
     step = F.greatest(F.lit(1), F.expr(f"_size div {per}"))
     at = F.col("_rank") - 1
     return r.where((at % step == 0) & (at / step < per)).drop("_rank", "_size")

@@ -169,25 +169,27 @@ def smallest_by_hash(df: DataFrame, keys, h: str, tie: str, quota: Column | int,
         F.col("_r") <= F.col("_take")).select(*df.columns)
 
 
-def order_ranks(df: DataFrame, keys, order: str, name: str = "rank", buckets: int = 256
-                ) -> DataFrame:
-    """1-based rank by a unique numeric column within the keys, via value buckets.
+def range_ranks(df: DataFrame, keys, order, name: str = "rank") -> DataFrame:
+    """1-based rank of every row by the `order` columns within the keys; keys may be null.
 
-    Bucket edges span the observed range per key; ranks add the counts of lower buckets.
+    Rows are dealt by ranges of (keys, order), whose edges Spark takes from a quantile sketch of the rows
+    themselves: a hot key, a value that many rows share and one far outlier all get ranges of their
+    share. Rank = rows of the key in lower ranges + row_number in the row's own. Rows that agree
+    in all order columns share a range, so end `order` with a tie-breaker.
     """
-    keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    d = df.join(span, keys) if keys else attach_row(df, span)
-    width = F.greatest((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(1e-12))
-    d = d.withColumn("_b", F.floor((F.col(order) - F.col("_lo")).cast("double") / width
-                                   * buckets).cast("int"))
-    sizes = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(below), F.lit(0)
-                                                   ).alias("_off"))
-    w = Window.partitionBy(*keys, "_b").orderBy(order)
-    ranked = d.withColumn("_r", F.row_number().over(w)).join(offsets, [*keys, "_b"])
-    return ranked.select(*df.columns, (F.col("_off") + F.col("_r")).alias(name))
+    keys, order = list(keys), [F.col(o) if isinstance(o, str) else o for o in order]
+    part, size, below = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    dealt = written(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()))
+    lower = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(size))
+    offsets = sizes.select(*keys, part, F.coalesce(F.sum(size).over(lower), F.lit(0)).alias(below))
+    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order)))
+    a, b = inside.alias("a"), offsets.alias("b")
+    same = F.lit(True)
+    for c in [*keys, part]:
+        same &= F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    plain = [F.col(f"a.`{c}`") for c in df.columns if c != name]
+    return a.join(b, same).select(*plain, (F.col(f"b.`{below}`") + F.col(f"a.`{name}`")).alias(name))
 
 
 # -- exact quantiles ------------------------------------------------------------------------------
