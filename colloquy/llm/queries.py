@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import decontam, licenses, mixing, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
+from colloquy.llm import decontam, importance, licenses, mixing, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
 from colloquy.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,33 @@ SELECT base.doc_id, base.path, coalesce(own.license, inh.license) AS license,
        CASE WHEN own.license IS NOT NULL THEN base.path ELSE inh.path END AS licensed_by
 FROM base LEFT JOIN own ON own.path = base.path LEFT JOIN inh ON inh.home = regexp_replace(base.path, '(^|/)[^/]*$', '')
 """
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# the CRC-32 of each distinct word, from its 256 remainders
+SQL["op11_importance"] = r"""
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+sw AS (SELECT r, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM low),
+tw AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+names AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM sw UNION SELECT word FROM tw)),
+crc AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda p: ('0x' || h[p:p + 1])::BIGINT),
+  lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)::BIGINT % 10000 AS bucket FROM names, tab),
+s AS (SELECT bucket, count(*) AS s FROM sw JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM tw JOIN crc USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM sw) + 10000.0::DOUBLE AS big_s, (SELECT count(*) FROM tw) + 10000.0::DOUBLE AS big_t),
+g AS (SELECT bucket, floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1.0::DOUBLE) * big_s / ((s + 1.0::DOUBLE) * big_t)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM sw JOIN crc USING (word) JOIN g USING (bucket) GROUP BY r),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM low LEFT JOIN w USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM d)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM d WHERE n_features >= 20) * 10 // 100 THEN place END::BIGINT AS rank FROM k
+"""
