@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm import decontam, importance, licenses, mixing, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
+from colloquy.llm import collocations, decontam, importance, licenses, maxent, mixing, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
 from colloquy.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,36 @@ k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score
 SELECT doc_id, n_features, weight, score,
        CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM d WHERE n_features >= 20) * 10 // 100 THEN place END::BIGINT AS rank FROM k
 """
+
+
+@query
+def op12_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return maxent.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", held_out)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), "lang", "text")
+
+
+SQL["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, range(1, 6) r(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+x AS MATERIALIZED (SELECT lang, phrase, a, i, array_to_string(ws[1:i], ' ') AS head, array_to_string(ws[i + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+cut AS (SELECT x.lang, x.phrase, a, i, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+        FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.rest JOIN n ON n.lang = x.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+sub AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN sub USING (lang, phrase) WHERE sub.longer IS NULL OR 100 * sub.longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
