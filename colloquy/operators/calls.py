@@ -12,6 +12,8 @@ from colloquy.operators.scale import chunk_scan, covering, written
 
 BUCKET_MS = 10_000
 SCAN_MS = 600_000
+#: Onsets of a line are folded in chunks of this many ms, chunks in groups of FOLD_FAN.
+FOLD_MS, FOLD_FAN = 10_000, 256
 OVER, PAUSE = "user_speech_during_agent", "user_pause"
 
 
@@ -29,29 +31,65 @@ def speech_over_agent(seg: DataFrame, lines: DataFrame | None = None) -> DataFra
         "call_id", "seg", "onset", "user_end", "l.*")
 
 
-def cut_lines(over: DataFrame) -> DataFrame:
-    """One row per agent line spoken over: its final end and which onsets still met it.
+def _after(e: Column, start: Column, to: Column) -> Column:
+    """A stretch of onsets as a function of a line's end: beyond its first stop's onset it gives one end, whatever came in."""
+    return F.when(e > start, to).otherwise(e)
+
+
+def _handed_on(parts: str, name: str, end: Column) -> Column:
+    """[(name, end)]: the end that reaches each part of an ordered array of stretches."""
+    empty = F.struct(end.alias("end"), F.array().cast(f"array<struct<{name}:bigint,end:double>>").alias("out"))
+    return F.aggregate(parts, empty, lambda s, p: F.struct(
+        _after(s["end"], p["start"], p["to"]).alias("end"),
+        F.array_append(s["out"], F.struct(p[name].alias(name), s["end"].alias("end"))).alias("out")))["out"]
 
-    over: speech_over_agent rows with `stops` BOOLEAN and `effective_ms`. A stop shortens the line,
-    and later speech sees the shortened line: a fold over the line's onsets in order.
-    """
-    g = over.groupBy("call_id", "line", "line_end").agg(F.array_sort(F.collect_list(F.struct(
-        "onset", "seg", "stops", F.col("effective_ms").cast("double").alias("eff")))).alias("on"))
-    end = F.col("line_end").cast("double")
-    start = F.struct(end.alias("end"), F.lit(False).alias("cut"),
-                     F.array().cast("array<int>").alias("met"))
 
-    def step(s, o):
-        meets = o["onset"] < s["end"]
-        cuts = meets & o["stops"]
-        return F.struct(
-            F.when(cuts, F.least(o["eff"], end)).otherwise(s["end"]).alias("end"),
-            (s["cut"] | cuts).alias("cut"),
-            F.when(meets, F.array_append(s["met"], o["seg"])).otherwise(s["met"]).alias("met"))
+def _composed(parts: str) -> Column:
+    """(start, to) of an ordered array of stretches as one stretch."""
+    stops = F.filter(parts, lambda p: p["start"].isNotNull())
+    return F.struct(F.get(stops, F.lit(0))["start"].alias("start"), F.aggregate(
+        stops, F.lit(float("inf")), lambda e, p: _after(e, p["start"], p["to"])).alias("to"))
 
-    return g.withColumn("s", F.aggregate("on", start, step)).select(
-        "call_id", "line", "line_end", F.col("s.end").alias("spoken_end"),
-        F.col("s.cut").alias("was_cut"), F.col("s.met").alias("met"))
+
+def fold_onsets(over: DataFrame) -> DataFrame:
+    """(call_id, line, line_end, chunk, spoken_end, was_cut, met): each line's onsets folded in order, in chunks of the clock.
+
+    over: speech_over_agent rows with `stops` BOOLEAN and `effective_ms`. A stop shortens the line, and later speech sees the
+    shortened line. Onsets ascend, so a stretch of them leaves an end alone that lies before its first stop and maps all
+    others to the same end: chunks are reduced to (first stop, end after it), these are composed in groups of FOLD_FAN and then
+    over the line, and a second pass folds every chunk from the end that reaches it. No task holds more than a chunk's onsets, FOLD_FAN
+    chunks, or one row for every FOLD_FAN chunks of a line.
+    """
+    key = ["call_id", "line", "line_end"]
+    o = over.withColumn("chunk", F.floor(F.col("onset") / FOLD_MS))
+    line_end = F.col("line_end").cast("double")
+    chunks = o.groupBy(*key, "chunk").agg(F.array_sort(F.collect_list(F.struct(
+        "onset", "seg", "stops", F.least(F.col("effective_ms").cast("double"), line_end).alias("eff")))).alias("on"))
+    stop = F.transform(F.filter("on", lambda x: x["stops"]), lambda x: F.struct(x["onset"].cast("double").alias("start"), x["eff"].alias("to")))
+    parts = chunks.withColumn("stops", stop).select(*key, "chunk", _composed("stops").alias("f")).select(*key, "chunk", "f.*")
+    groups = parts.groupBy(*key, F.floor(F.col("chunk") / FOLD_FAN).alias("group")).agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "start", "to"))).alias("parts"))
+    tops = groups.select(*key, "group", _composed("parts").alias("f")).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("group", "f.start", "f.to"))).alias("parts"))
+    to_group = tops.select(*key, F.explode(_handed_on("parts", "group", line_end)).alias("g")).select(*key, "g.group", F.col("g.end").alias("in"))
+    to_chunk = groups.join(to_group, [*key, "group"]).select(*key, F.explode(_handed_on("parts", "chunk", F.col("in"))).alias("c"))
+    to_chunk = to_chunk.select(*key, "c.chunk", F.col("c.end").alias("in"))
+    start = F.struct(F.col("in").alias("end"), F.lit(False).alias("cut"), F.array().cast("array<int>").alias("met"))
+
+    def step(s, x):
+        meets = x["onset"] < s["end"]
+        cuts = meets & x["stops"]
+        return F.struct(F.when(cuts, x["eff"]).otherwise(s["end"]).alias("end"), (s["cut"] | cuts).alias("cut"),
+                        F.when(meets, F.array_append(s["met"], x["seg"])).otherwise(s["met"]).alias("met"))
+
+    folded = chunks.join(to_chunk, [*key, "chunk"]).withColumn("s", F.aggregate("on", start, step))
+    return folded.select(*key, "chunk", F.col("s.end").alias("spoken_end"), F.col("s.cut").alias("was_cut"), F.col("s.met").alias("met"))
+
+
+def cut_lines(folded: DataFrame) -> DataFrame:
+    """(call_id, line, line_end, spoken_end, was_cut): each line spoken over with its final end, from `fold_onsets`."""
+    return folded.groupBy("call_id", "line", "line_end").agg(F.max_by("spoken_end", "chunk").alias("spoken_end"),
+                                                             F.bool_or("was_cut").alias("was_cut"))
 
 
 def spoken_lines(seg: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -174,8 +212,8 @@ def _acts(df: DataFrame, agent: str) -> DataFrame:
         F.col(c).cast("double").alias(c) if c.endswith("_ms") else F.col(c) for c in ACT])
 
 
-def _met(over: DataFrame, cuts: DataFrame) -> DataFrame:
-    met = cuts.select("call_id", F.explode("met").alias("seg"))
+def _met(over: DataFrame, folded: DataFrame) -> DataFrame:
+    met = folded.select("call_id", F.explode("met").alias("seg"))
     return over.join(met, ["call_id", "seg"], "left_semi")
 
 
@@ -191,9 +229,9 @@ def policy_acts(seg: DataFrame, probs: DataFrame, route_labels, budgets: dict,
         "effective_ms", at + float(budgets[OVER])).withColumn(
         "stops", F.col("d.action") == "stop_and_listen")
     over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
-    cuts = written(cut_lines(over))
-    lines = spoken_lines(seg, cuts)
-    barge = _met(over, cuts).select("*", "d.*").withColumn("event", F.lit(OVER)).withColumn(
+    folded = written(fold_onsets(over))
+    lines = spoken_lines(seg, cut_lines(folded))
+    barge = _met(over, folded).select("*", "d.*").withColumn("event", F.lit(OVER)).withColumn(
         "budget_ms", F.lit(float(budgets[OVER]))).withColumn("timer", F.lit(False))
     p = pause_points(seg, lines, cfg.vad_pause_ms).join(
         probs.select("call_id", "seg", "p_complete", "p_route", "p_escalate"), ["call_id", "seg"])
@@ -223,10 +261,10 @@ def naive_acts(seg: DataFrame, silence_ms: int = K.NAIVE_SILENCE_MS, vad_ms: int
     over = speech_over_agent(seg).withColumn("stops", F.lit(True)).withColumn(
         "effective_ms", F.col("onset").cast("double"))
     over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
-    cuts = written(cut_lines(over))
-    lines = spoken_lines(seg, cuts)
+    folded = written(fold_onsets(over))
+    lines = spoken_lines(seg, cut_lines(folded))
     none = F.lit(None).cast("string")
-    barge = _met(over, cuts).select(
+    barge = _met(over, folded).select(
         "call_id", "seg", F.lit(OVER).alias("event"), F.lit("stop_and_listen").alias("action"),
         none.alias("route"), F.lit(False).alias("escalate"),
         F.lit("any user speech stops the agent").alias("reason"),
@@ -259,11 +297,11 @@ def wanted_acts(seg: DataFrame, expect: DataFrame, budgets: dict, cfg: Policy =
         "decided_at_ms", at).withColumn("effective_ms", at + float(budgets[OVER])).withColumn(
         "stops", F.col("action") == "stop_and_listen")
     over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
-    cuts = written(cut_lines(over))
-    lines = spoken_lines(seg, cuts)
+    folded = written(fold_onsets(over))
+    lines = spoken_lines(seg, cut_lines(folded))
     both = {"reason": F.lit("wanted"), "timer": F.lit(False), "escalate": F.coalesce(
         "w_esc", F.lit(False))}
-    barge = _met(over, cuts).withColumns({**both, "route": F.lit(None).cast("string"),
+    barge = _met(over, folded).withColumns({**both, "route": F.lit(None).cast("string"),
                                           "event": F.lit(OVER),
                                           "budget_ms": F.lit(float(budgets[OVER]))})
     p = pause_points(seg, lines, cfg.vad_pause_ms).join(e.where("NOT over_agent"),

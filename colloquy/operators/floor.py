@@ -14,6 +14,7 @@ from colloquy.operators.scale import chunk_scan
 
 CONV = ["conv_id"]
 HISTORY_BLOCK = 512
+TURN_CHUNK = 256
 
 
 def speaker_runs(u: DataFrame, width: int) -> DataFrame:
@@ -64,12 +65,27 @@ def floor_turns(ann: DataFrame) -> DataFrame:
     return g.withColumn("text", _said(F.col("parts")))
 
 
-def current_turn(ann: DataFrame) -> DataFrame:
-    """Everything the row's caller has said since the other side's last claim, row included."""
-    w = Window.partitionBy("conv_id", "caller", "anchor").orderBy("idx").rowsBetween(
-        Window.unboundedPreceding, 0)
-    said = F.array_join(F.collect_list(F.when(F.col("text") != "", F.col("text"))).over(w), " ")
-    return ann.withColumn("turn_text", said).withColumn("turn_start", F.min("idx").over(w))
+def current_turn(ann: DataFrame, width: int = TURN_CHUNK) -> DataFrame:
+    """Everything the row's caller has said since the other side's last claim, row included.
+
+    Rows are joined within chunks of `width` places; each chunk is handed the text of the turn's chunks before it, so a long
+    turn is many tasks and only one row a chunk meets in one.
+    """
+    turn = ["conv_id", "caller", "anchor"]
+    d = ann.withColumn("_chunk", F.floor(F.col("idx") / F.lit(width)))
+    w = Window.partitionBy(*turn, "_chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.when(F.col("text") != "", F.col("text"))
+    inside = d.withColumn("_in", F.array_join(F.collect_list(said).over(w), " ")).withColumn("_first", F.min("idx").over(w))
+    chunks = d.groupBy(*turn, "_chunk").agg(_said(_ordered("idx", "text")).alias("_all"), F.min("idx").alias("_least"))
+    before = Window.partitionBy(*turn).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*turn, "_chunk", F.array_join(F.collect_list(F.when(F.col("_all") != "", F.col("_all"))).over(before), " ").alias("_past"),
+                           F.min("_least").over(before).alias("_start"))
+    a, b = inside.alias("a"), chunks.alias("b")
+    same = F.lit(True)
+    for c in (*turn, "_chunk"):
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    text = F.concat_ws(" ", F.nullif(F.col("b._past"), F.lit("")), F.nullif(F.col("a._in"), F.lit("")))
+    return a.join(b, same).select(*[F.col(f"a.`{c}`") for c in ann.columns], text.alias("turn_text"), F.least("b._start", "a._first").alias("turn_start"))
 
 
 def turn_history(turns: DataFrame, keep: int = K.MAX_HISTORY_TURNS + 1) -> DataFrame:

@@ -43,79 +43,89 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 # -- sequences ------------------------------------------------------------------------------------
 
+#: Chunks (then groups of chunks, and so on) whose carries one window computes.
+FAN = 512
+
+
+def _carries(totals: DataFrame, keys: list[str], at: str, kinds: dict[str, str], levels: int) -> DataFrame:
+    """(keys, at, _c_name): what each chunk is handed by the chunks before (or after) it, from the chunks' totals _t_name.
+
+    On `levels` > 0 chunks are scanned in groups of FAN and the groups' totals are carried by a scan of their own, one
+    level less: sums of sums. No window holds more than FAN rows but for the last one, which has a FAN ** levels-th of the chunks.
+    """
+    up = f"_up{levels}"
+    by = Window.partitionBy(*keys, *([up] if levels else [])).orderBy(at)
+    earlier, later = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    t = lambda name: F.col("_t_" + name)
+    inside = {"lag": lambda n: F.lag(t(n)).over(by), "lead": lambda n: F.lead(t(n)).over(by), "cumsum": lambda n: F.sum(t(n)).over(earlier),
+              "cummax": lambda n: F.max(t(n)).over(earlier), "last_before": lambda n: F.last(t(n), ignorenulls=True).over(earlier),
+              "next_after": lambda n: F.first(t(n), ignorenulls=True).over(later)}
+    if not levels:
+        return totals.select(*keys, at, *[inside[kind](n).alias("_c_" + n) for n, kind in kinds.items()])
+    whole = {"lag": lambda n: F.max_by(t(n), at), "lead": lambda n: F.min_by(t(n), at), "cumsum": lambda n: F.sum(t(n)), "cummax": lambda n: F.max(t(n)),
+             "last_before": lambda n: F.max_by(t(n), F.when(t(n).isNotNull(), F.col(at))), "next_after": lambda n: F.min_by(t(n), F.when(t(n).isNotNull(), F.col(at)))}
+    grouped = totals.withColumn(up, F.floor(F.col(at) / F.lit(FAN)))
+    upper = grouped.groupBy(*keys, up).agg(*[whole[kind](n).alias("_t_" + n) for n, kind in kinds.items()])
+    handed = _carries(upper, keys, up, kinds, levels - 1)
+    own = grouped.select(*keys, at, up, *[inside[kind](n).alias("_i_" + n) for n, kind in kinds.items()])
+    out = []
+    for n, kind in kinds.items():
+        i, c = F.col("_i_" + n), F.col("_c_" + n)
+        both = i + c if kind == "cumsum" else F.greatest(i, c)
+        out.append((F.coalesce(both, i, c) if kind in ("cumsum", "cummax") else F.coalesce(i, c)).alias("_c_" + n))
+    return own.join(handed, [*keys, up]).select(*keys, at, *out)
+
+
 def chunk_scan(df: DataFrame, keys, order, width: int, *, order_value: Column | None = None,
                lag=None, lead=None, cumsum=None, cummax=None, last_before=None, next_after=None,
-               keep_chunk: bool = False) -> DataFrame:
+               keep_chunk: bool = False, levels: int = 1) -> DataFrame:
     """Sequence functions over (keys ordered by `order`), computed per chunk of `width` order units.
 
     lag/lead: value on the neighbouring row. cumsum, cummax: inclusive running sum, maximum. last_before/next_after:
     nearest non-null value strictly before/after the row. Each maps an output name to a column.
     `order` must be unique within the keys; `order_value` is the numeric column that is cut into
     chunks (default: `order` itself) and must not decrease along the order. With `keep_chunk` the
-    chunk column stays, so that a following scan needs no new shuffle.
+    chunk column stays, so that a following scan needs no new shuffle. Chunks get their carries from a scan of
+    chunk totals of `levels` further levels.
     """
-    lag, lead, cumsum, cummax = lag or {}, lead or {}, cumsum or {}, cummax or {}
-    last_before, next_after = last_before or {}, next_after or {}
+    kinds = {name: kind for kind, named in (("lag", lag), ("lead", lead), ("cumsum", cumsum), ("cummax", cummax), ("last_before", last_before),
+                                            ("next_after", next_after)) for name in (named or {})}
+    named = {**(lag or {}), **(lead or {}), **(cumsum or {}), **(cummax or {}), **(last_before or {}), **(next_after or {})}
     keys = list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     key_order = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     position = order_value if order_value is not None else F.col(order[0])
     d = df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(position / F.lit(width)))
     d = d.withColumn("_at", key_order)
-    named = {**lag, **lead, **cumsum, **cummax, **last_before, **next_after}
     for name, c in named.items():
         d = d.withColumn("_v_" + name, c)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_at")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(1, Window.unboundedFollowing)
-    inside, totals, carried = [], [], []
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
-    for name in named:
+    inside, totals = [], []
+    for name, kind in kinds.items():
         v = F.col("_v_" + name)
-        row = F.struct(v.alias("v"))
-        if name in lag:
-            inside.append(F.lag(row).over(w).alias("_i_" + name))
-            totals.append(F.max_by(row, "_at").alias("_t_" + name))
-            carried.append(F.lag("_t_" + name).over(chunks).alias("_c_" + name))
-        elif name in lead:
-            inside.append(F.lead(row).over(w).alias("_i_" + name))
-            totals.append(F.min_by(row, "_at").alias("_t_" + name))
-            carried.append(F.lead("_t_" + name).over(chunks).alias("_c_" + name))
-        elif name in cumsum:
-            inside.append(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)
-                                        ).alias("_i_" + name))
-            totals.append(F.sum(v).alias("_t_" + name))
-            carried.append(F.sum("_t_" + name).over(earlier).alias("_c_" + name))
-        elif name in cummax:
-            inside.append(F.max(v).over(w.rowsBetween(Window.unboundedPreceding, 0)
-                                        ).alias("_i_" + name))
-            totals.append(F.max(v).alias("_t_" + name))
-            carried.append(F.max("_t_" + name).over(earlier).alias("_c_" + name))
-        elif name in last_before:
-            inside.append(F.last(v, ignorenulls=True).over(before).alias("_i_" + name))
-            totals.append(F.max_by(v, F.when(v.isNotNull(), F.col("_at"))).alias("_t_" + name))
-            carried.append(F.last("_t_" + name, ignorenulls=True).over(earlier
-                                                                       ).alias("_c_" + name))
-        else:
-            inside.append(F.first(v, ignorenulls=True).over(after).alias("_i_" + name))
-            totals.append(F.min_by(v, F.when(v.isNotNull(), F.col("_at"))).alias("_t_" + name))
-            carried.append(F.first("_t_" + name, ignorenulls=True).over(later
-                                                                        ).alias("_c_" + name))
-    summary = d.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carried)
-    wide = d.select("*", *inside)
-    joined = wide.join(summary, [*keys, "_chunk"], "left")
+        row = F.struct(v.alias("v"))  # a neighbour whose value is null is still the neighbour
+        present = F.when(v.isNotNull(), F.col("_at"))
+        scan, total = {"lag": lambda: (F.lag(row).over(w), F.max_by(row, "_at")), "lead": lambda: (F.lead(row).over(w), F.min_by(row, "_at")),
+                       "cumsum": lambda: (F.sum(v).over(upto), F.sum(v)), "cummax": lambda: (F.max(v).over(upto), F.max(v)),
+                       "last_before": lambda: (F.last(v, ignorenulls=True).over(before), F.max_by(v, present)),
+                       "next_after": lambda: (F.first(v, ignorenulls=True).over(after), F.min_by(v, present))}[kind]()
+        inside.append(scan.alias("_i_" + name))
+        totals.append(total.alias("_t_" + name))
+    summary = _carries(d.groupBy(*keys, "_chunk").agg(*totals), keys, "_chunk", kinds, levels)
+    joined = d.select("*", *inside).join(summary, [*keys, "_chunk"], "left")
     out = [F.col(c) for c in df.columns if c != "_chunk"]
     if keep_chunk:
         out.append(F.col("_chunk"))
-    for name in named:
+    for name, kind in kinds.items():
         i, c = F.col("_i_" + name), F.col("_c_" + name)
-        if name in cumsum:
+        if kind == "cumsum":
             out.append((F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))).alias(name))
-        elif name in cummax:
+        elif kind == "cummax":
             out.append(F.greatest(i, c).alias(name))
-        elif name in lag or name in lead:
+        elif kind in ("lag", "lead"):
             out.append(F.coalesce(i, c)["v"].alias(name))
         else:
             out.append(F.coalesce(i, c).alias(name))

@@ -39,7 +39,7 @@ def budget_admission(requests: DataFrame, spent: DataFrame, order: str, width: i
     requests: unique integer `order`, worst_usd. The first refusal ends the run, and worst cases
     are not negative, so the admitted rows are a prefix.
     """
-    r = chunk_scan(requests, [], order, width, cumsum={"running_usd": F.col("worst_usd")})
+    r = chunk_scan(requests, [], order, width, cumsum={"running_usd": F.col("worst_usd")}, levels=2)
     r = attach_row(r, spent.agg(F.coalesce(F.sum("spent_usd"), F.lit(0.0)).alias("_spent")))
     return r.withColumn("admitted", F.col("_spent") + F.col("running_usd") <= cap_usd * margin
                         ).drop("_spent")

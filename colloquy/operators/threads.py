@@ -6,32 +6,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H, text as T
-from colloquy.operators.scale import hot_safe_lookup, written
+from colloquy.operators.scale import written
+
+
 
 def known_parents(messages: DataFrame) -> DataFrame:
     """(id, parent_id) with parents that are absent from the table set to NULL."""
     ids = messages.select(F.col("id").alias("parent_id"), F.lit(True).alias("_in"))
-    j = hot_safe_lookup(messages.select("id", "parent_id"), ids, "parent_id")
+    j = messages.select("id", "parent_id").join(ids, "parent_id", "left")
     return j.select("id", F.when(F.col("_in"), F.col("parent_id")).alias("parent_id"))
 
 
 def thread_roots(messages: DataFrame) -> DataFrame:
     """(id, root): pointer doubling, so ceil(log2(depth)) rounds of one lookup join each.
 
-    No chain is deeper than there are messages, so what has not arrived after log2 of their number
-    rounds stands on, or below, a reply cycle; it has no root and is reported with NULL.
+    A round reads the pointers of all messages but moves, and writes, only those that have not arrived: the tables of the
+    rounds together hold a message's last pointer. No chain is deeper than there are messages, so what has not arrived after
+    log2 of their number rounds stands on, or below, a reply cycle; it has no root and is reported with NULL.
     """
-    state = written(known_parents(messages).select("id", F.coalesce("parent_id", "id").alias("ptr"),
-                                                   F.col("parent_id").isNull().alias("done")))
+    state = written(known_parents(messages).select("id", F.coalesce("parent_id", "id").alias("ptr"), F.col("parent_id").isNull().alias("done")))
+    arrived, moving = state.where("done"), state.where("NOT done")
     for _ in range(state.count().bit_length() + 1):
-        if state.where("NOT done").isEmpty():
+        if moving.isEmpty():
             break
-        step = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("nxt"),
-                            F.col("done").alias("at_root"))
-        moved = hot_safe_lookup(state.where("NOT done").drop("done"), step, "ptr").select(
-            "id", F.col("nxt").alias("ptr"), F.col("at_root").alias("done"))
-        state = written(state.where("done").unionByName(moved))
-    return state.select("id", F.when(F.col("done"), F.col("ptr")).alias("root"))
+        ahead = arrived.unionByName(moving).select(F.col("id").alias("ptr"), F.col("ptr").alias("nxt"), F.col("done").alias("at_root"))
+        moved = written(moving.select("id", "ptr").join(ahead, "ptr").select("id", F.col("nxt").alias("ptr"), F.col("at_root").alias("done")))
+        arrived, moving = arrived.unionByName(moved.where("done")), moved.where("NOT done")
+    return arrived.select("id", F.col("ptr").alias("root")).unionByName(moving.select("id", F.lit(None).cast(state.schema["ptr"].dataType).alias("root")))
 
 
 def thread_brand(messages: DataFrame, roots: DataFrame, brands=K.BANK_BRANDS) -> DataFrame:
@@ -55,37 +56,39 @@ def _merge(parts: Column) -> Column:
     return F.aggregate(parts, empty, step)
 
 
+def ancestors(cands: DataFrame, parents: DataFrame, depth: int) -> DataFrame:
+    """(cid, d, node): the ancestors of every candidate at distances 1 to `depth`, by jump pointers.
+
+    Only ids move. The table of jumps over 1, 2, 4 … messages doubles in a self-join each; the ancestors at up to twice the
+    distance are those known plus the known ones after one jump, so log2(depth) joins reach them all.
+    """
+    jump = parents.where("parent_id IS NOT NULL").select(F.col("id").alias("node"), F.col("parent_id").alias("to"))
+    found = cands.select(F.col("id").alias("cid")).join(jump.withColumnRenamed("node", "cid"), "cid").select(
+        "cid", F.lit(1).alias("d"), F.col("to").alias("node"))
+    far = 1
+    while far < depth:
+        jump = written(jump)
+        both = found.select("cid", "node", F.explode(F.array("d", F.col("d") + far)).alias("d")).where(F.col("d") <= depth)
+        moved = F.col("d") > far  # distances up to `far` are kept, those beyond come after the jump
+        found = both.join(jump, "node", "left").where(~moved | F.col("to").isNotNull()).select(
+            "cid", "d", F.when(moved, F.col("to")).otherwise(F.col("node")).alias("node"))
+        far *= 2
+        jump = jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("_beyond")), "to").select("node", F.col("_beyond").alias("to"))
+    return found
+
+
 def ancestor_context(cands: DataFrame, messages: DataFrame, depth: int = K.ANCESTOR_DEPTH,
                      max_turns: int = K.MAX_HISTORY_TURNS) -> DataFrame:
     """Adds agent_last and recent_turns from up to `depth` ancestors of each candidate.
 
-    One lookup join per level, only while some candidate still has an ancestor.
+    Ancestors are found on ids alone; a message's text is cleaned once and joined last.
     """
-    parents = known_parents(messages)
-    table = written(messages.drop("parent_id").join(parents, "id").select(
-        F.col("id").alias("node"), "inbound", "text", F.col("parent_id").alias("up")))
-    front = written(cands.select(F.col("id").alias("cid")).join(
-        parents.select(F.col("id").alias("cid"), F.col("parent_id").alias("node")), "cid"
-        ).where("node IS NOT NULL"))
-    levels = []
-    for d in range(depth):
-        if front.isEmpty():
-            break
-        got = written(hot_safe_lookup(front, table, "node", "inner").select(
-            "cid", F.lit(d).alias("d"), "inbound", T.clean_message(
-                F.col("text"), ~F.col("inbound")).alias("text"), "up"))
-        levels.append(got.drop("up"))
-        front = got.where("up IS NOT NULL").select("cid", F.col("up").alias("node"))
     parts_type = "array<struct<speaker:string,text:string>>"
-    if not levels:
-        return cands.withColumn("agent_last", F.lit("")).withColumn(
-            "recent_turns", F.array().cast(parts_type))
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    g = every.where("text <> ''").groupBy(F.col("cid").alias("id")).agg(F.array_sort(
-        F.collect_list(F.struct((-F.col("d")).alias("o"), F.when(
-            F.col("inbound"), "user").otherwise("agent").alias("speaker"), "text"))).alias("_p"))
+    clean = messages.select(F.col("id").alias("node"), F.when(F.col("inbound"), "user").otherwise("agent").alias("speaker"),
+                            T.clean_message(F.col("text"), ~F.col("inbound")).alias("text")).where("text <> ''")
+    every = ancestors(cands, written(known_parents(messages)), depth).join(clean, "node")
+    g = every.groupBy(F.col("cid").alias("id")).agg(F.array_sort(
+        F.collect_list(F.struct((-F.col("d")).alias("o"), "speaker", "text"))).alias("_p"))
     merged = _merge(F.transform("_p", lambda x: F.struct(x["speaker"].alias("speaker"),
                                                          x["text"].alias("text"))))
     j = cands.join(g.select("id", merged.alias("_t")), "id", "left").withColumn(
@@ -109,7 +112,7 @@ def message_candidates(messages: DataFrame, *, brands=K.BANK_BRANDS, seed=K.SPLI
     m = m.where((n >= min_words) & (n <= max_words) & T.looks_english(F.col("user_partial")))
     roots = written(thread_roots(messages))
     m = m.join(roots, "id")
-    m = hot_safe_lookup(m, thread_brand(messages, roots, brands), "root", "inner")
+    m = m.join(thread_brand(messages, roots, brands), "root")
     group = F.concat(F.lit(prefix + ":"), F.col("root").cast("string"))
     m = m.withColumn("group", group).withColumn("split", H.assign_split(
         F.col("group"), seed, fractions)).withColumn("cue", T.cue_flag(F.col("user_partial")))

@@ -141,7 +141,7 @@ def cut_lines(spark, sf):
     at = F.least(F.col("user_end"), F.col("onset") + K.BARGE_WINDOW_MS).cast("double")
     over = over.withColumn("effective_ms", at + BUDGETS[O.OVER]).withColumn("stops", PO.barge_policy(
         F.col("p_barge"), F.col("p_escalate"))["action"] == "stop_and_listen")
-    return O.cut_lines(over).select("call_id", "line", "spoken_end", "was_cut")
+    return O.cut_lines(O.fold_onsets(over)).select("call_id", "line", "spoken_end", "was_cut")
 
 
 @query("pause_points", f"""WITH {SEG} SELECT * FROM (SELECT u.call_id, u.seg, u.end_ms, (SELECT min(x.at_ms) FROM seg x
