@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import mixed, saved
-from colloquy.llm.dictionary import block_words, with_answers, word_blocks
+from colloquy.llm.dictionary import counted_words, local_ids, with_answers, word_blocks
 from colloquy.operators.scale import range_ranks
 
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
@@ -158,9 +158,9 @@ class Filter:
 
 def common_runs(block: pa.RecordBatch, answers: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A block's text as ids of common words (int32), with -1 between runs; runs of one word are left out."""
-    ids = np.frombuffer(block.column("ids")[0].as_py(), "<i4")
-    ends = np.cumsum(block.column("lengths")[0].values.to_numpy())
-    known = np.full(len(block.column("words")[0].values) + 1, -1, np.int32)  # the last place stands for breaks
+    ids, lengths, size = local_ids(block)
+    ends = np.cumsum(lengths)
+    known = np.full(size + 1, -1, np.int32)  # the last place stands for breaks
     known[answers["pos"]] = answers["id"]
     seq = np.insert(known[ids], ends, -1) if len(ends) else known[ids]
     word = seq >= 0
@@ -275,11 +275,11 @@ def phrase_counts(docs: DataFrame, lang: Column, text: Column, longest: int, lea
     """
     rows = docs.select(lang.alias("group"), F.lit(0).alias("doc"), F.lit(0).alias("slot"), text.alias("text"))
     blocks = word_blocks(rows, tokens)
-    pairs = block_words(blocks)
-    totals = saved(pairs.groupBy("group", "word").agg(F.sum("n").alias("f")))
+    counted = counted_words(blocks)
+    totals = counted.where("first").select("group", "word", F.col("c").alias("f"))
     words = saved(range_ranks(totals.where(F.col("f") >= least), ["group"], [F.desc("f"), "word"], "id").withColumn("id", F.col("id") - 1))
     most = words.agg(F.max("id")).first()[0] or 0
-    answers = pairs.select("block", "group", "pos", "word").join(words, ["group", "word"]).select("block", "pos", "id")
+    answers = counted.where(F.col("c") >= least).select("block", "group", "pos", "word").join(words, ["group", "word"]).select("block", "pos", "id")
     runs = with_answers(blocks.select("block", "group", "words", "lengths", "ids"), answers, common_runs, "group string, ids binary")
     bits = max(int(most).bit_length(), 8)
     grams = merged_filters(shard_filters(runs, longest, bits), bits, least)

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import saved
-from colloquy.llm.dictionary import block_words, with_answers, word_blocks
+from colloquy.llm.common import dropped, saved
+from colloquy.llm.dictionary import counted_words, local_ids, packed, unpacked, with_answers, word_blocks
 
 #: Outputs of both softmaxes: classes, and words of a class.
 WIDTH = 64
@@ -24,6 +24,8 @@ ROWS = 8192
 #: Each round learns from its own share of the documents, all documents once in all.
 ROUNDS = 3
 BATCH, RATE = 4096, 1.0
+#: Rows that a batch meets more often than this are summed by a matrix product.
+OFTEN = 40
 #: Weight rows travel in chunks of this many.
 CHUNK = 512
 START = HEAD + ENDINGS
@@ -95,14 +97,33 @@ def log10_given(model: Model, codes: np.ndarray, place: np.ndarray) -> np.ndarra
     return out
 
 
+def row_sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, sum, n): the gradients of a batch summed by weight row; rows are features x tokens. A row met often is summed by a product
+    of matrices, the others by adding their first, second, … gradients, each row once a pass."""
+    size = rows.shape[1]
+    order = np.argsort(rows.ravel(), kind="stable")
+    flat, token = rows.ravel()[order], order % size
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    n = np.diff(np.concatenate([starts, [len(flat)]]))
+    sums = np.zeros((len(starts), gradient.shape[1]), np.float32)
+    by_count = np.argsort(-n, kind="stable")
+    hot, cold = by_count[:(n > OFTEN).sum()], by_count[(n > OFTEN).sum():]
+    if len(hot):
+        met = np.repeat(np.arange(len(hot)), n[hot])
+        at = np.concatenate([token[starts[h]:starts[h] + n[h]] for h in hot])
+        sums[hot] = np.bincount(met * size + at, minlength=len(hot) * size).reshape(len(hot), size).astype(np.float32) @ gradient
+    for turn in range(n[cold[0]] if len(cold) else 0):
+        cold = cold[:np.searchsorted(-n[cold], -turn, "left")]
+        sums[cold] += gradient[token[starts[cold] + turn]]
+    return flat[starts], sums, n
+
+
 def step(model: Model, touched: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """One descent step on the weight rows of a batch: gradients are summed by row and scaled by the row's past squares."""
-    flat, columns = rows.ravel(), np.ascontiguousarray(gradient.T)
-    found, at = np.unique(flat, return_inverse=True)
-    sums = np.stack([np.bincount(at, np.tile(c, len(rows)), len(found)) for c in columns], axis=1)
+    """One descent step on the weight rows of a batch, each scaled by the row's past squares."""
+    found, sums, n = row_sums(rows, gradient)
     model.squares[found] += (sums * sums).sum(axis=1)
     model.weights[found] -= (RATE * sums / np.sqrt(model.squares[found] + 1.0)[:, None]).astype(np.float32)
-    touched[found] += np.bincount(at, minlength=len(found))
+    touched[found] += n
 
 
 def learn_from(model: Model, touched: np.ndarray, codes: np.ndarray, place: np.ndarray) -> None:
@@ -131,7 +152,8 @@ def places(lengths: np.ndarray) -> np.ndarray:
 
 
 def coded(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(batch.column("codes")[i].as_py(), "<u2").astype(np.int64), batch.column("lengths")[i].values.to_numpy().astype(np.int64)
+    lengths = batch.column("lengths")[i].values.to_numpy().astype(np.int64)
+    return unpacked(batch.column("codes")[i].as_py(), int(lengths.sum())), lengths
 
 
 _PARTS = "chunk int, learner long, touched binary, squares binary, delta binary"
@@ -226,12 +248,10 @@ def encoder(counts: Counts):
     whole = counts.tokens + 0.5 * (counts.distinct + 1)
 
     def encode(block: pa.RecordBatch, answers: dict[str, np.ndarray]) -> pa.RecordBatch:
-        ids = np.frombuffer(block.column("ids")[0].as_py(), "<i4")
-        lengths = block.column("lengths")[0].values.to_numpy().astype(np.int64)
-        size = len(block.column("words")[0].values)
+        ids, lengths, size = local_ids(block)
         c, code = np.zeros(size), np.zeros(size, np.int64)
         if size:
-            c[answers["pos"]], code[answers["pos"]] = answers["c"], answers["code"]
+            c[answers["pos"]], code[answers["pos"]] = answers["word"] // START, answers["word"] % START
         of, spread, lost = counts.n[code], counts.kinds[code], counts.discount[code]
         base = np.log10((c + 0.5) / whole)
         tail = np.where(c > 0, c - lost, lost * spread) / np.maximum(of, 1)
@@ -241,7 +261,7 @@ def encoder(counts: Counts):
         codes = np.insert(code[ids], ends, 0)
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (
             (lengths + 1).astype(np.int32), total((c > 0).astype(np.int64)) + (counts.ends > 0), total(base) + np.log10((counts.ends + 0.5) / whole), total(tail))]
-        return pa.RecordBatch.from_arrays([block.column("block"), block.column("docs"), block.column("slots"), *lists, pa.array([codes.astype("<u2").tobytes()], pa.binary())],
+        return pa.RecordBatch.from_arrays([block.column("block"), block.column("docs"), block.column("slots"), *lists, pa.array([packed(codes)], pa.binary())],
                                           ["block", "docs", "slots", "lengths", "known", "base", "tail", "codes"])
 
     return encode
@@ -263,18 +283,20 @@ def score_texts(docs: DataFrame, doc: str, text: str, held_out) -> DataFrame:
     rows = docs.select(F.lit("").alias("group"), F.col(doc).alias("doc"), slot.alias("slot"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     blocks = word_blocks(rows, tokens)
-    pairs = block_words(blocks)
-    totals = saved(pairs.groupBy("word").agg(F.sum("n").alias("c")))
+    counted = counted_words(blocks)
+    totals = counted.where("first")
     head = totals.where((F.col("c") > 0) & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("c"), "word").limit(HEAD - 1)
     head = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "word"))).alias("w")).select(F.posexplode("w").alias("rank", "w"))
     head = F.broadcast(head.select(F.col("w.word").alias("word"), (F.col("rank") + 1).alias("rank")))  # HEAD words of LONGEST bytes at most
     ending = HEAD + F.pmod(F.crc32(F.right("word", F.lit(2)).cast("binary")), F.lit(ENDINGS))
-    words = saved(totals.join(head, "word", "left").select("word", "c", F.coalesce("rank", ending).cast("int").alias("code")))
+    words = counted.join(head, "word", "left").withColumn("code", F.coalesce("rank", ending).cast("int"))
     taught = blocks.agg(F.sum(F.size(F.filter("slots", lambda s: s >= 0)))).first()[0] or 0
-    counts = training_counts(words, taught)
-    answers = pairs.select("block", "pos", "word").join(words, "word").select("block", "pos", "c", "code")
+    counts = training_counts(words.where("first"), taught)
+    answers = words.select("block", F.col("pos").cast("int").alias("pos"), (F.col("c") * START + F.col("code")).alias("word"))  # one number for both
     encoded = saved(with_answers(blocks.select("block", "words", "docs", "slots", "lengths", "ids"), answers, encoder(counts),
                                  f"block long, docs array<{kind}>, slots array<int>, lengths array<int>, known array<long>, base array<double>, tail array<double>, codes binary"))
+    dropped(blocks)
+    dropped(counted)
     model = untrained(counts)
     for turn in range(ROUNDS if taught else 0):
         model = trained_round(encoded, model, turn)
