@@ -8,16 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.llm.common import mixed, saved
-from colloquy.llm.dictionary import counted_words, local_ids, with_answers, word_blocks
+from colloquy.llm.common import dropped, mixed, saved
+from colloquy.llm.dictionary import counted_words, local_ids, packed, unpacked, with_answers, word_blocks
 from colloquy.operators.scale import range_ranks
 
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
 #: A filter is given out when it has counted this many n-grams.
-FILTER_GRAMS = 2_000_000
+FILTER_GRAMS = 1_000_000
 #: Filters of 2^MERGE_BITS shards meet in one merge, for a 2^MERGE_BITS-th of their keys.
-MERGE_BITS = 5
+MERGE_BITS = 8
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -157,7 +157,7 @@ class Filter:
 
 
 def common_runs(block: pa.RecordBatch, answers: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A block's text as ids of common words (int32), with -1 between runs; runs of one word are left out."""
+    """A block's text as ids of common words from 1 on, packed, with 0 between runs; runs of one word are left out."""
     ids, lengths, size = local_ids(block)
     ends = np.cumsum(lengths)
     known = np.full(size + 1, -1, np.int32)  # the last place stands for breaks
@@ -168,7 +168,7 @@ def common_runs(block: pa.RecordBatch, answers: dict[str, np.ndarray]) -> pa.Rec
     near[1:] |= word[:-1]
     near[:-1] |= word[1:]
     seq = seq[near & (word | np.roll(near, 1))] if len(seq) else seq
-    return pa.RecordBatch.from_arrays([block.column("group"), pa.array([seq.astype("<i4").tobytes()], pa.binary())], ["group", "ids"])
+    return pa.RecordBatch.from_arrays([block.column("group"), pa.array([len(seq)], pa.int64()), pa.array([packed(seq + 1)], pa.binary())], ["group", "size", "ids"])
 
 
 _FILTER = "group string, size int, shard long, segment long, n int, quotient int, runs binary, rest binary, counts binary"
@@ -194,8 +194,8 @@ def shard_filters(runs: DataFrame, longest: int, bits: int) -> DataFrame:
             return filter_batch([{"group": group, "size": size, "shard": 0, "segment": 0, **found.to_row()}])
 
         for batch in batches:
-            for group, data in zip(batch.column("group").to_pylist(), batch.column("ids").to_pylist()):
-                seq = np.frombuffer(data, "<i4")
+            for i in range(batch.num_rows):
+                group, seq = batch.column("group")[i].as_py(), unpacked(batch.column("ids")[i].as_py(), batch.column("size")[i].as_py()) - 1
                 whole = seq >= 0
                 for size in range(2, longest + 1):
                     whole = whole[:-1] & (seq[size - 1:] >= 0)
@@ -207,7 +207,7 @@ def shard_filters(runs: DataFrame, longest: int, bits: int) -> DataFrame:
                         held[group, size] = held.get((group, size), 0) + len(part)
                         if held[group, size] >= FILTER_GRAMS:
                             yield flush(group, size)
-                while sum(held.values()) > 4 * FILTER_GRAMS:  # many groups: the largest first
+                while sum(held.values()) > 2 * FILTER_GRAMS:  # many groups: the largest first
                     yield flush(*max(held, key=held.get))
         for key in list(kept):
             yield flush(*key)
@@ -280,11 +280,14 @@ def phrase_counts(docs: DataFrame, lang: Column, text: Column, longest: int, lea
     words = saved(range_ranks(totals.where(F.col("f") >= least), ["group"], [F.desc("f"), "word"], "id").withColumn("id", F.col("id") - 1))
     most = words.agg(F.max("id")).first()[0] or 0
     answers = counted.where(F.col("c") >= least).select("block", "group", "pos", "word").join(words, ["group", "word"]).select("block", "pos", "id")
-    runs = with_answers(blocks.select("block", "group", "words", "lengths", "ids"), answers, common_runs, "group string, ids binary")
+    runs = saved(with_answers(blocks.select("block", "group", "words", "lengths", "ids"), answers, common_runs, "group string, size long, ids binary"))
+    sizes = saved(totals.groupBy("group").agg(F.sum("f").alias("n")))
+    dropped(blocks)
+    dropped(counted)
     bits = max(int(most).bit_length(), 8)
     grams = merged_filters(shard_filters(runs, longest, bits), bits, least)
     single = words.select("group", F.array("id").alias("gram"), "f")
-    return saved(single.unionByName(grams)), words.select("group", "id", "word"), totals.groupBy("group").agg(F.sum("f").alias("n"))
+    return saved(single.unionByName(grams)), words.select("group", "id", "word"), sizes
 
 
 def collocations(docs: DataFrame, lang: str, text: str, longest: int = 5, least: int = 100, scale: int = 1000, share: int = 100, top: int = 2000) -> DataFrame:
