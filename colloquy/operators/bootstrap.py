@@ -5,6 +5,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy import constants as K
@@ -59,34 +60,61 @@ def _design(g: pd.DataFrame, max_k: int, n_bins: int) -> np.ndarray:
     return x
 
 
-def replicates(rows: DataFrame, samples: int, seed: int, max_k: int, n_bins: int = K.ECE_BINS,
-               block: int = 500) -> DataFrame:
-    """(model, decision, b, metrics...) for every replicate. `rows` come from score_rows."""
-    cols = names(max_k, n_bins)
-    h = H.keyed(seed, "boot", F.col("id"))
-    slim = rows.select(*KEY, F.conv(F.substring(h, 1, 16), 16, -10).cast("bigint").alias("key"),
-                       "y", "pred", "top", "bin", "conf", "sq", "hard")
+#: Replicates of one packed accumulator, and how many tasks' accumulators meet in the first merge.
+PACK, MERGE_FAN = 500, 32
+_PACKED = "model string, decision string, block int, part int, sums binary"
+
+
+def _accumulate(samples: int, max_k: int, n_bins: int):
+    width = len(names(max_k, n_bins))
 
-    def sums(batches):
+    def run(batches):
         acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, g in pdf.groupby(KEY, sort=False):
                 x = _design(g, max_k, n_bins)
                 ids = g["key"].to_numpy(np.int64).view(np.uint64)
-                total = acc.setdefault(key, np.zeros((samples, len(cols))))
-                for b in range(0, samples, block):
-                    m = min(block, samples - b)
+                total = acc.setdefault(key, np.zeros((samples, width)))
+                for b in range(0, samples, PACK):
+                    m = min(PACK, samples - b)
                     total[b:b + m] += poisson_weights(ids, b, m).T @ x
         for (model, decision), total in acc.items():
-            out = pd.DataFrame(total, columns=cols)
-            out.insert(0, "b", np.arange(samples, dtype=np.int32))
-            out.insert(0, "decision", decision)
-            out.insert(0, "model", model)
-            yield out
-
-    schema = "model string, decision string, b int, " + ", ".join(f"{c} double" for c in cols)
-    part = slim.mapInPandas(sums, schema)
-    g = part.groupBy(*KEY, "b").agg(*[F.sum(c).alias(c) for c in cols])
+            yield pd.DataFrame({"model": model, "decision": decision, "block": range(0, samples, PACK), "part": TaskContext.get().partitionId() // MERGE_FAN,
+                                "sums": [total[b:b + PACK].tobytes() for b in range(0, samples, PACK)]})
+
+    return run
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.frombuffer(pdf["sums"].iloc[0]).copy()
+    for more in pdf["sums"].iloc[1:]:
+        total += np.frombuffer(more)
+    return pdf.head(1).assign(sums=[total.tobytes()])
+
+
+def replicates(rows: DataFrame, samples: int, seed: int, max_k: int, n_bins: int = K.ECE_BINS) -> DataFrame:
+    """(model, decision, b, metrics...) for every replicate. `rows` come from score_rows.
+
+    A task sends its sums as one packed row for every PACK replicates, whatever its rows; these are added up in a tree, so no
+    merge takes more than MERGE_FAN tasks' accumulators, or one of each MERGE_FAN tasks. The hard rows are summed in the same
+    pass: their weights are those of a bootstrap over them alone.
+    """
+    cols = names(max_k, n_bins)
+    h = H.keyed(seed, "boot", F.col("id"))
+    slim = rows.select(*KEY, F.conv(F.substring(h, 1, 16), 16, -10).cast("bigint").alias("key"),
+                       "y", "pred", "top", "bin", "conf", "sq", "hard")
+    packed = slim.mapInPandas(_accumulate(samples, max_k, n_bins), _PACKED)
+    packed = packed.groupBy(*KEY, "block", "part").applyInPandas(_merged, _PACKED)
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(_merged(pdf)["sums"].iloc[0]).reshape(-1, len(cols))
+        out = pd.DataFrame(total, columns=cols)
+        out.insert(0, "b", np.arange(len(total), dtype=np.int32) + int(pdf["block"].iloc[0]))
+        out.insert(0, "decision", pdf["decision"].iloc[0])
+        out.insert(0, "model", pdf["model"].iloc[0])
+        return out
+
+    g = packed.groupBy(*KEY, "block").applyInPandas(last, "model string, decision string, b int, " + ", ".join(f"{c} double" for c in cols))
     f1 = F.filter(F.array(*[F.try_divide(2 * F.col(f"tp{i}"), F.col(f"sup{i}") + F.col(f"pre{i}"))
                             for i in range(max_k)]), lambda v: v.isNotNull())
     gap = reduce(lambda a, c: a + c, [F.abs(F.col(f"gap{i}")) for i in range(n_bins)])
@@ -137,3 +165,22 @@ def paired_differences(reps: DataFrame, points: DataFrame, pairs: DataFrame) ->
         "decision", "a", F.col("other").alias("b"), "metric", "point_a", "point_b",
         (F.col("point_a") - F.col("point_b")).alias("difference"),
         F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"), "share_a_not_better")
+
+
+def paired_sets(rows: DataFrame, pairs: DataFrame, points: DataFrame, samples: int, seed: int, max_k: int) -> DataFrame:
+    """Every pair (decision, a, b) of a set compared on the same resampled rows, and on the hard rows alone.
+
+    Adds to `paired_differences` the number of rows that each metric is about. Both models of a pair must be scored on the same
+    ids and labels; a pair that is not fails the job.
+    """
+    have = rows.join(pairs.select("decision", F.explode(F.array("a", "b")).alias("model")).distinct(), KEY, "left_semi")
+    sums = have.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if("hard").alias("n_hard"), F.sum(F.xxhash64("id", "y").cast("decimal(20,0)")).alias("same"))
+    x = sums.select("decision", F.col("model").alias("a"), "n", "n_hard", F.col("same").alias("_a"))
+    y = sums.select("decision", F.col("model").alias("b"), F.col("same").alias("_b"), F.col("n").alias("_n"))
+    sizes = pairs.join(x, ["decision", "a"]).join(y, ["decision", "b"])
+    fits = F.when((F.col("_a") == F.col("_b")) & (F.col("n") == F.col("_n")), True).otherwise(F.raise_error(F.concat_ws(
+        " ", "decision", F.lit("is not scored on the same rows by"), "a", F.lit("and"), "b")).cast("boolean"))
+    sizes = sizes.where(fits).select("decision", "a", "b", "n", "n_hard")
+    d = paired_differences(replicates(have, samples, seed, max_k), points, pairs)
+    n = F.when(F.col("metric") == "hard_accuracy", F.col("n_hard")).otherwise(F.col("n"))
+    return d.join(sizes, ["decision", "a", "b"]).withColumn("n", n).drop("n_hard")

@@ -150,56 +150,96 @@ def words_by(text: Column, at: Column, dur: Column, t: Column, until: Column | N
     return F.slice(w, F.lit(1), F.greatest(n, F.lit(0)))
 
 
-def snapshot_at(points: DataFrame, seg: DataFrame, lines: DataFrame) -> DataFrame:
+def call_words(seg: DataFrame, lines: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """(call_id, pos, kind, i, k, who, words): all that is said in a call, in the order in which it ends, once.
+
+    An agent's word ends by itself, a user segment as a whole. `history` (call_id, k, speaker, text) comes first.
+    """
+    w = F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")
+    ends = lines.select("call_id", F.col("line").alias("seg"), "line_end")
+    agent = seg.where("who = 'agent'").join(ends, ["call_id", "seg"], "left")
+    said = words_by(F.col("text"), F.col("at_ms"), F.col("dur_ms"), F.lit(float("inf")), F.col("line_end"))
+    agent = agent.withColumn("_per", F.col("dur_ms") / F.size(w)).select("call_id", "at_ms", "_per", F.col("seg").cast("bigint").alias("i"),
+                                                                         F.posexplode(said).alias("k", "words"))
+    # rounded, so that a word that ends with the millisecond compares equal to it
+    agent = agent.select("call_id", F.round(F.col("at_ms") + (F.col("k") + 1) * F.col("_per"), 6).alias("pos"), F.lit(0).alias("kind"), "i", "k",
+                         F.lit("agent").alias("who"), "words")
+    user = seg.where("who = 'user' AND dur_ms > 0").select(
+        "call_id", F.col("end_ms").cast("double").alias("pos"), F.lit(2).alias("kind"), F.col("seg").cast("bigint").alias("i"), F.lit(0).alias("k"),
+        F.lit("user").alias("who"), F.array_join(w, " ").alias("words"))
+    out = agent.unionByName(user)
+    if history is None:
+        return out
+    past = history.select("call_id", F.lit(float("-inf")).alias("pos"), F.lit(0).alias("kind"), F.col("k").cast("bigint").alias("i"), F.lit(0).alias("k"),
+                          F.col("speaker").alias("who"), F.array_join(w, " ").alias("words"))
+    return out.unionByName(past)
+
+
+def _clock(c: str) -> Column:
+    """The clock by which a call is cut into chunks; history lies before its start."""
+    return F.greatest(F.col(c), F.lit(-1.0))
+
+
+def snapshot_at(points: DataFrame, seg: DataFrame, lines: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """What is known at each point (call_id, seg, event, t): the call so far as merged turns.
 
-    Adds user_partial, agent_last, recent_turns and agent_speaking. At a speech-over point the
-    decided segment contributes at least one word. A snapshot holds its whole call so far, so its
-    size is bounded by the call, not by the table.
+    Adds user_partial, agent_last, recent_turns and agent_speaking. At a speech-over point the decided segment contributes at
+    least one word. Words are put in order and merged to turns once a call, not once a point: a point looks up the last word
+    before it, takes the turns before that word's and its turn up to it, and adds the user speech that is still going on.
+    A snapshot holds its whole call so far, so its size is bounded by the call, not by the table.
     """
-    s = seg.join(lines.select("call_id", F.col("line").alias("seg"), "line_end"),
-                 ["call_id", "seg"], "left").select(
-        "call_id", F.col("seg").alias("i"), "who", "at_ms", "dur_ms", "end_ms", "text", "line_end")
-    p = points.select("call_id", "seg", "event", "t")
-    decided = (F.col("event") == OVER) & (F.col("i") == F.col("seg"))
-    j = p.join(s, "call_id").where((F.col("at_ms") < F.col("t")) | decided)
-    said = words_by(F.col("text"), F.col("at_ms"), F.col("dur_ms"), F.col("t"), F.col("line_end"))
-    first = F.slice(F.split(F.trim("text"), r"\s+"), 1, 1)
-    j = j.withColumn("w", F.when(decided & (F.size(said) == 0), first).otherwise(said)).where(
-        F.size("w") > 0)
-    n = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " "))
-    per = F.col("dur_ms") / n
-    chunks = F.when(F.col("who") == "agent", F.transform("w", lambda x, k: F.struct(
-        (F.col("at_ms") + (k + 1) * per).alias("at"), F.lit(0).alias("kind"), F.col("i"),
-        k.alias("k"), x.alias("words")))).otherwise(F.array(F.struct(
-            F.least(F.col("end_ms").cast("double"), F.col("t").cast("double")).alias("at"),
-            F.lit(1).alias("kind"), F.col("i"), F.lit(0).alias("k"),
-            F.array_join("w", " ").alias("words"))))
     key = ["call_id", "seg", "event"]
-    c = j.select(*key, "t", "who", F.explode(chunks).alias("c")).select(*key, "t", "who", "c.*")
-    w = Window.partitionBy(*key).orderBy("at", "kind", "i", "k")
-    c = c.withColumn("_new", F.coalesce((F.lag("who").over(w) != F.col("who")).cast("int"),
-                                        F.lit(1))).withColumn("g", F.sum("_new").over(w))
-    turns = c.groupBy(*key, "t", "g").agg(
-        F.first("who").alias("speaker"), F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct("at", "kind", "i", "k", "words"))), lambda x: x["words"]), " ").alias("text"))
-    all_turns = turns.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("g", "speaker", "text"))), lambda x: F.struct(x["speaker"], x["text"])).alias("_t"))
-    out = p.join(all_turns, key, "left").withColumn("_t", F.coalesce("_t", F.array().cast(
-        "array<struct<speaker:string,text:string>>")))
+    order = ["pos", "kind", "i", "k"]
+    words = chunk_scan(call_words(seg, lines, history), ["call_id"], order, SCAN_MS, order_value=_clock("pos"), lag={"_prev": F.col("who")})
+    fresh = F.col("_prev").isNull() | (F.col("_prev") != F.col("who"))
+    words = chunk_scan(words, ["call_id"], order, SCAN_MS, order_value=_clock("pos"), cumsum={"g": fresh.cast("bigint")})
+    words = written(words.select("call_id", *order, "who", "words", "g"))
+    p = points.select(*key, F.col("t").cast("double").alias("t"))
+    # after the agent's words that end by t, before the user segments that end then: those still count as going on
+    asks = p.select("call_id", F.col("t").alias("pos"), F.lit(1).alias("kind"), F.col("seg").cast("bigint").alias("i"),
+                    F.when(F.col("event") == OVER, 0).otherwise(1).alias("k"), F.lit(None).cast("bigint").alias("g"), "seg", "event", "t")
+    both = words.select("call_id", *order, "g").unionByName(asks, allowMissingColumns=True)
+    at = chunk_scan(both, ["call_id"], order, SCAN_MS, order_value=_clock("pos"), last_before={"_g": F.col("g")}).where("event IS NOT NULL").select(
+        *key, "t", F.col("_g").alias("g"))
+    turns = words.groupBy("call_id", "g").agg(F.first("who").alias("speaker"), F.array_sort(F.collect_list(F.struct(*order, "words"))).alias("said"))
+    text = F.array_join(F.transform("said", lambda x: x["words"]), " ")
+    whole = turns.groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "speaker", text.alias("text")))), lambda x: F.struct(
+        x["speaker"].alias("speaker"), x["text"].alias("text"))).alias("_all"))
+    heard = F.filter("said", lambda x: (x["pos"] < F.col("t")) | ((x["pos"] == F.col("t")) & (x["kind"] == 0)))
+    last = at.join(turns, ["call_id", "g"]).select(*key, F.struct("speaker", F.array_join(F.transform(heard, lambda x: x["words"]), " ").alias("text")).alias("_last"))
+
+    users = seg.where("who = 'user'").select("call_id", F.col("seg").alias("i"), "at_ms", "dur_ms", "end_ms", "text")
+    spans = users.select("call_id", "i", "at_ms", "dur_ms", "end_ms", "text", (F.col("end_ms") + 1).alias("_until"))
+    own = (F.col("event") == OVER) & (F.col("i") == F.col("seg"))
+    going = covering(p, spans, "call_id", "t", "at_ms", "_until", width=BUCKET_MS).where((F.col("at_ms") < F.col("t")) & (F.col("t") <= F.col("end_ms")) & ~own).drop("_until")
+    decided = p.where(F.col("event") == OVER).join(users.withColumn("seg", F.col("i")), ["call_id", "seg"]).where(F.col("t") <= F.col("end_ms"))
+    going = going.unionByName(decided)
+    by_now = words_by(F.col("text"), F.col("at_ms"), F.col("dur_ms"), F.col("t"))
+    first = F.slice(F.split(F.trim("text"), r"\s+"), 1, 1)
+    going = going.withColumn("w", F.when(own & (F.size(by_now) == 0), first).otherwise(by_now)).where(F.size("w") > 0)
+    going = going.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.array_join("w", " ").alias("x")))), lambda r: r["x"]), " ").alias("_now"))
+
+    none = F.array().cast("array<struct<speaker:string,text:string>>")
+    out = at.join(whole, "call_id", "left").join(last, key, "left").join(going, key, "left")
+    before = F.when(F.col("g") > 1, F.slice("_all", F.lit(1), F.col("g").cast("int") - 1)).otherwise(none)
+    out = out.withColumn("_t", F.when(F.col("_last").isNull(), none).otherwise(F.array_append(before, F.col("_last")))).drop("_all", "_last")
+    end = F.try_element_at("_t", F.lit(-1))
+    joins = F.coalesce(end["speaker"] == "user", F.lit(False))
+    added = F.struct(F.lit("user").alias("speaker"), F.when(joins, F.concat_ws(" ", end["text"], "_now")).otherwise(F.col("_now")).alias("text"))
+    rest = F.when(joins, F.slice("_t", F.lit(1), F.size("_t") - 1)).otherwise(F.col("_t"))
+    out = out.withColumn("_t", F.when(F.col("_now").isNull(), F.col("_t")).otherwise(F.array_append(rest, added)))
 
     def pop(df, who, name):
         last = F.try_element_at("_t", F.lit(-1))
         is_who = F.coalesce(last["speaker"] == who, F.lit(False))
         return df.withColumn(name, F.when(is_who, last["text"]).otherwise("")).withColumn(
-            "_t", F.when(is_who, F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0)))
+            "_t", F.when(is_who, F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0)))
                          ).otherwise(F.col("_t")))
 
     out = pop(pop(out, "user", "user_partial"), "agent", "agent_last")
-    talking = covering(p.withColumn("at", F.col("t")), lines.select("call_id", "line_at", "line_end"),
-                       "call_id", "at", "line_at", "line_end", width=BUCKET_MS).select(*key).distinct()
+    talking = covering(p, lines.select("call_id", "line_at", "line_end"), "call_id", "t", "line_at", "line_end", width=BUCKET_MS).select(*key).distinct()
     talking = talking.withColumn("agent_speaking", F.lit(True))
-    return out.withColumnRenamed("_t", "recent_turns").join(talking, key, "left").na.fill(
+    return out.select(*key, F.col("t"), "user_partial", "agent_last", F.col("_t").alias("recent_turns")).join(talking, key, "left").na.fill(
         False, ["agent_speaking"])
 
 

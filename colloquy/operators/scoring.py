@@ -190,31 +190,53 @@ def nll(pred: DataFrame, temperature=1.0) -> DataFrame:
                                         ).alias("nll"), F.count(F.lit(1)).alias("n"))
 
 
-def fit_temperature(pred: DataFrame, bounds=K.TEMPERATURE_BOUNDS, points: int = 33,
-                    rounds: int = 5) -> DataFrame:
+def _slopes(z: Column, y: Column, b: Column) -> Column:
+    """NLL of softmax(b z) at y with its first and second derivative in b, from one pass over the logits."""
+    top = F.array_max(z)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def add(acc, x):
+        d = x - top
+        e = F.exp(b * d)
+        return F.struct((acc["s"] + e).alias("s"), (acc["m"] + e * d).alias("m"), (acc["q"] + e * d * d).alias("q"))
+
+    def finish(acc):
+        mean, own = acc["m"] / acc["s"], F.get(z, y) - top
+        return F.struct((F.log(acc["s"]) - b * own).alias("nll"), (mean - own).alias("d1"), (acc["q"] / acc["s"] - mean * mean).alias("d2"))
+
+    return F.aggregate(z, start, add, finish)
+
+
+def fit_temperature(pred: DataFrame, bounds=K.TEMPERATURE_BOUNDS, rounds: int = 12) -> DataFrame:
     """Per (model, decision) the temperature with the least mean NLL.
 
-    The NLL is convex in 1/T, so each round evaluates one grid over u = log(1/T) for all decisions
-    in one pass and zooms into the two cells around the best point.
+    Safeguarded Newton on u = log(1/T), in which the NLL has one minimum: each round is one aggregate of NLL, slope and curvature
+    for all decisions. The slope's sign tells which side of u stays; a step that leaves what is left goes to its end,
+    or to its middle if that end was tried before.
     """
     lo0, hi0 = float(np.log(1 / bounds[1])), float(np.log(1 / bounds[0]))
-    span = pred.select(*KEY).distinct().withColumn("lo", F.lit(lo0)).withColumn("hi", F.lit(hi0))
     rows = pred.select(*KEY, "logits", "y")
-    for r in range(rounds):
-        step = (F.col("hi") - F.col("lo")) / (points - 1)
-        x = rows.join(span, KEY).select("*", F.explode(F.sequence(
-            F.lit(0), F.lit(points - 1))).alias("i")).withColumn("u", F.col("lo") + step * F.col("i"))
-        g = x.groupBy(*KEY, "lo", "hi", "i", "u").agg(F.avg(P.nll_row(
-            F.col("logits"), F.col("y"), F.exp(-F.col("u")))).alias("nll"),
-            F.count(F.lit(1)).alias("n"))
-        best = g.groupBy(*KEY, "lo", "hi", "n").agg(
-            F.min_by("u", F.struct("nll", "i")).alias("u"), F.min("nll").alias("nll_after"))
-        span = best.select(*KEY, F.greatest(F.col("lo"), F.col("u") - step).alias("lo"),
-                           F.least(F.col("hi"), F.col("u") + step).alias("hi"))
+    state = pred.select(*KEY).distinct().select(*KEY, F.lit(lo0).alias("lo"), F.lit(hi0).alias("hi"), F.lit(False).alias("at_lo"), F.lit(False).alias("at_hi"),
+                                                F.lit(min(max(0.0, lo0), hi0)).alias("u"))
+    for r in range(rounds + 1):
+        held = ["lo", "hi", "at_lo", "at_hi", "u"]
+        x = rows.join(state, KEY).withColumn("_s", _slopes(F.col("logits"), F.col("y"), F.exp("u")))
+        x = x.groupBy(*KEY, *held).agg(F.avg("_s.nll").alias("nll_after"), F.avg("_s.d1").alias("d1"), F.avg("_s.d2").alias("d2"), F.count(F.lit(1)).alias("n"))
+        if r == rounds:
+            break
+        beta = F.exp("u")
+        slope, bend = beta * F.col("d1"), beta * beta * F.col("d2") + beta * F.col("d1")
+        lower = slope > 0  # the minimum lies below u
+        x = x.select(*KEY, F.when(lower, F.col("lo")).otherwise(F.col("u")).alias("lo"), F.when(lower, F.col("u")).otherwise(F.col("hi")).alias("hi"),
+                     (F.col("at_lo") | ~lower).alias("at_lo"), (F.col("at_hi") | lower).alias("at_hi"),
+                     F.when(bend > 0, F.col("u") - slope / bend).otherwise(F.when(lower, lo0 - 1).otherwise(hi0 + 1)).alias("u"))
+        middle = (F.col("lo") + F.col("hi")) / 2
+        state = x.withColumn("u", F.when(F.col("u") <= F.col("lo"), F.when(F.col("at_lo"), middle).otherwise(F.col("lo"))).when(
+            F.col("u") >= F.col("hi"), F.when(F.col("at_hi"), middle).otherwise(F.col("hi"))).otherwise(F.col("u")))
     at_bound = (F.abs(F.col("u") - lo0) < 1e-3) | (F.abs(F.col("u") - hi0) < 1e-3)
     before = nll(pred).select(*KEY, F.col("nll").alias("nll_before"))
-    return best.select(*KEY, F.exp(-F.col("u")).alias("temperature"), "nll_after", "n",
-                       at_bound.alias("at_bound")).join(before, KEY)
+    return x.select(*KEY, F.exp(-F.col("u")).alias("temperature"), "nll_after", "n",
+                    at_bound.alias("at_bound")).join(before, KEY)
 
 
 def parity(rows: DataFrame, theta: float | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Scores, calibration, intervals and threshold sweeps over all predictions."""
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H, probs as P, text as T
@@ -175,26 +177,29 @@ def _mix(x: str, shift: int, mul: int) -> str:
     return f"((xor({x}, {x} >> {shift})::UHUGEINT * {mul}::UHUGEINT) % {_M})::UBIGINT"
 
 
-def sql_replicates(k: int = 10) -> str:
+def sql_replicates(decision: str = "route10", v: str = "", points: bool = False) -> str:
+    """CTE {v}lrep(model, b, metric, v) over the replicates, or with `points` over all rows once; {v} starts all names."""
     cuts = " + ".join(f"(u >= {c})::INT" for c in B.poisson_cuts())
-    return f"""{SQL_S}, {D.sql_scored('b', 'route10', 'sb')},
-am AS (SELECT 'a' AS model, * FROM s UNION ALL SELECT 'b', * FROM sb),
-k0 AS (SELECT id, b, ((('0x' || substr(sha256('{K.BOOTSTRAP_SEED}:boot:' || id), 1, 16))::UBIGINT::UHUGEINT
-  + (b + 1)::UHUGEINT * {B.GOLDEN}::UHUGEINT) % {_M})::UBIGINT AS z FROM s, range({REPS}) t(b)),
-k1 AS (SELECT id, b, {_mix('z', 30, B.MIX1)} AS z FROM k0),
-k2 AS (SELECT id, b, {_mix('z', 27, B.MIX2)} AS z FROM k1),
-k3 AS (SELECT id, b, xor(z, z >> 31) >> 40 AS u FROM k2),
-kw AS (SELECT id, b, {cuts} AS w FROM k3),
-x AS (SELECT model, b, w, y, pred, conf, hard, {SQL_BIN} AS bin, {SQL_SQ} AS sq FROM am JOIN kw USING (id)),
-x1 AS (SELECT model, b, sum(w) AS n, sum(w * (y = pred)::INT) AS hit, sum(w * sq) AS sq,
-  sum(CASE WHEN hard THEN w ELSE 0 END) AS hn, sum(CASE WHEN hard AND y = pred THEN w ELSE 0 END) AS hh FROM x GROUP BY 1, 2),
-x2 AS (SELECT model, b, sum(g) AS gap FROM (SELECT model, b, bin, abs(sum(w * ((y = pred)::INT - conf))) AS g FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2),
-xc AS (SELECT model, b, y AS c, 2 * sum(CASE WHEN y = pred THEN w ELSE 0 END) AS tp, sum(w) AS s FROM x GROUP BY 1, 2, 3
-  UNION ALL SELECT model, b, pred, 0, sum(w) FROM x GROUP BY 1, 2, 3),
-x3 AS (SELECT model, b, avg(f) AS f1 FROM (SELECT model, b, c, sum(tp) / nullif(sum(s), 0)::DOUBLE AS f FROM xc GROUP BY 1, 2, 3) GROUP BY 1, 2),
-rep AS (SELECT model, b, hit / n::DOUBLE AS accuracy, f1 AS macro_f1, gap / n AS ece, sq / n AS brier, hh / nullif(hn, 0)::DOUBLE AS hard_accuracy
-  FROM x1 JOIN x2 USING (model, b) JOIN x3 USING (model, b)),
-lrep AS (UNPIVOT rep ON accuracy, macro_f1, ece, brier, hard_accuracy INTO NAME metric VALUE v)"""
+    weights = f"{v}kw AS (SELECT id, 0 AS b, 1 AS w FROM {v}s)" if points else f"""
+{v}k0 AS (SELECT id, b, ((('0x' || substr(sha256('{K.BOOTSTRAP_SEED}:boot:' || id), 1, 16))::UBIGINT::UHUGEINT
+  + (b + 1)::UHUGEINT * {B.GOLDEN}::UHUGEINT) % {_M})::UBIGINT AS z FROM {v}s, range({REPS}) t(b)),
+{v}k1 AS (SELECT id, b, {_mix('z', 30, B.MIX1)} AS z FROM {v}k0),
+{v}k2 AS (SELECT id, b, {_mix('z', 27, B.MIX2)} AS z FROM {v}k1),
+{v}k3 AS (SELECT id, b, xor(z, z >> 31) >> 40 AS u FROM {v}k2),
+{v}kw AS (SELECT id, b, {cuts} AS w FROM {v}k3)"""
+    return f"""{D.sql_scored('a', decision, v + 's')}, {D.sql_scored('b', decision, v + 'sb')},
+{v}am AS (SELECT 'a' AS model, * FROM {v}s UNION ALL SELECT 'b', * FROM {v}sb),
+{weights},
+{v}x AS (SELECT model, b, w, y, pred, conf, hard, {SQL_BIN} AS bin, {SQL_SQ} AS sq FROM {v}am JOIN {v}kw USING (id)),
+{v}x1 AS (SELECT model, b, sum(w) AS n, sum(w * (y = pred)::INT) AS hit, sum(w * sq) AS sq,
+  sum(CASE WHEN hard THEN w ELSE 0 END) AS hn, sum(CASE WHEN hard AND y = pred THEN w ELSE 0 END) AS hh FROM {v}x GROUP BY 1, 2),
+{v}x2 AS (SELECT model, b, sum(g) AS gap FROM (SELECT model, b, bin, abs(sum(w * ((y = pred)::INT - conf))) AS g FROM {v}x GROUP BY 1, 2, 3) GROUP BY 1, 2),
+{v}xc AS (SELECT model, b, y AS c, 2 * sum(CASE WHEN y = pred THEN w ELSE 0 END) AS tp, sum(w) AS s FROM {v}x GROUP BY 1, 2, 3
+  UNION ALL SELECT model, b, pred, 0, sum(w) FROM {v}x GROUP BY 1, 2, 3),
+{v}x3 AS (SELECT model, b, avg(f) AS f1 FROM (SELECT model, b, c, sum(tp) / nullif(sum(s), 0)::DOUBLE AS f FROM {v}xc GROUP BY 1, 2, 3) GROUP BY 1, 2),
+{v}rep AS (SELECT model, b, hit / n::DOUBLE AS accuracy, f1 AS macro_f1, gap / n AS ece, sq / n AS brier, hh / nullif(hn, 0)::DOUBLE AS hard_accuracy
+  FROM {v}x1 JOIN {v}x2 USING (model, b) JOIN {v}x3 USING (model, b)),
+{v}lrep AS (UNPIVOT {v}rep ON accuracy, macro_f1, ece, brier, hard_accuracy INTO NAME metric VALUE v)"""
 
 
 def replicate_rows(spark, sf):
@@ -217,14 +222,13 @@ def paired_bootstrap(spark, sf):
     return r6(d, "lo", "hi", "share_a_not_better").select("metric", "lo", "hi", "share_a_not_better")
 
 
-@query("paired_points", f"""WITH {SQL_S}, {D.sql_scored('b', 'route10', 'sb')}, a1 AS (SELECT avg((pred = y)::INT::DOUBLE) AS a FROM s), b1 AS (SELECT avg((pred = y)::INT::DOUBLE) AS b FROM sb)
-SELECT 'accuracy' AS metric, round(a, 6) AS point_a, round(b, 6) AS point_b, round(a - b, 6) AS difference FROM a1, b1""")
+@query("paired_points", f"""WITH {sql_replicates(points=True)} SELECT x.metric, round(x.v, 6) AS point_a, round(y.v, 6) AS point_b, round(x.v - y.v, 6) AS difference
+FROM lrep x JOIN lrep y ON x.metric = y.metric AND x.model = 'a' AND y.model = 'b'""")
 def paired_points(spark, sf):
     pts = O.score_table(rows(spark, sf).unionByName(rows(spark, sf, model="b")), 10)
     pairs = spark.createDataFrame([("route10", "a", "b")], "decision string, a string, b string")
     d = B.paired_differences(replicate_rows(spark, sf), pts.select("model", "decision", *B.METRICS), pairs)
-    return r6(d, "point_a", "point_b", "difference").where("metric = 'accuracy'").select(
-        "metric", "point_a", "point_b", "difference")
+    return r6(d, "point_a", "point_b", "difference").select("metric", "point_a", "point_b", "difference")
 
 
 @query("paired_guard", """SELECT vec_id AS id, CASE WHEN vec_id % 50 = 7 THEN 'missing in b' ELSE 'label differs' END AS problem
@@ -236,21 +240,24 @@ def paired_guard(spark, sf):
     return O.paired_guard(e, other)
 
 
-@query("paired_sets", f"""WITH {D.sql_scored('a', 'route10', 's', '1.0')}, {D.sql_scored('a', 'turn_complete', 't')}, {D.sql_scored('b', 'route10', 'sb')}, {D.sql_scored('b', 'turn_complete', 'tb')}
-SELECT 'route10' AS decision, 'b' AS variant, round((SELECT avg((pred = y)::INT::DOUBLE) FROM sb) - (SELECT avg((pred = y)::INT::DOUBLE) FROM s), 6) AS d_accuracy,
- round((SELECT avg((pred = y)::INT::DOUBLE) FROM sb WHERE hard) - (SELECT avg((pred = y)::INT::DOUBLE) FROM s WHERE hard), 6) AS d_hard
-UNION ALL SELECT 'turn_complete', 'b', round((SELECT avg((pred = y)::INT::DOUBLE) FROM tb) - (SELECT avg((pred = y)::INT::DOUBLE) FROM t), 6),
- round((SELECT avg((pred = y)::INT::DOUBLE) FROM tb WHERE hard) - (SELECT avg((pred = y)::INT::DOUBLE) FROM t WHERE hard), 6)""")
+def sql_pair(decision: str, v: str) -> str:
+    """CTE {v}pair: model a against model b."""
+    return f"""{sql_replicates(decision, v)}, {sql_replicates(decision, v + 'p', points=True)},
+{v}q AS (SELECT x.metric, quantile_cont(x.v - y.v, 0.025) AS lo, quantile_cont(x.v - y.v, 0.975) AS hi,
+  avg(CASE WHEN x.metric IN ('ece','brier') THEN (x.v - y.v >= 0)::INT ELSE (x.v - y.v <= 0)::INT END) AS share
+  FROM {v}lrep x JOIN {v}lrep y ON x.b = y.b AND x.metric = y.metric AND x.model = 'a' AND y.model = 'b' GROUP BY 1),
+{v}pair AS (SELECT '{decision}' AS decision, 'a' AS a, 'b' AS b, metric, round(x.v, 6) AS point_a, round(y.v, 6) AS point_b, round(x.v - y.v, 6) AS difference,
+  round(lo, 6) AS lo, round(hi, 6) AS hi, round(share, 6) AS share_a_not_better,
+  (SELECT count(*) FILTER (metric <> 'hard_accuracy' OR hard) FROM {v}s) AS n
+  FROM {v}q JOIN (SELECT * FROM {v}plrep WHERE model = 'a') x USING (metric) JOIN (SELECT * FROM {v}plrep WHERE model = 'b') y USING (metric))"""
+
+
+@query("paired_sets", f"""WITH {sql_pair('route10', 'r')}, {sql_pair('turn_complete', 't')} SELECT * FROM rpair UNION ALL SELECT * FROM tpair""")
 def paired_sets(spark, sf):
-    parts = [rows(spark, sf, m, d) for m in "ab" for d in ("route10", "turn_complete")]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    t = O.score_table(both, 10)
-    ref = t.where("model = 'a'").select("decision", F.col("accuracy").alias("ra"), F.col("hard_accuracy").alias("rh"))
-    v = t.where("model <> 'a'").join(ref, "decision")
-    return v.select("decision", F.col("model").alias("variant"), F.round(F.col("accuracy") - F.col("ra"), 6).alias("d_accuracy"),
-                    F.round(F.col("hard_accuracy") - F.col("rh"), 6).alias("d_hard"))
+    both = reduce(DataFrame.unionByName, [rows(spark, sf, m, d) for m in "ab" for d in ("route10", "turn_complete")])
+    pairs = spark.createDataFrame([("route10", "a", "b"), ("turn_complete", "a", "b")], "decision string, a string, b string")
+    points = O.score_table(both, 10).select("model", "decision", *B.METRICS)
+    return r6(B.paired_sets(both, pairs, points, REPS, K.BOOTSTRAP_SEED, 10), "point_a", "point_b", "difference", "lo", "hi", "share_a_not_better")
 
 
 # -- calibration ----------------------------------------------------------------------------------
@@ -265,29 +272,52 @@ def nll(spark, sf):
     return r6(O.nll(D.predictions(spark, sf), 1.3), "nll").select("nll", "n")
 
 
-def sql_fit(rounds: int = 5, points: int = 33) -> str:
+def sql_fit(pred: str = "pred", v: str = "", rounds: int = 7, points: int = 33) -> str:
+    """CTE {v}best(u, nll): the minimum over zooming grids of u = log(1/T), and {v}fp, the calib rows of `pred`."""
     import numpy as np
 
     lo, hi = float(np.log(1 / 10.0)), float(np.log(1 / 0.25))
-    parts = [f"fp AS (SELECT * FROM pred WHERE split = 'calib'), sp0 AS (SELECT {lo!r}::DOUBLE AS lo, {hi!r}::DOUBLE AS hi)"]
+    parts = [f"{v}fp AS (SELECT * FROM {pred} WHERE split = 'calib'), {v}sp0 AS (SELECT {lo!r}::DOUBLE AS lo, {hi!r}::DOUBLE AS hi)"]
     for r in range(rounds):
-        parts.append(f"""g{r} AS (SELECT i, lo, hi, lo + (hi - lo) / {points - 1} * i AS u FROM sp{r}, range({points}) t(i)),
- v{r} AS (SELECT i, lo, hi, u, avg({sql_nll('exp(-u)')}) AS nll FROM fp, g{r} GROUP BY 1, 2, 3, 4),
- b{r} AS (SELECT * FROM v{r} ORDER BY nll, i LIMIT 1),
- sp{r + 1} AS (SELECT greatest(lo, u - (hi - lo) / {points - 1}) AS lo, least(hi, u + (hi - lo) / {points - 1}) AS hi FROM b{r})""")
+        parts.append(f"""{v}g{r} AS (SELECT i, lo, hi, lo + (hi - lo) / {points - 1} * i AS u FROM {v}sp{r}, range({points}) t(i)),
+ {v}v{r} AS (SELECT i, lo, hi, u, avg({sql_nll('exp(-u)')}) AS nll FROM {v}fp, {v}g{r} GROUP BY 1, 2, 3, 4),
+ {v}b{r} AS (SELECT * FROM {v}v{r} ORDER BY nll, i LIMIT 1),
+ {v}sp{r + 1} AS (SELECT greatest(lo, u - (hi - lo) / {points - 1}) AS lo, least(hi, u + (hi - lo) / {points - 1}) AS hi FROM {v}b{r})""")
+    parts.append(f"{v}best AS (SELECT u, nll FROM {v}b{rounds - 1})")
     return ",\n".join(parts)
 
 
-@query("fit_temperature", f"""WITH {D.sql_predictions()}, {sql_fit()} SELECT round(exp(-u), 4) AS temperature, round(nll, 6) AS nll_after,
- (SELECT round(avg({sql_nll('1.0::DOUBLE')}), 6) FROM fp) AS nll_before, (SELECT count(*) FROM fp) AS n,
- abs(u - ln(0.1::DOUBLE)) < 1e-3 OR abs(u - ln(4.0::DOUBLE)) < 1e-3 AS at_bound FROM b4""")
+def sql_fitted(v: str = "") -> str:
+    """The row of a fit, rounded."""
+    return f"""SELECT round(exp(-u), 4) AS temperature, round(nll, 6) AS nll_after,
+ (SELECT round(avg({sql_nll('1.0::DOUBLE')}), 6) FROM {v}fp) AS nll_before, (SELECT count(*) FROM {v}fp) AS n,
+ abs(u - ln(0.1::DOUBLE)) < 1e-3 OR abs(u - ln(4.0::DOUBLE)) < 1e-3 AS at_bound FROM {v}best"""
+
+
+@query("fit_temperature", f"WITH {D.sql_predictions()}, {sql_fit()} {sql_fitted()}")
 def fit_temperature(spark, sf):
     f = O.fit_temperature(D.predictions(spark, sf).where("split = 'calib'"))
     return f.select(F.round("temperature", 4).alias("temperature"), F.round("nll_after", 6).alias("nll_after"),
                     F.round("nll_before", 6).alias("nll_before"), "n", "at_bound")
 
 
-@query("calibrate_all")
+def sql_calibrate_all() -> str:
+    from colloquy.plans.quality_queries import sql_fp, sql_row_hash
+
+    names = ("route10", "turn_complete", "barge_in")
+    fits = ",\n".join(f"{D.sql_predictions('a', d, f'p{i}')}, {sql_fit(f'p{i}', f'c{i}')}, c{i}fit AS ({sql_fitted(f'c{i}')})" for i, d in enumerate(names))
+    table = " UNION ALL ".join(f"SELECT 'a' AS model, '{d}' AS decision, * FROM c{i}fit" for i, d in enumerate(names))
+    rows = " UNION ALL ".join(f"SELECT '{d}' AS decision, id, y FROM c{i}fp" for i, d in enumerate(names))
+    return f"""WITH {fits}, fits AS ({table}), h AS (SELECT {sql_row_hash(('decision', 'id', 'y'))} AS h FROM ({rows})), fpr AS ({sql_fp('h')}),
+q AS (SELECT y, {D.sql_softmax('logits', 't')} AS p FROM (SELECT *, (SELECT exp(-u) FROM c1best) AS t FROM c1fp)), {SQL_G},
+tc AS (SELECT i, theta, count(*) AS n, count(*) FILTER (p[2] >= theta AND y = 1) AS tp, count(*) FILTER (p[2] >= theta AND y = 0) AS fp,
+  count(*) FILTER (p[2] < theta AND y = 1) AS fn, count(*) FILTER (p[2] < theta AND y = 0) AS tn FROM gr, q GROUP BY 1, 2),
+f0 AS (SELECT i, theta, n, 2 * tn / nullif(2 * tn + fn + fp, 0)::DOUBLE AS a, 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS b FROM tc),
+f AS (SELECT i, theta, n, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS score FROM f0), {SQL_PICK}
+SELECT fits.*, CASE WHEN decision = 'turn_complete' THEN (SELECT theta FROM pick) END AS theta,
+ CASE WHEN decision = 'turn_complete' THEN (SELECT tied FROM pick) END AS tied, (SELECT fingerprint FROM fpr) AS fingerprint FROM fits"""
+
+
 def calibrate_all(spark, sf):
     """Temperature of every decision, the threshold of the binary one, and the calib fingerprint."""
     from colloquy.operators.lifecycle import fingerprint
@@ -300,7 +330,8 @@ def calibrate_all(spark, sf):
     s = O.score_rows(calib.join(t.select("model", "decision", "temperature"), ["model", "decision"]
                                 ).where("decision = 'turn_complete'"), temperature=F.col("temperature"))
     theta = G.choose_threshold_f1(s.withColumn("p", F.get("p", F.lit(1)))).select("decision", "theta", "tied")
-    return attach_row(t.join(theta, "decision", "left"), fingerprint(calib.select("decision", "id", "y")).select("fingerprint"))
+    found = attach_row(t.join(theta, "decision", "left"), fingerprint(calib.select("decision", "id", "y")).select("fingerprint"))
+    return found.withColumns({"temperature": F.round("temperature", 4), "nll_after": F.round("nll_after", 6), "nll_before": F.round("nll_before", 6)})
 
 
 @query("reliability_before_after", f"""WITH {SQL_S}, {SQL_REL}, r1 AS (SELECT 'before' AS stage, bin, n, mean_conf, acc FROM rel WHERE n > 0),
@@ -498,3 +529,6 @@ def served_policy(spark, sf):
     parts = a.unionByName(b).select("name", "theta", F.lit("ckpt-1").alias("checkpoint"),
                                     F.lit(K.VAD_PAUSE_MS).alias("vad_pause_ms"), F.lit(K.MAX_WAIT_MS).alias("max_wait_ms"))
     return G.served_policy(parts).select(*[F.element_at("thetas", F.lit(k)).alias(k) for k in ("theta_interrupt", "theta_yield")])
+
+
+query("calibrate_all", sql_calibrate_all())(calibrate_all)  # its SQL uses the sweep's, above
