@@ -45,16 +45,16 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def feature_rows(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """4 x n hashes of every token's history: the word before, the ones two and three before (skips), and the last two as a pair."""
+    """3 x n hashes of every token's history: the word before, the one before that (a skip), and both as a pair."""
     def back(k: int) -> np.ndarray:
         out = np.full(len(codes), START, np.uint64)
         at = np.flatnonzero(place >= k)
         out[at] = codes[at - k]
         return out
 
-    a, b, c = back(1), back(2), back(3)
+    a, b = back(1), back(2)
     width = np.uint64(START + 1)
-    return np.stack([a, b + width, c + width * np.uint64(2), (a + np.uint64(1)) * width * np.uint64(4) + b])
+    return np.stack([a, b + width, (a + np.uint64(1)) * width * np.uint64(4) + b])
 
 
 def hashed(features: np.ndarray, salt) -> np.ndarray:
@@ -63,14 +63,23 @@ def hashed(features: np.ndarray, salt) -> np.ndarray:
     return ((x >> np.uint64(40)) % np.uint64(ROWS)).astype(np.int64)
 
 
-def softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
+def exponents(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of every output's logit, tokens x WIDTH, and their sums; logits that might leave the range of floats are shifted first."""
+    z = np.take(weights, rows[0], axis=0)
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
+        np.take(weights, r, axis=0, out=more, mode="clip")
+        z += more
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    if z.max(initial=0) > 40 or z.max(axis=1, initial=-np.inf).min(initial=0) < -40:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z, z.sum(axis=1)
+
+
+def softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z, sums = exponents(bias, weights, rows)
+    z /= sums[:, None]
     return z
 
 
@@ -84,15 +93,16 @@ def log10_given(model: Model, codes: np.ndarray, place: np.ndarray) -> np.ndarra
     """log10 of P(class | history) P(word | class, history); for a word of an ending's class of the first factor alone."""
     out = np.empty(len(codes))
     for i in range(0, len(codes), BATCH):
-        lo = max(0, i - 3)
+        lo = max(0, i - 2)
         features = feature_rows(codes[lo:i + BATCH], place[lo:i + BATCH])[:, i - lo:]
         kind, word = class_and_word(codes[i:i + BATCH])
         n = np.arange(len(kind))
-        p = softmax(model.classes, model.weights, hashed(features, 63))[n, kind].astype(np.float64)
+        z, sums = exponents(model.classes, model.weights, hashed(features, 63))
+        p = z[n, kind].astype(np.float64) / sums
         head = np.flatnonzero(word >= 0)
         if len(head):
-            q = softmax(model.words[kind[head]], model.weights, ROWS + hashed(features[:, head], kind[head]))
-            p[head] *= q[np.arange(len(head)), word[head]]
+            z, sums = exponents(model.words[kind[head]], model.weights, ROWS + hashed(features[:, head], kind[head]))
+            p[head] *= z[np.arange(len(head)), word[head]].astype(np.float64) / sums
         out[i:i + BATCH] = np.log10(np.maximum(p, 1e-30))
     return out
 
@@ -101,7 +111,7 @@ def row_sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.nda
     """(row, sum, n): the gradients of a batch summed by weight row; rows are features x tokens. A row met often is summed by a product
     of matrices, the others by adding their first, second, … gradients, each row once a pass."""
     size = rows.shape[1]
-    order = np.argsort(rows.ravel(), kind="stable")
+    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")  # 2 ROWS fit, and short integers sort by radix
     flat, token = rows.ravel()[order], order % size
     starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     n = np.diff(np.concatenate([starts, [len(flat)]]))
@@ -121,15 +131,17 @@ def row_sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.nda
 def step(model: Model, touched: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """One descent step on the weight rows of a batch, each scaled by the row's past squares."""
     found, sums, n = row_sums(rows, gradient)
-    model.squares[found] += (sums * sums).sum(axis=1)
-    model.weights[found] -= (RATE * sums / np.sqrt(model.squares[found] + 1.0)[:, None]).astype(np.float32)
+    squares = model.squares[found] + np.einsum("ij,ij->i", sums, sums)
+    model.squares[found] = squares
+    sums *= (RATE / np.sqrt(squares + 1.0)).astype(np.float32)[:, None]
+    model.weights[found] -= sums
     touched[found] += n
 
 
 def learn_from(model: Model, touched: np.ndarray, codes: np.ndarray, place: np.ndarray) -> None:
     """Gradient steps over a run of documents, batch by batch."""
     for i in range(0, len(codes), BATCH):
-        lo = max(0, i - 3)
+        lo = max(0, i - 2)
         features = feature_rows(codes[lo:i + BATCH], place[lo:i + BATCH])[:, i - lo:]
         kind, word = class_and_word(codes[i:i + BATCH])
         n = np.arange(len(kind))
