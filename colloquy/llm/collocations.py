@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import dropped, mixed, saved
@@ -180,18 +181,32 @@ def filter_batch(rows: list[dict]) -> pa.RecordBatch:
                                        ("group", "size", "shard", "segment", "n", "quotient", "runs", "rest", "counts")})
 
 
-def shard_filters(runs: DataFrame, longest: int, bits: int) -> DataFrame:
-    """Filters of all n-grams of 2 to `longest` words; a task gives one out for every FILTER_GRAMS n-grams of a group and size."""
+def cut_rows(packing: Packing, group: str, shard: int, whole: Filter, segment: int, bits: int) -> pa.RecordBatch:
+    """A filter of one segment as one row for each of its parts by `bits` further bits."""
+    return filter_batch([{"group": group, "size": packing.n, "shard": shard, "segment": (segment << bits) | part, **f.to_row()} for part, f in whole.split(bits)])
+
+
+def cut_bits(packing: Packing, prefix: int, step: int) -> int:
+    return min(step, max(packing.widths[0] - prefix, 0))
+
+
+def shard_filters(runs: DataFrame, longest: int, bits: int, left: int) -> DataFrame:
+    """Filters of all n-grams of 2 to `longest` words; a task ends one for every FILTER_GRAMS n-grams of a group and size, which is then
+    one of 2^left shards. They come cut by the first bits of their keys, for the first merge."""
+    step = min(MERGE_BITS, left)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = {}, {}
+        kept, held, ended = {}, {}, 0
 
-        def flush(group, size):
+        def end(group, size):
+            nonlocal ended
             packing = Packing(size, bits)
             limbs = [np.concatenate(x) for x in zip(*kept.pop((group, size)))]
             held.pop((group, size))
             found = Filter.of(packing, 0, packing.permute(limbs), np.ones(len(limbs[0]), np.int64))
-            return filter_batch([{"group": group, "size": size, "shard": 0, "segment": 0, **found.to_row()}])
+            ended += 1
+            shard = int(mixed(np.array([TaskContext.get().partitionId() << 32 | ended], np.uint64))[0]) % (1 << left)
+            return cut_rows(packing, group, shard >> step, found, 0, cut_bits(packing, 0, step))
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -206,49 +221,36 @@ def shard_filters(runs: DataFrame, longest: int, bits: int) -> DataFrame:
                         kept.setdefault((group, size), []).append(Packing(size, bits).pack([seq[part + k] for k in range(size)]))
                         held[group, size] = held.get((group, size), 0) + len(part)
                         if held[group, size] >= FILTER_GRAMS:
-                            yield flush(group, size)
+                            yield end(group, size)
                 while sum(held.values()) > 2 * FILTER_GRAMS:  # many groups: the largest first
-                    yield flush(*max(held, key=held.get))
+                    yield end(*max(held, key=held.get))
         for key in list(kept):
-            yield flush(*key)
+            yield end(*key)
 
-    made = runs.mapInArrow(count, _FILTER)
-    return saved(made.withColumn("shard", F.monotonically_increasing_id()))
+    return runs.mapInArrow(count, _FILTER)
 
 
-def merged_filters(filters: DataFrame, bits: int, least: int) -> DataFrame:
-    """(group, gram array<long>, f) of all n-grams that occur `least` times or more, from the filters of all shards.
+def merged_filters(runs: DataFrame, longest: int, bits: int, least: int) -> DataFrame:
+    """(group, gram array<long>, f) of all n-grams that occur `least` times or more.
 
     Each round cuts every filter by MERGE_BITS further bits of its keys and merges what 2^MERGE_BITS shards have of one part, so a
     merge holds about one shard's keys and the rows of a round grow with the shards, not with their square. Keys are permuted, so parts
     are of like size whatever the words.
     """
-    shards = filters.count()
-    left = max(shards - 1, 0).bit_length()  # bits of shard numbers that are still apart
-    now = filters.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(1 << left)))
-    prefixes = dict.fromkeys(range(2, 64), 0)
+    grams = (longest - 1) * (runs.agg(F.sum("size")).first()[0] or 0)
+    left = max(-(-grams // FILTER_GRAMS) - 1, 0).bit_length()  # bits of shard numbers that are still apart
+    parts = shard_filters(runs, longest, bits, left)
+    step = min(MERGE_BITS, left)
+    prefixes = {n: cut_bits(Packing(n, bits), 0, step) for n in range(2, longest + 1)}
+    left -= step
     while True:
-        step = min(MERGE_BITS, left)
-        left -= step
-        before = dict(prefixes)
-        cuts = {size: min(step, max(Packing(size, bits).widths[0] - before[size], 0)) for size in before}
-        prefixes = {size: before[size] + cuts[size] for size in before}
-
-        def cut(batches: Iterator[pa.RecordBatch], before=before, cuts=cuts, step=step) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    size = r["size"]
-                    whole = Filter.from_row(Packing(size, bits), before[size], r["segment"], r)
-                    yield filter_batch([{"group": r["group"], "size": size, "shard": r["shard"] >> step, "segment": (r["segment"] << cuts[size]) | part,
-                                         **f.to_row()} for part, f in whole.split(cuts[size])])
-
-        def joined(table: pa.Table, after=prefixes) -> Filter:
+        def joined(table: pa.Table, prefixes=prefixes) -> Filter:
             rows = table.to_pylist()
             size = rows[0]["size"]
-            return Filter.merged([Filter.from_row(Packing(size, bits), after[size], r["segment"], r) for r in rows])
+            return Filter.merged([Filter.from_row(Packing(size, bits), prefixes[size], r["segment"], r) for r in rows])
 
         def merge(table: pa.Table) -> pa.Table:
-            r = table.slice(0, 1).to_pylist()[0]
+            r = {c: table.column(c)[0].as_py() for c in ("group", "size", "shard", "segment")}
             return pa.Table.from_batches([filter_batch([{**r, **joined(table).to_row()}])])
 
         def common(table: pa.Table) -> pa.Table:
@@ -260,10 +262,22 @@ def merged_filters(filters: DataFrame, bits: int, least: int) -> DataFrame:
             group = pa.array([table.column("group")[0].as_py()] * int(enough.sum()), pa.string())
             return pa.table({"group": group, "gram": pa.ListArray.from_arrays(ends, flat), "f": pa.array(found.counts[enough])})
 
-        parts = now.mapInArrow(cut, _FILTER).groupBy("group", "size", "shard", "segment")
+        met = parts.groupBy("group", "size", "shard", "segment")
         if left == 0:
-            return parts.applyInArrow(common, "group string, gram array<long>, f long")
-        now = saved(parts.applyInArrow(merge, _FILTER))
+            return met.applyInArrow(common, "group string, gram array<long>, f long")
+        step = min(MERGE_BITS, left)
+        left -= step
+        before, prefixes = prefixes, {n: p + cut_bits(Packing(n, bits), p, step) for n, p in prefixes.items()}
+
+        def cut(batches: Iterator[pa.RecordBatch], before=before, step=step) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    r = batch.slice(i, 1).to_pylist()[0]
+                    packing = Packing(r["size"], bits)
+                    whole = Filter.from_row(packing, before[packing.n], r["segment"], r)
+                    yield cut_rows(packing, r["group"], r["shard"] >> step, whole, r["segment"], cut_bits(packing, before[packing.n], step))
+
+        parts = saved(met.applyInArrow(merge, _FILTER)).mapInArrow(cut, _FILTER)
 
 
 def phrase_counts(docs: DataFrame, lang: Column, text: Column, longest: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -285,7 +299,7 @@ def phrase_counts(docs: DataFrame, lang: Column, text: Column, longest: int, lea
     dropped(blocks)
     dropped(counted)
     bits = max(int(most).bit_length(), 8)
-    grams = merged_filters(shard_filters(runs, longest, bits), bits, least)
+    grams = merged_filters(runs, longest, bits, least)
     single = words.select("group", F.array("id").alias("gram"), "f")
     return saved(single.unionByName(grams)), words.select("group", "id", "word"), sizes
 

@@ -228,7 +228,7 @@ def plain_collocations(rows, longest, least, top):
     return sorted((lang, i + 1, p.decode(), -a, left, right, total, -s) for lang, ps in found.items() for i, (s, a, p, left, right, total) in enumerate(sorted(ps)[:top]))
 
 
-@pytest.mark.parametrize("grams", [2_000_000, 150])
+@pytest.mark.parametrize("grams", [2_000_000, 9_000])
 def test_collocations_equal_plain(spark, monkeypatch, grams):
     monkeypatch.setattr(collocations, "FILTER_GRAMS", grams)
     monkeypatch.setattr(collocations, "MERGE_BITS", 2)
