@@ -3,7 +3,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from colloquy import constants as K
@@ -95,22 +95,66 @@ def pauses_batch(speech: DataFrame, width: int, vad: int = K.VAD_PAUSE_MS, wait:
         "call_id", "k.kind", "end_ms", "k.silence_ms")
 
 
-def stream_speech_over(users: DataFrame, lines: DataFrame, delay: str = "10 seconds",
-                       longest_line: str = "5 minutes") -> DataFrame:
-    """Onsets inside agent lines: a stream-stream join whose time range bounds the state.
+OVER_SCHEMA = StructType([StructField("call_id", LongType()), StructField("seg", LongType()), StructField("line", LongType()), StructField("onset_us", LongType())])
+_SPAN = StructType([StructField("from_us", LongType()), StructField("until_us", LongType())])
+_NUMBER = StructType([StructField("n", LongType())])
 
-    users: (call_id, seg, onset TIMESTAMP); lines: (call_id, line, line_at, line_end TIMESTAMP).
-    On streams a line's onsets count up to `longest_line` after its start, for the state must end;
-    `overlong_lines` puts the longer ones aside. Static tables have no such bound and join by
+
+class OpenLines(StatefulProcessor):
+    """The open agent lines of a call and its onsets that a line may still reach.
+
+    Rows: (call_id, kind, number, from_us, until_us), kind `line` or `user`. A line stays until the watermark passes its own end,
+    whatever its length; an onset until the watermark passes it, since no line that starts earlier can arrive then.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.lines = handle.getMapState("lines", _NUMBER, _SPAN)
+        self.onsets = handle.getMapState("onsets", _NUMBER, _SPAN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = {"line": [], "user": []}
+        for pdf in rows:
+            for kind, number, start, end in zip(pdf.kind, pdf.number, pdf.from_us, pdf.until_us):
+                new[kind].append((int(number), int(start), int(end)))
+        lines = [(k[0], *v) for k, v in self.lines.iterator()]
+        onsets = [(k[0], *v) for k, v in self.onsets.iterator()]
+        pairs = [(x, y) for x in new["user"] for y in lines + new["line"]] + [(x, y) for x in onsets for y in new["line"]]
+        hits = [(int(key[0]), seg, line, at) for (seg, at, _), (line, start, end) in pairs if start <= at < end]
+        for state, kind, till in ((self.lines, "line", 2), (self.onsets, "user", 1)):
+            for row in new[kind]:
+                state.updateValue((row[0],), row[1:])
+                self.handle.registerTimer(row[till] // 1000 + 1)
+        if hits:
+            yield pd.DataFrame(hits, columns=OVER_SCHEMA.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for state, till in ((self.lines, 1), (self.onsets, 0)):
+            for k in [k for k, v in state.iterator() if v[till] // 1000 + 1 <= now]:
+                state.removeKey(k)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_speech_over(users: DataFrame, lines: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Onsets inside agent lines.
+
+    users: (call_id, seg, onset TIMESTAMP); lines: (call_id, line, line_at, line_end TIMESTAMP). On streams every call keeps its
+    open lines until their own ends (needs the RocksDB state store), so lines may be of any length. Static tables join by
     call and time bucket.
     """
     if not (users.isStreaming or lines.isStreaming):
         return _speech_over_static(users, lines)
-    u = users.withWatermark("onset", delay).alias("u")
-    a = lines.withWatermark("line_at", delay).alias("a")
-    near = F.expr(f"a.call_id = u.call_id AND a.line_at <= u.onset AND u.onset < a.line_end "
-                  f"AND u.onset <= a.line_at + INTERVAL {longest_line}")
-    return u.join(a, near).select("u.call_id", "u.seg", "a.line", "u.onset")
+    u = users.select("call_id", F.lit("user").alias("kind"), F.col("seg").cast("bigint").alias("number"), F.col("onset").alias("ts"),
+                     F.unix_micros("onset").alias("from_us"), F.unix_micros("onset").alias("until_us"))
+    a = lines.select("call_id", F.lit("line").alias("kind"), F.col("line").cast("bigint").alias("number"), F.col("line_at").alias("ts"),
+                     F.unix_micros("line_at").alias("from_us"), F.unix_micros("line_end").alias("until_us"))
+    found = u.unionByName(a).withWatermark("ts", delay).groupBy("call_id").transformWithStateInPandas(OpenLines(), OVER_SCHEMA, "Append", "eventtime")
+    return found.select("call_id", F.col("seg").cast(users.schema["seg"].dataType).alias("seg"), F.col("line").cast(lines.schema["line"].dataType).alias("line"),
+                        F.timestamp_micros("onset_us").alias("onset"))
 
 
 def _speech_over_static(users: DataFrame, lines: DataFrame, width_ms: int = 10_000) -> DataFrame:
@@ -123,11 +167,6 @@ def _speech_over_static(users: DataFrame, lines: DataFrame, width_ms: int = 10_0
     return hit.select("call_id", "seg", "line", "onset")
 
 
-def overlong_lines(lines: DataFrame, longest_line: str = "5 minutes") -> DataFrame:
-    """The lines whose onsets a stream would not follow to their end."""
-    return lines.where(F.expr(f"line_end > line_at + INTERVAL {longest_line}"))
-
-
 def stream_policy(points: DataFrame, route_labels, cfg: Policy = Policy()) -> DataFrame:
     """Decision points with probabilities -> acts, row by row.
 
@@ -259,23 +298,65 @@ def stream_dedup_labels(labels: DataFrame, delay: str = "1 hour") -> DataFrame:
     return labels.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id", "label", "ts"])
 
 
-def upsert_latest(path: str):
-    """A foreachBatch writer that keeps the last label per id in versioned Parquet under `path`.
+def upsert_latest(path: str, buckets: int = 64):
+    """A foreachBatch writer that keeps the last label per id under `path`, in hash buckets of the ids.
 
-    Each batch writes a new version from the previous one, so a re-run batch gives the same table.
+    A batch reads and rewrites only the buckets that its ids fall to, into a folder of its own, and writes a manifest that says
+    where each bucket now lies; `current_labels` reads by it. A batch that is run again writes the same files again.
     """
     from colloquy.operators.sampling import latest_label
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch
-        if batch_id > 0:
-            new = spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        latest_label(new, "ts").write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        of = F.pmod(F.xxhash64(F.col("id")), F.lit(buckets)).cast("int")
+        touched = [r.bucket for r in batch.select(of.alias("bucket")).distinct().collect()]  # at most `buckets` numbers
+        where = _buckets(spark, path, batch_id - 1) if batch_id > 0 else {}
+        kept = [f"{path}/{where[b]}" for b in touched if b in where]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*kept)) if kept else batch
+        latest_label(rows, "ts").withColumn("bucket", of).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/labels/batch={batch_id}")
+        where.update({b: f"labels/batch={batch_id}/bucket={b}" for b in touched})
+        spark.createDataFrame(list(where.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
 
 
+def _buckets(spark, path: str, batch_id: int) -> dict[int, str]:
+    return {r.bucket: r.folder for r in spark.read.parquet(f"{path}/version={batch_id}").collect()}
+
+
+def current_labels(spark, path: str, schema, batch_id: int) -> DataFrame:
+    """The labels as they were after a batch."""
+    folders = [f"{path}/{f}" for f in _buckets(spark, path, batch_id).values()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+class DroppedRows(StreamingQueryListener):
+    """Counts, per query and batch, the rows that the watermark dropped: what the side table of `late_rows` can't know."""
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple[str, int], int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.counts[p.name or str(p.id), p.batchId] = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, name: str) -> int:
+        return sum(n for (q, _), n in self.counts.items() if q == name)
+
+    def rows(self, spark) -> DataFrame:
+        """(query, batch, dropped)."""
+        return spark.createDataFrame([(*k, n) for k, n in self.counts.items()], "query string, batch long, dropped long")
+
+
 def late_rows(events: DataFrame, allowed_ms: int, ts: str = "ts", arrived: str = "arrived"
               ) -> DataFrame:
     """The side table: rows that arrived more than the allowed time after they happened."""
