@@ -211,13 +211,14 @@ def fit_temperature(pred: DataFrame, bounds=K.TEMPERATURE_BOUNDS, rounds: int =
     """Per (model, decision) the temperature with the least mean NLL.
 
     Safeguarded Newton on u = log(1/T), in which the NLL has one minimum: each round is one aggregate of NLL, slope and curvature
-    for all decisions. The slope's sign tells which side of u stays; a step that leaves what is left goes to its end,
-    or to its middle if that end was tried before.
+    for all decisions, the first two at the bounds. The slope's sign tells which side of u stays; a step that leaves what is left
+    goes to its end, or to its middle if that end was tried before.
     """
     lo0, hi0 = float(np.log(1 / bounds[1])), float(np.log(1 / bounds[0]))
     rows = pred.select(*KEY, "logits", "y")
     state = pred.select(*KEY).distinct().select(*KEY, F.lit(lo0).alias("lo"), F.lit(hi0).alias("hi"), F.lit(False).alias("at_lo"), F.lit(False).alias("at_hi"),
-                                                F.lit(min(max(0.0, lo0), hi0)).alias("u"))
+                                                F.lit(hi0).alias("u"))
+    start = min(max(0.0, lo0), hi0)
     for r in range(rounds + 1):
         held = ["lo", "hi", "at_lo", "at_hi", "u"]
         x = rows.join(state, KEY).withColumn("_s", _slopes(F.col("logits"), F.col("y"), F.exp("u")))
@@ -229,10 +230,15 @@ def fit_temperature(pred: DataFrame, bounds=K.TEMPERATURE_BOUNDS, rounds: int =
         lower = slope > 0  # the minimum lies below u
         x = x.select(*KEY, F.when(lower, F.col("lo")).otherwise(F.col("u")).alias("lo"), F.when(lower, F.col("u")).otherwise(F.col("hi")).alias("hi"),
                      (F.col("at_lo") | ~lower).alias("at_lo"), (F.col("at_hi") | lower).alias("at_hi"),
-                     F.when(bend > 0, F.col("u") - slope / bend).otherwise(F.when(lower, lo0 - 1).otherwise(hi0 + 1)).alias("u"))
+                     F.when(bend > 0, F.col("u") - slope / bend).otherwise(F.when(lower, lo0 - 1).otherwise(hi0 + 1)).alias("u"), F.col("u").alias("old"))
+        if r < 2:  # first the ends: the minimum may lie there
+            end = F.when(F.col("old") < hi0, F.when(F.col("at_lo"), F.lit(start)).otherwise(F.lit(lo0))) if r else F.when(F.col("at_hi"), F.lit(lo0))
+            state = x.withColumn("u", F.coalesce(end, F.lit(hi0))).drop("old")
+            continue
         middle = (F.col("lo") + F.col("hi")) / 2
-        state = x.withColumn("u", F.when(F.col("u") <= F.col("lo"), F.when(F.col("at_lo"), middle).otherwise(F.col("lo"))).when(
-            F.col("u") >= F.col("hi"), F.when(F.col("at_hi"), middle).otherwise(F.col("hi"))).otherwise(F.col("u")))
+        still = F.abs(F.col("u") - F.col("old")) < 1e-10  # arrived: stay, whatever rounding says of the sides
+        state = x.withColumn("u", F.when(still, F.col("old")).when(F.col("u") <= F.col("lo"), F.when(F.col("at_lo"), middle).otherwise(F.col("lo"))).when(
+            F.col("u") >= F.col("hi"), F.when(F.col("at_hi"), middle).otherwise(F.col("hi"))).otherwise(F.col("u"))).drop("old")
     at_bound = (F.abs(F.col("u") - lo0) < 1e-3) | (F.abs(F.col("u") - hi0) < 1e-3)
     before = nll(pred).select(*KEY, F.col("nll").alias("nll_before"))
     return x.select(*KEY, F.exp(-F.col("u")).alias("temperature"), "nll_after", "n",
