@@ -16,7 +16,7 @@ from colloquy.operators.scale import range_ranks
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
 #: A filter is given out when it has counted this many n-grams.
-FILTER_GRAMS = 1_000_000
+FILTER_GRAMS = 2_000_000
 #: Filters of 2^MERGE_BITS shards meet in one merge, for a 2^MERGE_BITS-th of their keys.
 MERGE_BITS = 8
 
@@ -222,7 +222,7 @@ def shard_filters(runs: DataFrame, longest: int, bits: int, left: int) -> DataFr
                         held[group, size] = held.get((group, size), 0) + len(part)
                         if held[group, size] >= FILTER_GRAMS:
                             yield end(group, size)
-                while sum(held.values()) > 2 * FILTER_GRAMS:  # many groups: the largest first
+                while sum(held.values()) > FILTER_GRAMS * 3 // 2:  # many groups: the largest first
                     yield end(*max(held, key=held.get))
         for key in list(kept):
             yield end(*key)
