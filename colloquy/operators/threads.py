@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H, text as T
-from colloquy.operators.scale import written
+from colloquy.operators.scale import range_ranks, written
 
 
 
@@ -123,10 +123,12 @@ def message_candidates(messages: DataFrame, *, brands=K.BANK_BRANDS, seed=K.SPLI
 
 def intent_examples(rows: DataFrame, intents) -> DataFrame:
     """(split, n, text, intent) -> route examples; other domains drop out, `oos` plays
-    out_of_scope, held-out repeats of train texts go."""
+    out_of_scope, held-out repeats of train texts go. An id's number is the row's place among the kept
+    rows of its split, in the order of `n`."""
     from colloquy.operators.sampling import dedupe_against_train
 
-    keep = rows.where(F.col("intent").isin(*intents, K.OUT_OF_SCOPE))
+    keep = rows.where(F.col("intent").isin(*intents, K.OUT_OF_SCOPE)).select("split", "n", "text", "intent")
+    keep = range_ranks(keep, ["split"], ["n"], "_place").withColumn("n", F.col("_place") - 1)
     rid = F.concat_ws("-", F.lit("intent"), "split", T.padded(F.col("n"), 5))
     e = keep.select(rid.alias("id"), "split", "text", F.col("intent").alias("label"), F.when(
         F.col("intent") == K.OUT_OF_SCOPE, "oos").otherwise("in_scope").alias("kind"))

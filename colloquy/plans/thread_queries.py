@@ -72,8 +72,9 @@ _ARR = "['transfer','balance','pay_bill','travel','out_of_scope']"
 
 
 @query("intent_examples", f"""WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'calib' ELSE 'test' END AS split,
- {_ARR}[doc_id % 5 + 1] AS intent FROM documents), b AS (SELECT 'intent-' || split || '-' || lpad(doc_id::VARCHAR, greatest(5, length(doc_id::VARCHAR))::INTEGER, '0') AS id, split, {D.sql_norm('text')} AS n, intent AS label,
- CASE WHEN intent = 'out_of_scope' THEN 'oos' ELSE 'in_scope' END AS kind FROM a WHERE intent <> 'travel')
+ {_ARR}[doc_id % 5 + 1] AS intent FROM documents), a1 AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1)::VARCHAR AS place FROM a WHERE intent <> 'travel'),
+b AS (SELECT 'intent-' || split || '-' || lpad(place, greatest(5, length(place))::INTEGER, '0') AS id, split, {D.sql_norm('text')} AS n, intent AS label,
+ CASE WHEN intent = 'out_of_scope' THEN 'oos' ELSE 'in_scope' END AS kind FROM a1)
 SELECT id, split, label, kind, ['how can i help you today','what can i do for you','is there anything else i can help you with','sure what do you need',''][
  (('0x' || substr(sha256(id), 1, 8))::BIGINT % 5) + 1] AS agent_last FROM b WHERE split = 'train' OR n NOT IN (SELECT n FROM b WHERE split = 'train')""")
 def intent_examples(spark, sf):
