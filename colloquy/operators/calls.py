@@ -455,13 +455,25 @@ def consequences(outcomes: DataFrame, seg: DataFrame) -> DataFrame:
     return o.withColumn("consequence", text).drop("next_user", "next_at", "line_end", "end_ms")
 
 
-def timeline_points(outcomes: DataFrame, agents) -> DataFrame:
-    """Every decision point of a call, numbered in order, with the agents' actions side by side."""
-    g = outcomes.groupBy("call_id", "seg", "event").pivot("agent", list(agents)).agg(
-        F.first("action"))
-    order = F.when(F.col("event") == OVER, 0).otherwise(1)
-    s = g.withColumn("_o", F.col("seg").cast("bigint") * 2 + order)
-    return chunk_scan(s, ["call_id"], "_o", 8192, cumsum={"point": F.lit(1).cast("bigint")}).drop("_o")
+def timeline_points(outcomes: DataFrame, missed: DataFrame, seg: DataFrame, agents) -> DataFrame:
+    """Every decision point of a call in time order, with what each agent did there, or that it never came to decide.
+
+    outcomes: (agent, call_id, seg, event, action, want, want_route, want_escalate, ok, decided_at_ms); missed: (agent, call_id, seg,
+    over_agent, want, counts). A point's time is the earliest decision, or its line's end where no agent decided; ties go by line,
+    speech over the agent first. Per agent: its action, ok (NULL: nothing was expected, or no decision) and whether the miss counts.
+    """
+    o = outcomes.select("agent", "call_id", "seg", "event", "action", "want", "want_route", "want_escalate", "ok", "decided_at_ms",
+                        F.lit(None).cast("boolean").alias("counts"))
+    m = missed.select("agent", "call_id", "seg", F.when(F.col("over_agent"), OVER).otherwise(PAUSE).alias("event"), "want", "counts")
+    both = o.unionByName(m, allowMissingColumns=True)
+    own = [F.max(F.when(F.col("agent") == a, F.col(c))).alias(f"{a}_{n}" if n else a)
+           for a in agents for c, n in (("action", ""), ("ok", "ok"), ("counts", "missed"))]
+    wants = [F.max(c).alias(c) for c in ("want", "want_route", "want_escalate")]
+    g = both.groupBy("call_id", "seg", "event").agg(*wants, F.min("decided_at_ms").alias("_first"), *own)
+    g = g.join(seg.select("call_id", "seg", "end_ms"), ["call_id", "seg"])
+    s = g.withColumns({"t_ms": F.coalesce("_first", F.col("end_ms").cast("double")),
+                       "_o": F.when(F.col("event") == OVER, 0).otherwise(1)}).drop("_first", "end_ms")
+    return chunk_scan(s, ["call_id"], ["t_ms", "seg", "_o"], SCAN_MS, cumsum={"point": F.lit(1).cast("bigint")}).drop("_o")
 
 
 def script_violations(seg: DataFrame, expect: DataFrame) -> DataFrame:
@@ -544,9 +556,18 @@ def decision_budgets(latency: DataFrame, rows: dict, config: dict) -> DataFrame:
         "event", F.col("p50").alias("budget_ms"))
 
 
-def replay_summary(outcomes: DataFrame, missed: DataFrame, diverging: DataFrame) -> DataFrame:
-    """(agent, ok, points, divergences) over all calls."""
-    s = agent_score(outcomes, missed).where("level = 1").select("agent", "ok", "points")
-    from colloquy.operators.scale import attach_row
+def replay_summary(outcomes: DataFrame, missed: DataFrame, diverging: DataFrame, expect: DataFrame) -> DataFrame:
+    """(agent, ok, points, expected, divergences, passes, compute_p50, compute_max) over all calls.
 
-    return attach_row(s, diverging.agg(F.count(F.lit(1)).alias("divergences")))
+    `expected` counts the scripts' expected decision points. An outcome's compute_ms is the measured time of its forward pass, NULL
+    or 0 where there was none; an agent without passes has NULL there.
+    """
+    s = agent_score(outcomes, missed).where("level = 1").select("agent", "ok", "points")
+    from colloquy.operators.scale import attach_row, exact_quantiles
+
+    ran = outcomes.where("compute_ms <> 0")
+    q = exact_quantiles(ran, ["agent"], "compute_ms", (0.5,)).select("agent", F.col("n").alias("passes"), F.get("q", F.lit(0)).alias("compute_p50"))
+    top = ran.groupBy("agent").agg(F.max("compute_ms").alias("compute_max"))
+    s = s.join(q.join(top, "agent"), "agent", "left").na.fill(0, ["passes"])
+    counted = attach_row(s, expect.agg(F.count(F.lit(1)).alias("expected")))
+    return attach_row(counted, diverging.agg(F.count(F.lit(1)).alias("divergences")))

@@ -165,20 +165,31 @@ def choose_operating_point(curve: DataFrame, rate: str, limit: float, by=("split
                     pick["rate"].alias("rate"), "feasible")
 
 
-def apply_operating_point(calib_choice: DataFrame, test_curve: DataFrame) -> DataFrame:
-    """What the theta chosen on calib does on test."""
-    return calib_choice.select("i", F.col("rate").alias("calib_rate"), "feasible").join(
-        test_curve, "i").drop("i")
+def apply_operating_point(calib_choice: DataFrame, test_curve: DataFrame, by=()) -> DataFrame:
+    """What the theta chosen on calib does on test, per `by`."""
+    return calib_choice.select(*by, "i", F.col("rate").alias("calib_rate"), "feasible").join(
+        test_curve, [*by, "i"]).drop("i")
 
 
-def served_policy(parts: DataFrame) -> DataFrame:
-    """One row of the four thresholds; fails when they come from different models or timings.
+SERVED = ("theta_interrupt", "theta_yield", "theta_escalate", "theta_oos")
 
-    parts: (name, theta, checkpoint, vad_pause_ms, max_wait_ms).
+
+def served_policy(parts: DataFrame, vad_pause_ms: int = K.VAD_PAUSE_MS, max_wait_ms: int = K.MAX_WAIT_MS) -> DataFrame:
+    """(checkpoint, thetas, sources): the four thresholds a deployment serves, each with the result it was read from.
+
+    parts: (name, theta, source, checkpoint, vad_pause_ms, max_wait_ms); the timings are those a curve was drawn with, NULL for
+    thresholds that have none. Fails when one of the four is absent, or they stand on different checkpoints (written with either
+    slash, with or without a last one), or a curve was drawn with other timings than the policy's.
     """
-    g = parts.agg(F.countDistinct("checkpoint").alias("c"), F.countDistinct(
-        F.struct("vad_pause_ms", "max_wait_ms")).alias("t"), F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct("name", "theta")))).alias("thetas"))
-    ok = F.when((F.col("c") == 1) & (F.col("t") == 1), True).otherwise(F.raise_error(F.lit(
-        "the served thresholds come from different checkpoints or timings")).cast("boolean"))
-    return g.where(ok).select("thetas")
+    same = F.regexp_replace(F.regexp_replace("checkpoint", r"\\", "/"), "/+$", "")
+    other = ~(F.coalesce("vad_pause_ms", F.lit(vad_pause_ms)) == vad_pause_ms) | ~(F.coalesce("max_wait_ms", F.lit(max_wait_ms)) == max_wait_ms)
+    g = parts.withColumn("checkpoint", F.coalesce(same, F.lit(""))).agg(
+        F.collect_set("checkpoint").alias("c"), F.coalesce(F.bool_or(other), F.lit(False)).alias("t"), F.map_from_entries(
+            F.array_sort(F.collect_list(F.struct("name", "theta")))).alias("thetas"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "source")))).alias("sources"))
+    absent = F.array_except(F.array(*map(F.lit, SERVED)), F.map_keys("thetas"))
+    fails = F.when(F.size(absent) > 0, F.concat(F.lit("no threshold named "), F.array_join(absent, ", "))).when(
+        F.size("c") != 1, F.concat(F.lit("the served thresholds come from different checkpoints: "), F.array_join(F.array_sort("c"), ", "))).when(
+        F.col("t"), F.lit("a curve was drawn with other timings than the policy's"))
+    ok = F.when(fails.isNull(), True).otherwise(F.raise_error(fails).cast("boolean"))
+    return g.where(ok).select(F.get("c", F.lit(0)).alias("checkpoint"), "thetas", "sources")

@@ -43,16 +43,16 @@ def row_hash(cols) -> Column:
     return F.sha2(F.concat_ws("\u001f", *part), 256)
 
 
-def fingerprint(df: DataFrame, cols=None) -> DataFrame:
-    """(n_rows, fingerprint): the sum of each 32-bit slice of the row hashes, so order is free."""
+def fingerprint(df: DataFrame, cols=None, by=()) -> DataFrame:
+    """(*by, n_rows, fingerprint): the sum of each 32-bit slice of the row hashes, so order is free."""
     names = cols or df.columns
-    h = df.select(row_hash([F.col(c) for c in names]).alias("h"))
+    h = df.select(*by, row_hash([F.col(c) for c in names]).alias("h"))
     slices = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
                     ).cast("decimal(38,0)") for i in range(8)]
-    g = h.agg(F.count(F.lit(1)).alias("n_rows"), *[s.alias(f"s{i}") for i, s in enumerate(slices)])
+    g = h.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *[s.alias(f"s{i}") for i, s in enumerate(slices)])
     text = F.concat_ws("-", *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string")
                               for i in range(8)])
-    return g.select("n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), text), 256
+    return g.select(*by, "n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), text), 256
                                      ).alias("fingerprint"))
 
 

@@ -293,10 +293,23 @@ def paired_guard(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def saved_guard(now: DataFrame, saved: DataFrame, metrics, tolerance: float = 1e-12) -> DataFrame:
-    """(model, decision, metric) whose saved value the predictions do not reproduce."""
-    right = saved.select(*KEY, *[F.col(m).alias("_" + m) for m in metrics])
-    j = now.join(right, KEY, "full_outer")
-    far = [F.when(F.coalesce(F.abs(F.col(m) - F.col("_" + m)) <= tolerance, F.lit(False)) | (
-        F.col(m).isNull() & F.col("_" + m).isNull()), F.lit(None)).otherwise(m) for m in metrics]
+def confusion_cells(c: DataFrame) -> DataFrame:
+    """(model, decision, confusion): all cells of the confusion as one array, row by row."""
+    cell = F.struct("y", "pred", "n")
+    return confusion(c).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["n"]).alias("confusion"))
+
+
+def saved_guard(now: DataFrame, saved: DataFrame, metrics, tolerance: float = 1e-12, exact=()) -> DataFrame:
+    """(model, decision, metric) whose saved value the predictions do not reproduce.
+
+    Metrics may differ by `tolerance`, for round-off; the columns of `exact` (a confusion, the fingerprint of the scored rows)
+    must be identical. A result that only one side has fails in everything.
+    """
+    cols = [*metrics, *exact]
+    right = saved.select(*KEY, *[F.col(m).alias("_" + m) for m in cols], F.lit(True).alias("_had"))
+    j = now.withColumn("_has", F.lit(True)).join(right, KEY, "full_outer")
+    known = F.coalesce(F.col("_has") & F.col("_had"), F.lit(False))
+    near = {m: F.coalesce(F.abs(F.col(m) - F.col("_" + m)) <= tolerance, F.lit(False)) | (
+        F.col(m).isNull() & F.col("_" + m).isNull()) for m in metrics} | {m: F.col(m).eqNullSafe(F.col("_" + m)) for m in exact}
+    far = [F.when(known & near[m], F.lit(None)).otherwise(F.lit(m)) for m in cols]
     return j.select(*KEY, F.explode(F.array_compact(F.array(*far))).alias("metric"))

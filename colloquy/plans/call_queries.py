@@ -263,11 +263,21 @@ def agent_score(spark, sf):
     return O.agent_score(out["naive"][2].unionByName(out["policy"][2]), out["naive"][3].unionByName(out["policy"][3]))
 
 
-@query("replay_summary", f"""WITH {AGENTS2}, {SQL_SCORE}, {SQL_DIV} SELECT agent, sum(k)::BIGINT AS ok, count(*) AS points, (SELECT count(*) FROM dv) AS divergences FROM sc0 GROUP BY 1""")
+SQL_COMPUTE = "(floor(decided_at_ms) % 97) / 4.0::DOUBLE"
+
+
+@query("replay_summary", f"""WITH {AGENTS2}, {SQL_SCORE}, {SQL_DIV}, cm AS (SELECT {SQL_COMPUTE} AS ms FROM policy_out)
+SELECT agent, sum(k)::BIGINT AS ok, count(*) AS points, (SELECT count(*) FROM exq) AS expected, (SELECT count(*) FROM dv) AS divergences,
+ CASE agent WHEN 'policy' THEN (SELECT count(*) FILTER (ms <> 0) FROM cm) ELSE 0 END AS passes,
+ CASE agent WHEN 'policy' THEN (SELECT quantile_cont(ms, 0.5) FROM cm WHERE ms <> 0) END AS compute_p50,
+ CASE agent WHEN 'policy' THEN (SELECT max(ms) FROM cm WHERE ms <> 0) END AS compute_max FROM sc0 GROUP BY 1""")
 def replay_summary(spark, sf):
-    _, _, out = both(spark, sf)
-    return O.replay_summary(out["naive"][2].unionByName(out["policy"][2]), out["naive"][3].unionByName(out["policy"][3]),
-                            O.divergences(out["naive"][0].unionByName(out["policy"][0]), 2))
+    """The naive agent runs no model; the policy's passes take a time derived from the call's clock."""
+    _, expect, out = both(spark, sf)
+    took = F.when(F.col("agent") == "policy", (F.floor("decided_at_ms") % 97) / 4.0)
+    acts = out["naive"][2].unionByName(out["policy"][2]).withColumn("compute_ms", took)
+    return O.replay_summary(acts, out["naive"][3].unionByName(out["policy"][3]),
+                            O.divergences(out["naive"][0].unionByName(out["policy"][0]), 2), expect)
 
 
 @query("consequences", f"""WITH {BASE}, {sql_agent('policy')}, {sql_outcomes('policy')}, nx AS (SELECT u.call_id, u.seg, u.end_ms,
@@ -284,11 +294,21 @@ def consequences(spark, sf):
     return o.select("call_id", "seg", "event", "after_ms", "before_next_ms", "unsaid_ms")
 
 
-@query("timeline_points", f"""WITH {AGENTS2}, {SQL_DIV}, p AS (SELECT call_id, seg, event, max(action) FILTER (agent = 'naive') AS naive, max(action) FILTER (agent = 'policy') AS policy FROM au GROUP BY 1, 2, 3)
-SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seg, CASE WHEN event = '{O.OVER}' THEN 0 ELSE 1 END) AS point FROM p""")
+def sql_own(a: str) -> str:
+    return f"max(action) FILTER (agent = '{a}') AS {a}, bool_or(ok) FILTER (agent = '{a}') AS {a}_ok, bool_or(counts) FILTER (agent = '{a}') AS {a}_missed"
+
+
+@query("timeline_points", f"""WITH {AGENTS2}, tp0 AS (SELECT agent, call_id, seg, event, action, want, want_route, want_escalate, ok, decided_at_ms, NULL::BOOLEAN AS counts
+  FROM (SELECT * FROM naive_out UNION ALL BY NAME SELECT * FROM policy_out)
+ UNION ALL SELECT agent, call_id, seg, CASE WHEN over_agent THEN '{O.OVER}' ELSE '{O.PAUSE}' END, NULL, want, NULL, NULL, NULL, NULL, counts
+  FROM (SELECT 'naive' AS agent, * FROM naive_missed UNION ALL SELECT 'policy', * FROM policy_missed)),
+tp1 AS (SELECT call_id, seg, event, max(want) AS want, max(want_route) AS want_route, bool_or(want_escalate) AS want_escalate, min(decided_at_ms) AS first,
+ {sql_own('naive')}, {sql_own('policy')} FROM tp0 GROUP BY 1, 2, 3),
+tp2 AS (SELECT tp1.* EXCLUDE (first), coalesce(first, end_ms::DOUBLE) AS t_ms FROM tp1 JOIN seg USING (call_id, seg))
+SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY t_ms, seg, CASE WHEN event = '{O.OVER}' THEN 0 ELSE 1 END) AS point FROM tp2""")
 def timeline_points(spark, sf):
-    _, _, out = both(spark, sf)
-    return O.timeline_points(out["naive"][0].unionByName(out["policy"][0]), ("naive", "policy"))
+    seg, _, out = both(spark, sf)
+    return O.timeline_points(out["naive"][2].unionByName(out["policy"][2]), out["naive"][3].unionByName(out["policy"][3]), seg, ("naive", "policy"))
 
 
 @query("script_violations", f"""WITH {D.sql_segments(clip=False)}, {EXPECT}, v AS (

@@ -1,12 +1,14 @@
 """Label quality, spend, latency, lifecycle and report tables over labels, events and documents."""
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H
 from colloquy.operators import grids as G, labels as L, latency as Q, lifecycle as C, report as R, sampling as S, scoring as M, spend as KP
-from colloquy.plans.registry import query
+from colloquy.plans.registry import SQL, query
 from colloquy.plans.sampling_queries import SQL_EX, SQL_LABELS, examples, hand_labels, machine_labels
-from colloquy.plans.scoring_queries import METRIC_COLS, SQL_S, r6, rows, sql_table
+from colloquy.plans.scoring_queries import METRIC_COLS, SQL_BARGE3, SQL_BIN2, SQL_IC, SQL_S, SQL_YC, paired_sets, r6, rows, sql_table
 from colloquy.sources import driver_tables as D
 
 # -- labels ---------------------------------------------------------------------------------------
@@ -405,7 +407,114 @@ def report_pivot(spark, sf):
     return R.pivot(long, layout, ["model"], "metric", ["accuracy", "macro_f1", "ece"])
 
 
-@query("row_provenance", f"WITH {SQL_S} SELECT 'a' AS model, count(*) AS n, 'c0ffee' AS code, 1.0::DOUBLE AS temperature FROM s")
+TEST = "WHERE split = 'test'"
+
+
+@query("row_provenance", f"""WITH {SQL_S}, h AS (SELECT {sql_row_hash(("id", "y"))} AS h FROM s {TEST}), f AS ({sql_fp('h')})
+SELECT 'a' AS model, (SELECT count(*) FROM s {TEST}) AS n, n_rows AS test_rows, fingerprint AS test_fingerprint, 'a' AS checkpoint, 'c0ffee' AS code, 1.0::DOUBLE AS temperature FROM f""")
 def row_provenance(spark, sf):
-    t = M.accuracy(M.cells(rows(spark, sf))).select("model", "n")
-    return R.provenance(t, code="c0ffee", temperature=1.0)
+    """Accuracy rows with the fingerprint of the test rows behind them; the model's name is its checkpoint."""
+    test = rows(spark, sf).where("split = 'test'")
+    t = M.accuracy(M.cells(test)).select("model", "n", F.col("model").alias("checkpoint"))
+    return R.provenance(t, test.select("id", "y"), code="c0ffee", temperature=1.0)
+
+
+def layout(spark, column: str, names) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], f"{column} string")
+
+
+def sql_layout(column: str, names) -> str:
+    return f"(SELECT unnest({list(names)}) AS {column})"
+
+
+def sql_fixed(x: str, digits: int, flag: str = "") -> str:
+    return f"printf('%{flag}.{digits}f', floor({x} * {10 ** digits} + 0.5) / {10 ** digits})"
+
+
+PATHS = ("view", "click", "purchase", "signup", "prompted")
+
+
+@query("report_latency", f"""WITH {SQL_SAMPLES}, {sql_percentiles("row, device")}, w AS (SELECT row, any_value(device) AS device, max(p50) FILTER (component = 'total_ms') AS p50,
+  max(p95) FILTER (component = 'total_ms') AS p95, max(p99) FILTER (component = 'total_ms') AS p99, max(p50) FILTER (component = 'forward_ms') AS forward,
+  max(p50) FILTER (component = 'pack_ms') AS packing FROM lp GROUP BY 1)
+SELECT l.row, {", ".join(f"coalesce({sql_fixed(c, 1)}, 'TODO') AS {c}" for c in ("p50", "p95", "p99", "forward", "packing"))},
+ coalesce(CASE WHEN p99 <= CASE device WHEN 'cuda' THEN 50 ELSE 100 END THEN 'yes' ELSE 'no' END || ' (<= ' || CASE device WHEN 'cuda' THEN '50' WHEN 'cpu' THEN '100' END || ' ms)', 'TODO') AS budget
+FROM {sql_layout('row', PATHS)} l LEFT JOIN w USING (row)""")
+def report_latency(spark, sf):
+    p = Q.latency_percentiles(samples(spark, sf), ("row", "device"))
+    return R.latency_table(p, Q.budget_verdict(p).select("row", "budget_ms", "fits"), layout(spark, "row", PATHS))
+
+
+@query("report_arms", f"""WITH {SQL_SAMPLES}, {sql_percentiles("row, arm", "component = 'total_ms'")}, {SQL_LINES},
+st AS (SELECT row, arm, max(temperature_gpu) AS hottest, bool_or(hw_slowdown) AS slow FROM tel JOIN smp USING (i) WHERE phase = 'timed' GROUP BY 1, 2),
+x AS (SELECT lp.*, hottest, coalesce(slow, FALSE) AS slow FROM lp LEFT JOIN st USING (row, arm))
+SELECT l.row, coalesce({sql_fixed('s.p50', 1)} || ' / ' || {sql_fixed('s.p99', 1)}, 'TODO') AS stock, coalesce({sql_fixed('t.p50', 1)} || ' / ' || {sql_fixed('t.p99', 1)}, 'TODO') AS tuned,
+ coalesce({sql_fixed('((t.p50 / s.p50 - 1) * 100)', 1, '+')} || '%', 'TODO') AS change, coalesce({sql_fixed('s.hottest', 0)} || ' / ' || {sql_fixed('t.hottest', 0)}, 'TODO') AS hottest,
+ CASE WHEN s.row IS NULL THEN 'TODO' WHEN s.slow OR t.slow THEN 'hw_slowdown' ELSE 'no' END AS throttled
+FROM {sql_layout('row', PATHS)} l LEFT JOIN (SELECT * FROM x WHERE arm = 'stock') s ON s.row = l.row LEFT JOIN (SELECT * FROM x WHERE arm = 'tuned') t ON t.row = l.row""")
+def report_arms(spark, sf):
+    """A call's device state is the telemetry line taken with it."""
+    calls = samples(spark, sf)
+    slow = F.when(F.bool_or("hw_slowdown"), F.array(F.lit("hw_slowdown"))).otherwise(F.array().cast("array<string>"))
+    states = telemetry(spark, sf).where("phase = 'timed'").join(calls.select("i", "row", "arm"), "i").groupBy("row", "arm").agg(
+        F.max("temperature_gpu").alias("hottest"), slow.alias("throttled"))
+    p = Q.latency_percentiles(calls, ("row", "arm"), ("total_ms",)).select("row", "arm", "p50", "p99")
+    return R.arms_table(p, states, layout(spark, "row", PATHS), "stock", "tuned")
+
+
+DECISIONS = (("route10", 10), ("turn_complete", 2), ("barge_in", 3))
+LEVELS = ("noise_000", "noise_010", "noise_020")
+SQL_LEVELS = " UNION ALL ".join(
+    f"SELECT decision, '{level}' AS level, accuracy, macro_f1 FROM (WITH {D.sql_scored(m, d)}, s2 AS (SELECT *, pred AS top FROM s) {sql_table(repr(d) + ' AS decision', k, 's2')})"
+    for d, k in DECISIONS for m, level in zip("ab", LEVELS))
+
+
+@query("report_noise", f"""WITH lv AS ({SQL_LEVELS}), cl AS (SELECT decision, level, {sql_fixed('macro_f1', 3)} || ' (' || {sql_fixed('accuracy', 3)} || ')' AS cell FROM lv)
+SELECT decision, {", ".join(f"coalesce(max(cell) FILTER (level = '{level}'), 'TODO') AS {level}" for level in LEVELS)}
+FROM {sql_layout('decision', [d for d, _ in DECISIONS] + ['escalate'])} LEFT JOIN cl USING (decision) GROUP BY 1""")
+def report_noise(spark, sf):
+    """Model a stands for clean inputs and b for noisy ones; the third level and `escalate` have no results."""
+    both = reduce(DataFrame.unionByName, [rows(spark, sf, m, d) for m in "ab" for d, _ in DECISIONS])
+    t = r6(M.score_table(both, 10), *METRIC_COLS)
+    level = F.when(F.col("model") == "a", LEVELS[0]).otherwise(LEVELS[1])
+    cells = t.select("decision", level.alias("level"), R.pair_cell(F.col("macro_f1"), F.col("accuracy")).alias("cell"))
+    return R.pivot(cells, layout(spark, "decision", [d for d, _ in DECISIONS] + ["escalate"]), ["decision"], "level", LEVELS)
+
+
+SHOWN = (("route10", "macro_f1"), ("turn_complete", "macro_f1"), ("turn_complete", "hard_accuracy"))
+
+
+@query("report_paired", f"""WITH ps AS (SELECT a, b, decision || '_' || metric AS k, {sql_fixed('difference', 3, '+')} || ' [' || {sql_fixed('lo', 3, '+')} || ', ' || {sql_fixed('hi', 3, '+')} || ']' AS cell
+ FROM ({SQL['paired_sets']}))
+SELECT l.a, l.b, {", ".join(f"coalesce(max(cell) FILTER (k = '{d}_{m}'), 'TODO') AS {d}_{m}" for d, m in SHOWN)}
+FROM (SELECT 'a' AS a, unnest(['b', 'c']) AS b) l LEFT JOIN ps ON ps.a = l.a AND ps.b = l.b GROUP BY 1, 2""")
+def report_paired(spark, sf):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    return R.paired_table(paired_sets(spark, sf), pairs, SHOWN)
+
+
+def sql_operating(m: str) -> str:
+    ic = SQL_IC.replace(SQL_BARGE3, D.sql_scored(m, "barge_in"))
+    yc = SQL_YC.replace(SQL_BIN2, D.sql_scored(m, "turn_complete"))
+    pick = lambda c, rate: f"o AS (SELECT min(i) FILTER ({rate} <= 0.05) AS k FROM {c} WHERE split = 'calib')"
+    at = lambda c, cols: f"SELECT t.theta, k IS NOT NULL AS feasible, {cols} FROM o JOIN {c} t ON t.split = 'test' AND t.i = coalesce(k, 200)"
+    return f"""SELECT '{m}' AS model, x.theta AS ti, x.feasible AS fi, x.false_stop, x.missed, y.theta AS ty, y.feasible AS fy, y.premature, y.fallback * 1700 AS delay
+ FROM (WITH {ic}, {pick('ic', 'false_stop')} {at('ic', 't.false_stop, t.missed')}) x, (WITH {yc}, {pick('yc', 'premature')} {at('yc', 't.premature, t.fallback')}) y"""
+
+
+@query("report_operating", f"""WITH op AS ({sql_operating('a')} UNION ALL {sql_operating('b')}), m AS {sql_layout('model', 'abc')}
+SELECT model, coalesce(printf('%.3f', ti) || CASE WHEN fi THEN '' ELSE ' (target unreachable)' END, 'TODO') AS theta_interrupt,
+ coalesce({sql_fixed('false_stop', 3)}, 'TODO') AS false_stop, coalesce({sql_fixed('missed', 3)}, 'TODO') AS missed,
+ coalesce(printf('%.3f', ty) || CASE WHEN fy THEN '' ELSE ' (target unreachable)' END, 'TODO') AS theta_yield,
+ coalesce({sql_fixed('premature', 3)}, 'TODO') AS premature, coalesce({sql_fixed('delay', 0)}, 'TODO') AS added_delay_ms FROM m LEFT JOIN op USING (model)""")
+def report_operating(spark, sf):
+    both = lambda d: rows(spark, sf, decision=d).unionByName(rows(spark, sf, model="b", decision=d))
+    by = ("split", "model")
+
+    def at(curve, rate, limit):
+        choice = G.choose_operating_point(curve.where("split = 'calib'"), rate, limit, by)
+        return G.apply_operating_point(choice, curve.where("split = 'test'"), ("model",))
+
+    i = at(G.interrupt_curve(both("barge_in"), by=by), "false_stop", K.TARGET_FALSE_STOP)
+    y = at(G.yield_curve(both("turn_complete"), by=by), "premature", K.TARGET_PREMATURE)
+    return R.operating_table(i, y, layout(spark, "model", "abc"))

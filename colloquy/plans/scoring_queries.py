@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H, probs as P, text as T
-from colloquy.operators import bootstrap as B, grids as G, scoring as O
+from colloquy.operators import bootstrap as B, grids as G, lifecycle as C, scoring as O
 from colloquy.operators.scale import attach_row, exact_quantiles
-from colloquy.plans.registry import query
+from colloquy.plans.registry import SQL, query
 from colloquy.plans.text_queries import SQL_BRANCH, SQL_SPOKEN, spoken_types
 from colloquy.sources import driver_tables as D
 
@@ -518,17 +518,60 @@ def apply_operating_point(spark, sf):
     return r6(a, "calib_rate", "premature", "fallback").withColumn("added_delay_ms", F.round("added_delay_ms", 4))
 
 
-@query("served_policy", f"""WITH {SQL_IC}, {SQL_YC.replace(SQL_BIN2, D.sql_scored('a', 'turn_complete', 'z')).replace('FROM s, gr', 'FROM z, gr').replace(SQL_G + ', ', '')}
-SELECT (SELECT coalesce(min(theta) FILTER (false_stop <= 0.05), 1.0) FROM ic WHERE split = 'calib') AS theta_interrupt,
- (SELECT coalesce(min(theta) FILTER (premature <= 0.05), 1.0) FROM yc WHERE split = 'calib') AS theta_yield""")
+SQL_CHOSEN = f"""{SQL_IC}, {SQL_YC.replace(SQL_BIN2, D.sql_scored('a', 'turn_complete', 'z')).replace('FROM s, gr', 'FROM z, gr').replace(SQL_G + ', ', '')}"""
+
+
+@query("served_policy", f"""WITH {SQL_CHOSEN}
+SELECT 'a' AS checkpoint, (SELECT coalesce(min(theta) FILTER (false_stop <= 0.05), 1.0) FROM ic WHERE split = 'calib') AS theta_interrupt,
+ (SELECT coalesce(min(theta) FILTER (premature <= 0.05), 1.0) FROM yc WHERE split = 'calib') AS theta_yield,
+ (SELECT theta FROM ({SQL['choose_threshold_f1']})) AS theta_escalate, (SELECT theta FROM ({SQL['choose_oos_threshold']})) AS theta_oos,
+ 'barge_in:false_stop' AS source_interrupt, 'turn_complete:premature' AS source_yield, 'turn_complete:macro_f1' AS source_escalate, 'route10:macro_f1' AS source_oos""")
 def served_policy(spark, sf):
-    a = G.choose_operating_point(G.interrupt_curve(rows(spark, sf, decision="barge_in").where("split = 'calib'")),
-                                 "false_stop", K.TARGET_FALSE_STOP).withColumn("name", F.lit("theta_interrupt"))
-    b = G.choose_operating_point(G.yield_curve(rows(spark, sf, decision="turn_complete").where("split = 'calib'")),
-                                 "premature", K.TARGET_PREMATURE).withColumn("name", F.lit("theta_yield"))
-    parts = a.unionByName(b).select("name", "theta", F.lit("ckpt-1").alias("checkpoint"),
-                                    F.lit(K.VAD_PAUSE_MS).alias("vad_pause_ms"), F.lit(K.MAX_WAIT_MS).alias("max_wait_ms"))
-    return G.served_policy(parts).select(*[F.element_at("thetas", F.lit(k)).alias(k) for k in ("theta_interrupt", "theta_yield")])
+    """The four thresholds of model a; its name stands for the checkpoint that each result was computed with."""
+    by = ("split", "model")
+    i = G.choose_operating_point(G.interrupt_curve(rows(spark, sf, decision="barge_in").where("split = 'calib'"), by=by), "false_stop", K.TARGET_FALSE_STOP, by)
+    y = G.choose_operating_point(G.yield_curve(rows(spark, sf, decision="turn_complete").where("split = 'calib'"), by=by), "premature", K.TARGET_PREMATURE, by)
+    esc = G.choose_threshold_f1(binary(spark, sf), by=("model",))
+    oos = G.choose_oos_threshold(rows(spark, sf), 9, 10, by=("model",))
+    found = {"theta_interrupt": (i, "barge_in:false_stop"), "theta_yield": (y, "turn_complete:premature"),
+             "theta_escalate": (esc, "turn_complete:macro_f1"), "theta_oos": (oos, "route10:macro_f1")}
+    timed = lambda name, ms: F.lit(ms if name == "theta_yield" else None).cast("double")
+    parts = reduce(DataFrame.unionByName, [df.select(
+        F.lit(name).alias("name"), "theta", F.lit(source).alias("source"), F.col("model").alias("checkpoint"),
+        timed(name, K.VAD_PAUSE_MS).alias("vad_pause_ms"), timed(name, K.MAX_WAIT_MS).alias("max_wait_ms")) for name, (df, source) in found.items()])
+    get = lambda m, k: F.element_at(m, F.lit(k))
+    return G.served_policy(parts).select("checkpoint", *[get("thetas", k).alias(k) for k in G.SERVED],
+                                         *[get("sources", k).alias(k.replace("theta", "source")) for k in G.SERVED])
+
+
+SQL_FEW = "(SELECT * FROM {} WHERE substr(id, 5)::BIGINT % 50 <> 7)"
+
+
+def sql_saved(model: str, decision: str, s: str) -> str:
+    """What differs between the scores of all rows and of those that were there before every 50th came."""
+    few = SQL_FEW.format(s)
+    conf = lambda t: f"(SELECT list(n ORDER BY y, pred) FROM (SELECT y, pred, count(*) AS n FROM {t} GROUP BY 1, 2))"
+    acc = lambda t: f"(SELECT avg((y = pred)::INT::DOUBLE) FROM {t})"
+    br = lambda t: f"(SELECT avg({SQL_SQ}) FROM {t})"
+    ids = lambda t: f"(SELECT string_agg(id || '=' || y::VARCHAR, ',' ORDER BY id) FROM {t})"
+    tests = (("accuracy", f"abs({acc(s)} - {acc(few)}) > 1e-12"), ("brier", f"abs({br(s)} - {br(few)}) > 1e-12"),
+             ("confusion", f"{conf(s)} <> {conf(few)}"), ("fingerprint", f"{ids(s)} <> {ids(few)}"))
+    return " UNION ALL ".join(f"SELECT '{model}' AS model, '{decision}' AS decision, '{m}' AS metric WHERE {c}" for m, c in tests)
+
+
+@query("saved_guard", f"""WITH {SQL_S}, {D.sql_scored('b', 'route10', 'sb')} {sql_saved('b', 'route10', 'sb')}
+UNION ALL SELECT 'a', 'barge_in', unnest(['accuracy', 'brier', 'confusion', 'fingerprint'])""")
+def saved_guard(spark, sf):
+    """Model a is saved as it scores, b as it scored before every 50th row came; a's barge_in has no saved result."""
+    a, b, c = rows(spark, sf), rows(spark, sf, model="b"), rows(spark, sf, decision="barge_in")
+
+    def results(parts):
+        both = reduce(DataFrame.unionByName, parts)
+        found = O.score_table(both, 10).select(*O.KEY, "accuracy", "brier").join(O.confusion_cells(O.cells(both)), O.KEY)
+        return found.join(C.fingerprint(both, ("id", "y"), by=O.KEY).select(*O.KEY, "fingerprint"), O.KEY)
+
+    before = b.where("cast(substring(id, 5) as bigint) % 50 <> 7")
+    return O.saved_guard(results([a, b, c]), results([a, before]), ("accuracy", "brier"), exact=("confusion", "fingerprint"))
 
 
 query("calibrate_all", sql_calibrate_all())(calibrate_all)  # its SQL uses the sweep's, above
