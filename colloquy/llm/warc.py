@@ -1,8 +1,10 @@
 """WARC archives: write one gzip member per record, read them back, salvage what damage leaves."""
+import base64
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,9 +17,15 @@ LEAST_SHARED = 100
 FILE_RECORDS = 4000
 DATE = "1970-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+HEAD = re.compile(rb"WARC/1\.[0-9]+\r\n(?:[^\s:][^:\r\n]*:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*+)++\r\n")
+#: Digits of a length that can be one of a file.
+LENGTH = re.compile("[0-9]{1,18}", re.ASCII)
+DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+#: Compressed bytes that a member is fed at a time.
+PIECE = 65536
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = ("kind string, file string, offset long, length long, record_type string, record_id string, uri string, "
-          "refers_to string, payload_bytes long, payload_digest string, payload binary")
+          "refers_to string, payload_bytes long, payload_digest string, payload binary, inner_offset long, inner_length long")
 
 
 def member(data: bytes) -> bytes:
@@ -78,83 +86,140 @@ def write_archives(pages: DataFrame, page_id: str, url: str, html: str, path: st
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    pairs = (line.split(b":", 1) for line in head.split(b"\r\n")[1:])
+    unfolded = re.sub(rb"\r\n[ \t]+", b" ", head)
+    pairs = (line.split(b":", 1) for line in unfolded.split(b"\r\n")[1:])
     return {p[0].strip().lower().decode("latin-1"): p[1].strip().decode("utf-8", "replace") for p in pairs if len(p) == 2}
 
 
-def _plain(data: bytes, at: int) -> tuple[dict, int] | None:
-    """The record that starts at `at` and its end, or None if any check fails."""
-    if not data.startswith(VERSION, at) or (cut := data.find(b"\r\n\r\n", at)) < 0:
+def _length(said: str) -> int | None:
+    return int(said) if LENGTH.fullmatch(said) else None
+
+
+def _agrees(said: str, body: bytes) -> bool | None:
+    """Whether a labelled digest (hex or base32) is that of `body`; None if there is none or its kind is not known."""
+    kind, _, value = said.partition(":")
+    kind, value = kind.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if kind not in DIGESTS:
+        return None
+    digest = hashlib.new(kind, body).digest()
+    if len(value) == 2 * len(digest):
+        return value.lower() == digest.hex()
+    if len(value) == -(-8 * len(digest) // 5):
+        return value.upper() == base64.b32encode(digest).decode().rstrip("=")
+    return None
+
+
+def _plain(data: bytes, at: int, strict: bool = False) -> tuple[dict, int] | None:
+    """The record that starts at `at` and its end, or None if any check fails. `strict` asks for a block digest that agrees."""
+    if not (head := HEAD.match(data, at)):
         return None
-    fields = _fields(data[at:cut])
-    size = fields.get("content-length", "")
-    if not size.isdecimal() or "warc-type" not in fields:
+    fields = _fields(head.group()[:-4])
+    size = _length(fields.get("content-length", ""))
+    if size is None or "warc-type" not in fields:
         return None
-    start, end = cut + 4, cut + 4 + int(size)
-    block = data[start:end]
-    if len(block) < int(size) or data[end:end + 4] != b"\r\n\r\n":
+    start, end = head.end(), head.end() + size
+    if data[end:end + 4] != b"\r\n\r\n":
         return None
-    said = fields.get("warc-block-digest", "")
-    if said.startswith("sha256:") and hashlib.sha256(block).hexdigest() != said[7:].lower():
+    block = bytes(data[start:end])
+    agrees = _agrees(fields.get("warc-block-digest", ""), block)
+    if agrees is False or (strict and not agrees):
         return None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha256:").lower()
-    if kind == "response" and digest and hashlib.sha256(payload).hexdigest() != digest:
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "")
+    payload, web = block, {}
+    if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        web = _fields(http)
+    # a digest of an encoded transfer may be of what was decoded
+    if kind == "response" and "transfer-encoding" not in web and _agrees(digest, payload) is False:
         return None
-    length = len(payload) if kind == "response" else int(_fields(http).get("content-length") or 0)
+    length = _length(web.get("content-length", "")) if kind == "revisit" else len(payload)
+    if digest.lower().startswith("sha256:"):
+        digest = digest[7:].lower()
     strip = lambda k: fields[k].strip("<>") if k in fields else None
-    return {"record_type": kind, "record_id": strip("warc-record-id"), "uri": strip("warc-target-uri"),
+    return {"kind": "record", "record_type": kind, "record_id": strip("warc-record-id"), "uri": strip("warc-target-uri"),
             "refers_to": strip("warc-refers-to"), "payload_bytes": length, "payload_digest": digest or None,
-            "payload": payload if kind == "response" else None}, end + 4
+            "payload": None if kind == "revisit" else payload}, end + 4
+
 
+def _unpacked(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """A gzip member's content and end; if it is damaged or cut off, what comes out before the damage, and None.
 
-def _unpacked(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """A gzip member's content and end; None if it is damaged or cut off. Fed in pieces, so nothing is copied twice."""
+    Fed in pieces, so nothing is copied twice; the piece with the damage is fed again byte by byte.
+    """
     unpacker, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpacker.eof and pos < len(data):
-            piece = data[pos:pos + 65536]
+    while not unpacker.eof and pos < len(data):
+        piece, before = data[pos:pos + PIECE], unpacker.copy()
+        try:
             out.append(unpacker.decompress(piece))
-            pos += len(piece)
-    except zlib.error:
-        return None
-    return (b"".join(out), pos - len(unpacker.unused_data)) if unpacker.eof else None
+        except zlib.error:
+            try:
+                for i in range(len(piece)):
+                    out.append(before.decompress(piece[i:i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None
+        pos += len(piece)
+    return b"".join(out), pos - len(unpacker.unused_data) if unpacker.eof else None
 
 
-def salvaged(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive's bytes, in order.
+def _searched(data: bytes, starts: tuple[bytes, ...], read: Callable[[int], tuple[list[dict], int | None]]) -> Iterator[dict]:
+    """What `read` finds along the data, with a row for every gap. Where it gives no end, go on at the next of `starts`.
 
-    Gzip members and plain records may mix. Where a check fails (CRC, header, length, block or payload digest), the reader
-    looks for the next member or version line at which a whole record passes all checks; the bytes between are one gap.
+    The next place of each start is remembered, so the search reads the data once, however many false starts there are.
     """
-    view, at, bad = memoryview(data), 0, None
-    gap = lambda a, b: {"kind": "gap", "offset": a, "length": b - a}
+    at, bad, ahead = 0, None, dict.fromkeys(starts, -1)
     while at < len(data):
-        found, end = None, at
-        if data.startswith(MAGIC, at) and (got := _unpacked(view, at)):
-            content, end = got
-            found, pos = [], 0
-            while pos < len(content) and found is not None:
-                if (one := _plain(content, pos)) is None:
-                    found = None
-                else:
-                    found.append(one[0])
-                    pos = one[1]
-        elif data.startswith(VERSION, at) and (one := _plain(data, at)):
-            found, end = [one[0]], one[1]
-        if found is None:
+        rows, end = read(at)
+        if end is None:
             bad = at if bad is None else bad
-            nexts = [n for n in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if n >= 0]
-            at = min(nexts, default=len(data))
+            yield from rows
+            for start in starts:
+                if ahead[start] <= at:
+                    found = data.find(start, at + 1)
+                    ahead[start] = found if found >= 0 else len(data)
+            at = min(ahead.values())
             continue
         if bad is not None:
-            yield gap(bad, at)
+            yield {"kind": "gap", "offset": bad, "length": at - bad}
             bad = None
-        for one in found:
-            yield one | {"kind": "record", "offset": at, "length": end - at}
+        yield from rows
         at = end
     if bad is not None:
-        yield gap(bad, len(data))
+        yield {"kind": "gap", "offset": bad, "length": len(data) - bad}
+
+
+def _records(data: bytes, strict: bool = False) -> Iterator[dict]:
+    """Records and gaps of plain bytes."""
+    def read(at: int) -> tuple[list[dict], int | None]:
+        if (one := _plain(data, at, strict)) is None:
+            return [], None
+        return [one[0] | {"offset": at, "length": one[1] - at}], one[1]
+
+    return _searched(data, (VERSION,), read)
+
+
+def salvaged(data: bytes) -> Iterator[dict]:
+    """Records and gaps of an archive's bytes, in order.
+
+    Gzip members and plain records may mix, and a member may hold many records. Where a check fails (CRC, header, length, block or
+    payload digest), the reader looks for the next member or version line at which a whole record passes all checks; the bytes between
+    are one gap. Inside a member it looks for the next version line in the unpacked bytes: such rows have the member's offset and length,
+    and their own place in its content as inner_offset and inner_length. A member that is damaged or cut off is a gap, but records that
+    came out before the damage are kept if their block digest agrees. Digests of unknown kinds are passed over, not failed.
+    """
+    view = memoryview(data)
+
+    def read(at: int) -> tuple[list[dict], int | None]:
+        if data.startswith(MAGIC, at):
+            content, end = _unpacked(view, at)
+            place = {"offset": at, "length": (end or at) - at}
+            inner = [r | {"inner_offset": r["offset"], "inner_length": r["length"]} | place for r in _records(content, end is None)]
+            return inner if end is not None else [r for r in inner if r["kind"] == "record"], end
+        if (one := _plain(data, at)) is None:
+            return [], None
+        return [one[0] | {"offset": at, "length": one[1] - at}], one[1]
+
+    return _searched(data, (MAGIC, VERSION), read)
 
 
 def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
@@ -164,7 +229,8 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
     or with empty files gives no rows.
     """
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-    types = {"payload": pa.binary(), "offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64()}
+    types = {"payload": pa.binary(), "offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(),
+             "inner_offset": pa.int64(), "inner_length": pa.int64()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
