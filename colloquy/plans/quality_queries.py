@@ -5,10 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy import constants as K
 from colloquy.functions import hashing as H
-from colloquy.operators import grids as G, labels as L, latency as Q, lifecycle as C, report as R, sampling as S, scoring as M, spend as KP
+from colloquy.operators import bootstrap as B, grids as G, labels as L, latency as Q, lifecycle as C, report as R, sampling as S, scoring as M, spend as KP
 from colloquy.plans.registry import SQL, query
 from colloquy.plans.sampling_queries import SQL_EX, SQL_LABELS, examples, hand_labels, machine_labels
-from colloquy.plans.scoring_queries import METRIC_COLS, SQL_BARGE3, SQL_BIN2, SQL_IC, SQL_S, SQL_YC, paired_sets, r6, rows, sql_table
+from colloquy.plans.scoring_queries import METRIC_COLS, SQL_BARGE3, SQL_BIN2, SQL_IC, SQL_S, SQL_YC, r6, rows, sql_table
 from colloquy.sources import driver_tables as D
 
 # -- labels ---------------------------------------------------------------------------------------
@@ -481,16 +481,19 @@ def report_noise(spark, sf):
     return R.pivot(cells, layout(spark, "decision", [d for d, _ in DECISIONS] + ["escalate"]), ["decision"], "level", LEVELS)
 
 
-SHOWN = (("route10", "macro_f1"), ("turn_complete", "macro_f1"), ("turn_complete", "hard_accuracy"))
+SHOWN = (("route10", "macro_f1"), ("route10", "accuracy"), ("route10", "ece"), ("route10", "hard_accuracy"))
 
 
-@query("report_paired", f"""WITH ps AS (SELECT a, b, decision || '_' || metric AS k, {sql_fixed('difference', 3, '+')} || ' [' || {sql_fixed('lo', 3, '+')} || ', ' || {sql_fixed('hi', 3, '+')} || ']' AS cell
- FROM ({SQL['paired_sets']}))
+@query("report_paired", f"""WITH ps AS (SELECT 'a' AS a, 'b' AS b, 'route10_' || metric AS k, {sql_fixed('difference', 3, '+')} || ' [' || {sql_fixed('lo', 3, '+')} || ', ' || {sql_fixed('hi', 3, '+')} || ']' AS cell
+ FROM ({SQL['paired_bootstrap']}) JOIN ({SQL['paired_points']}) USING (metric))
 SELECT l.a, l.b, {", ".join(f"coalesce(max(cell) FILTER (k = '{d}_{m}'), 'TODO') AS {d}_{m}" for d, m in SHOWN)}
 FROM (SELECT 'a' AS a, unnest(['b', 'c']) AS b) l LEFT JOIN ps ON ps.a = l.a AND ps.b = l.b GROUP BY 1, 2""")
 def report_paired(spark, sf):
-    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
-    return R.paired_table(paired_sets(spark, sf), pairs, SHOWN)
+    both = rows(spark, sf).unionByName(rows(spark, sf, model="b"))
+    pairs = spark.createDataFrame([("route10", "a", "b"), ("route10", "a", "c")], "decision string, a string, b string")
+    points = M.score_table(both, 10).select("model", "decision", *B.METRICS)
+    d = B.paired_differences(B.replicates(both, K.BOOTSTRAP_SAMPLES, K.BOOTSTRAP_SEED, 10), points, pairs)
+    return R.paired_table(r6(d, "difference", "lo", "hi"), pairs.select("a", "b"), SHOWN)
 
 
 def sql_operating(m: str) -> str:
