@@ -78,22 +78,35 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all columns of `df` and from the others."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def prefix_sums(df: DataFrame, keys: list[str], digest: str, ties: list[str], value: Column, name: str) -> DataFrame:
     """Add the sum of `value` over the rows of the same keys that come before in the order of (digest, ties).
 
     `digest` is a column of hex digits. Three levels (two digits, two more, the rest) keep every window
-    to at most 256 sums or to the 65,536th part of a key's rows. Keys must not be null.
+    to at most 256 sums or to the 65,536th part of a key's rows. Keys must not be null; `name` must be a new column.
     """
-    d = df.withColumns({"_c1": F.substring(digest, 1, 2), "_c2": F.substring(digest, 3, 2), "_v": value})
+    c1, c2, v, s, t, o1, o2, o, i = unused(df, "c1", "c2", "v", "s", "t", "o1", "o2", "o", "i")
+    d = df.withColumns({c1: F.substring(digest, 1, 2), c2: F.substring(digest, 3, 2), v: value})
     before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(*keys, "_c1", "_c2").agg(F.sum("_v").alias("_s"))
-    tops = (sums.groupBy(*keys, "_c1").agg(F.sum("_s").alias("_t"))
-            .select(*keys, "_c1", F.coalesce(F.sum("_t").over(before(keys, ["_c1"])), F.lit(0)).alias("_o1")))
-    mids = sums.select(*keys, "_c1", "_c2", F.coalesce(F.sum("_s").over(before([*keys, "_c1"], ["_c2"])), F.lit(0)).alias("_o2"))
-    offsets = mids.join(tops, [*keys, "_c1"]).select(*keys, "_c1", "_c2", (F.col("_o1") + F.col("_o2")).alias("_o"))
-    inside = F.coalesce(F.sum("_v").over(before([*keys, "_c1", "_c2"], [digest, *ties])), F.lit(0))
-    return (d.withColumn("_i", inside).join(offsets, [*keys, "_c1", "_c2"])
-            .select(*df.columns, (F.col("_o") + F.col("_i")).alias(name)))
+    sums = d.groupBy(*keys, c1, c2).agg(F.sum(v).alias(s))
+    tops = (sums.groupBy(*keys, c1).agg(F.sum(s).alias(t))
+            .select(*keys, c1, F.coalesce(F.sum(t).over(before(keys, [c1])), F.lit(0)).alias(o1)))
+    mids = sums.select(*keys, c1, c2, F.coalesce(F.sum(s).over(before([*keys, c1], [c2])), F.lit(0)).alias(o2))
+    offsets = mids.join(tops, [*keys, c1]).select(*keys, c1, c2, (F.col(o1) + F.col(o2)).alias(o))
+    inside = F.coalesce(F.sum(v).over(before([*keys, c1, c2], [digest, *ties])), F.lit(0))
+    return (d.withColumn(i, inside).join(offsets, [*keys, c1, c2])
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col(o) + F.col(i)).alias(name)))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks."""
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colloquy.llm.common import prefix_sums, saved
+from colloquy.llm.common import prefix_sums, saved, unused
 
 #: 2^32 over the golden ratio: point i of the schedule is i times this, modulo 2^32.
 GOLDEN = 2654435769
@@ -104,14 +104,14 @@ def mixed_documents(docs: DataFrame, doc_id: str, text: str, source: str, n_char
     Documents of which the mix takes nothing have no row. `n_chars`, if given, is set anew for cut texts. The input is
     written once with a row number, since its texts meet their counts by it.
     """
-    d = saved(docs.withColumn("_n", F.monotonically_increasing_id()))
-    rows, _ = mix(d, doc_id, text, source, row="_n", **options)
-    taken = rows.where("taken > 0").select(F.col("_row").alias("_n"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    copies = F.sequence(F.lit(1), whole + (rest > 0).cast("int"))
+    row, size, taken, copy = unused(docs, "row", "size", "taken", "copy")
+    d = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows, _ = mix(d, doc_id, text, source, row=row, **options)
+    counts = rows.where("taken > 0").select(F.col("_row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken))
+    whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
+    out = d.join(counts.withColumn(copy, F.explode(F.sequence(F.lit(1), whole + (rest > 0).cast("int")))), row)
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    out = d.join(taken.withColumns({"_whole": whole, "_rest": rest, "_copy": F.explode(copies)}), "_n")
-    cut = F.col("_copy") > F.col("_whole")
-    out = out.withColumn("_text", F.when(cut, F.array_join(F.slice(words, 1, F.col("_rest")), " ")).otherwise(F.col(text)))
-    named = {text: F.col("_text")} | ({n_chars: F.when(cut, F.length("_text")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)} if n_chars else {})
-    return out.select(*[named[c].alias(c) if c in named else F.col(c) for c in docs.columns])
+    cut = F.col(copy) > whole
+    now = F.when(cut, F.array_join(F.slice(words, F.lit(1), rest), " ")).otherwise(F.col(text))
+    named = {text: now} | ({n_chars: F.when(cut, F.length(now)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)} if n_chars else {})
+    return out.select(*[named[c].alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns])

@@ -1,7 +1,7 @@
 """Jump consistent hashing of stable keys to shards, in DataFrame functions only."""
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.llm.common import prefix_sums
+from colloquy.llm.common import prefix_sums, unused
 
 #: Multiplier of the 64-bit linear congruential generator that the published method steps with.
 LCG = 2862933555777941757
@@ -37,8 +37,9 @@ def shard(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     """
     k = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
     t = F.coalesce(F.col(text), F.lit(""))
+    digest, = unused(docs, "digest")
     added = {"size": (F.octet_length(t) + 16).cast("long"), "text_crc32": F.crc32(t.cast("binary")),
-             "shard": jump_shard(k, shards), "grown_shard": jump_shard(k, shards + 1), "_digest": F.md5(k.cast("string"))}
-    kept = [c for c in docs.columns if c in (key, text) or c not in ("slot", *added)]
+             "shard": jump_shard(k, shards), "grown_shard": jump_shard(k, shards + 1), digest: F.md5(k.cast("string"))}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c in (key, text) or c not in ("slot", *added)]
     d = docs.select(*kept, *[c.alias(n) for n, c in added.items()])
-    return prefix_sums(d, ["shard"], "_digest", [key, "text_crc32"], F.lit(1).cast("long"), "slot").drop("_digest")
+    return prefix_sums(d, ["shard"], digest, [key, "text_crc32"], F.lit(1).cast("long"), "slot").drop(digest)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.llm.common import WordIds, components, mixed, saved, text_slices, utf8
+from colloquy.llm.common import WordIds, components, mixed, saved, text_slices, unused, utf8
 
 #: Hashes whose bits are counted at once.
 COUNTED = 1 << 15
@@ -347,6 +347,16 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of `docs` that no other document stands for: of each group the one of the smallest id stays."""
-    gone = near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("_gone"), F.col("same").alias("_same"))
-    return docs.join(gone, (F.col(doc_id).cast("long") == F.col("_gone")) & (F.md5(F.coalesce(text, F.lit(""))) == F.col("_same")), "left_anti")
+    """The rows of `docs` that no other document stands for: of each group the one of the smallest id stays.
+
+    Of rows of equal id and text one stays, any of them if their other columns differ. Rows without id all stay.
+    """
+    gone, same = unused(docs, "gone", "same")
+    digest = F.md5(F.coalesce(text, F.lit("")))
+    left = near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias(gone), F.col("same").alias(same))
+    repeated = (docs.select(F.col(doc_id).cast("long").alias(gone), digest.alias(same)).where(F.col(gone).isNotNull())
+                .groupBy(gone, same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(gone, same))
+    at = (F.col(doc_id).cast("long") == F.col(gone)) & (digest == F.col(same))
+    once = docs.join(left.unionAll(repeated), at, "left_anti")
+    again = docs.join(repeated.join(left, [gone, same], "left_anti"), at, "left_semi")
+    return once.unionAll(again.withColumn(same, digest).dropDuplicates([doc_id, same]).drop(same))

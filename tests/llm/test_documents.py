@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline  # noqa: F401 - its worker functions travel by value
 from colloquy.llm import decontam, licenses, simhash, substring_dedup
@@ -140,6 +141,16 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert simhash.without_near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_exact_repeats_go_too(spark):
+    text, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(1, text), (1, text), (1, text), (2, text), (3, other), (3, other), (4, None), (4, ""), (4, other + " end"), (None, text), (None, text)]
+    df = spark.createDataFrame([(d, t, "g", "s") for d, t in rows], "doc_id long, text string, gone string, _same string").withColumn("same", F.lit("x"))
+    kept = simhash.without_near_duplicates(df.repartition(5), "doc_id", "text")
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, (r.text or "")) for r in kept.collect())
+    assert got == sorted([(0, text), (0, text), (1, text), (3, other), (4, ""), (4, other + " end")])
+
+
 def test_near_duplicates_of_many_edited_copies(spark):
     """Copies that are nearer to the base text than to each other are all joined through it."""
     rng = random.Random(11)

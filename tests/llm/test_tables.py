@@ -216,6 +216,30 @@ def test_shards(spark):
     assert sharding.shard(df.limit(0), "doc_id", "text", 3).count() == 0
 
 
+CLASHING = ("_c1", "c1", "C2", "_v", "_o", "_i", "i", "_digest", "digest", "_size", "SIZE", "_taken", "_whole", "_rest", "_copy", "copy", "_text", "_n", "row", "a.b")
+
+
+def with_clashes(spark, n):
+    df = spark.createDataFrame([(i, f"some words of text {i} " * 3, "ab"[i % 2]) for i in range(n)], "doc_id long, text string, source string")
+    return df.withColumns({c: F.concat(F.lit(f"{c}:"), "doc_id") for c in CLASHING})
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = with_clashes(spark, 40)
+    want = {r.doc_id: tuple(r[c] for c in CLASHING) for r in df.collect()}
+    mixed = mixing.mixed_documents(df, "doc_id", "text", "source", block=16)
+    assert mixed.columns == df.columns
+    rows = mixed.collect()
+    assert rows and all(tuple(r[c] for c in CLASHING) == want[r.doc_id] for r in rows)
+    own = [c for c in CLASHING if c.lower() != "size"]  # shard() adds a size of its own
+    sharded = sharding.shard(df.drop("SIZE"), "doc_id", "text", 7)
+    assert sharded.columns == [c for c in df.columns if c != "SIZE"] + ["size", "text_crc32", "shard", "grown_shard", "slot"]
+    assert {r.doc_id: tuple(r[c] for c in own) for r in sharded.collect()} == {
+        k: tuple(x for c, x in zip(CLASHING, v) if c != "SIZE") for k, v in want.items()}
+    summed = prefix_sums(df.withColumn("hex", F.md5("text")), ["source"], "hex", ["doc_id"], F.lit(1), "before")
+    assert {r.doc_id: tuple(r[c] for c in CLASHING) for r in summed.collect()} == want
+
+
 def test_prefix_sums_and_components(spark):
     rng = random.Random(9)
     rows = [(f"{rng.randrange(1 << 20):05x}", i, "ab"[i % 2], rng.randrange(9)) for i in range(500)]
