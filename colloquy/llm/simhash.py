@@ -310,11 +310,20 @@ def _rest_of_runs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, sets: D
     return rows.repartition(parts, "run").sortWithinPartitions("run").mapInArrow(work, "a long, b long")
 
 
+def print_links(texts: DataFrame) -> DataFrame:
+    """(a, b) of ids of `texts` (doc_id, text) whose fingerprints differ in at most three bits, a < b; equal ones as a star."""
+    marked = saved(fingerprints(texts.select("doc_id", "text"), "text"))
+    heads = marked.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    equal = marked.join(heads, "fp").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    return equal.unionAll(links(heads.select("id", "fp"), 3)).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, same, root) of documents that another one stands for: root is the smallest id of their group.
 
     Near-copies share at least 0.8 of their distinct five-word shingles, words lower-cased in A-Z. Equal texts (`same`
-    is their MD5) are one node. Texts that share one of 40 MinHash keys are candidates. Of each run of one key, all are
+    is their MD5) are one node. First the links of the SimHash fingerprints are verified (`print_links`). What they leave
+    apart is found by keys: texts that share one of 40 MinHash keys are candidates. Of each run of one key, all are
     compared with the text whose keys are the most common; pairs that this leaves apart are then compared one by one, so no
     candidate pair stays untested unless its texts are joined already. Similarity is that of
     the whole sets of 64-bit shingle hashes, whatever their size.
@@ -329,7 +338,9 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
     pairs = saved(shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    used = nodes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "same")
+    near = saved(print_links(texts.join(nodes.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")))
+    candidates = shared.select("id").unionAll(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    used = nodes.join(candidates, "id", "left_semi").select(F.col("id").alias("doc_id"), "same")
     sets = saved(_per_text(texts.join(used, ["doc_id", "same"], "left_semi"), "hashes", "binary", np.ndarray.tobytes).drop("same").dropDuplicates(["doc_id"]))
     side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("hashes").alias("s" + n))
 
@@ -339,7 +350,12 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             ok = [similarity(hashes(x), hashes(y)) >= SIMILAR for x, y in zip(b.column("sa"), b.column("sb"))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    verified = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    alike = lambda p: saved(p.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    first = alike(near)
+    joined_by = components(first)
+    root = lambda n: joined_by.select(F.col("node").alias(n), F.col("root").alias("r" + n))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    verified = first.unionAll(alike(apart))
     rest = saved(_rest_of_runs(shared, components(verified), nodes, sets))
     roots = components(verified.unionAll(rest))
     named = least.join(roots.withColumnRenamed("node", "least"), "least", "left").select("same", F.coalesce("root", "least").alias("root"))

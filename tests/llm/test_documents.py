@@ -211,6 +211,20 @@ def test_near_duplicates_test_what_stars_leave_apart(spark, monkeypatch, block):
         assert {d: got.get(d, d) for d in chain} == {d: min(chain) for d in chain}
 
 
+def test_near_duplicates_come_from_fingerprints_first(spark, monkeypatch):
+    """Near-copies are found by their fingerprints alone, too; fingerprints that agree by chance join nothing."""
+    rng = random.Random(17)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    # a line repeated so often that it outvotes all other shingles: equal fingerprints, few common five-word shingles
+    loud = "one two three four five\n" * 300
+    rows = [(1, base), (2, base + " end"), (3, base.upper()), (4, loud + " ".join(f"a{i}" for i in range(60))), (5, loud + " ".join(f"b{i}" for i in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.a, r.b) for r in simhash.print_links(df).collect()}
+    assert (4, 5) in found and {1, 2, 3} <= {x for p in found for x in p}
+    monkeypatch.setattr(simhash, "min_keys", lambda h: h[:0])  # the worker functions travel by value: no key at all
+    assert {r.doc_id: r.root for r in simhash.near_duplicates(df, "doc_id", "text").collect()} == {2: 1, 3: 1}
+
+
 @pytest.mark.parametrize("edits", [5, 6])
 def test_near_duplicates_have_no_other_filter_than_their_shingles(spark, edits):
     """Pairs just over 0.8, of any number of words and any fingerprint."""
