@@ -249,3 +249,12 @@ def test_any_text_is_made_nfkc(spark):
     both = spark.createDataFrame([("1", "train", "ﬁne cafe\u0301"), ("2", "test", "FINE café"), ("3", "test", "other")], "id string, split string, text string")
     assert {r.id for r in sampling.dedupe_against_train(both).collect()} == {"1", "3"}
     assert {r.word: r.n for r in noise.top_vocab(both, 9).collect()} == {"fine": 2, "café": 2, "other": 1}
+
+
+def test_text_features_compute_their_text_once(spark):
+    """A costly text under the n-grams and the normalisation is not computed again wherever it is named."""
+    text = F.regexp_replace("t", "costly", "x")
+    d = spark.createDataFrame([("it's costly 'so' costly", "a b"), ("", ""), ("one", "c")], "t string, c string")
+    got = d.select(T.ngram_features(T.normalize_text(text), F.col("c")).alias("f"))
+    assert [r.f for r in got.collect()] == [["it's", "x", "so", "x", "it's x", "x so", "so x", "ctx:a", "ctx:b"], [], ["one", "ctx:c"]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("costly") == 1
