@@ -258,3 +258,18 @@ def test_text_features_compute_their_text_once(spark):
     got = d.select(T.ngram_features(T.normalize_text(text), F.col("c")).alias("f"))
     assert [r.f for r in got.collect()] == [["it's", "x", "so", "x", "it's x", "x so", "so x", "ctx:a", "ctx:b"], [], ["one", "ctx:c"]]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("costly") == 1
+
+
+def test_character_classes_are_judged_in_one_pass(spark):
+    """Whether a text needs mapping is one pass over it, however long it is; a single such character anywhere still counts."""
+    import unicodedata
+
+    long = "Grün, Été: plain words. " * 100_000
+    texts = ["", None, "plain", long, long + "ﬁ", "ﬁ" + long, "it`s", long + "it’s", "a\nb\u0085ﬁ c", "x 𝔘\n", "½", "don“t”", "tail\n"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in d.select("i", T.nfkc(F.col("t")).alias("k"), T.normalize_any(F.col("t")).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].k == (None if t is None else unicodedata.normalize("NFKC", t))
+    assert got[6].n == "it's" and got[7].n.endswith("words it's") and got[8].n == "a b fi c" and got[4].n.endswith(" words fi")
+    plan = d.select(T.normalize_any(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and all(part.split(", ", 1)[1].startswith("\\A[") for part in plan.split("RLIKE(")[1:])
