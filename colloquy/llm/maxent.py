@@ -24,8 +24,8 @@ ROWS = 8192
 #: Each round learns from its own share of the documents, all documents once in all.
 ROUNDS = 3
 BATCH, RATE = 4096, 1.0
-#: Rows that a batch meets more often than this are summed by a matrix product.
-OFTEN = 40
+#: Rows that a batch meets more often than this are summed by a matrix product; up to FEW times, pass by pass.
+OFTEN, FEW = 400, 4
 #: Weight rows travel in chunks of this many.
 CHUNK = 512
 START = HEAD + ENDINGS
@@ -63,18 +63,31 @@ def hashed(features: np.ndarray, salt) -> np.ndarray:
     return ((x >> np.uint64(40)) % np.uint64(ROWS)).astype(np.int64)
 
 
-def exponents(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of every output's logit, tokens x WIDTH, and their sums; logits that might leave the range of floats are shifted first."""
+def logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = np.take(weights, rows[0], axis=0)
     more = np.empty_like(z)
     for r in rows[1:]:
         np.take(weights, r, axis=0, out=more, mode="clip")
         z += more
     z += bias
-    if z.max(initial=0) > 40 or z.max(axis=1, initial=-np.inf).min(initial=0) < -40:
+    return z
+
+
+def exponents(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of every output's logit, tokens x WIDTH, and their sums; logits that might leave the range of floats are shifted first."""
+    z, ones = logits(bias, weights, rows), np.ones(WIDTH, np.float32)
+    wide = z.max(initial=0) > 40
+    if not wide:
+        np.exp(z, out=z)
+        sums = z @ ones
+        wide = sums.min(initial=1) < 1e-15  # as it is in any row without a logit over -40
+        if wide:
+            z = logits(bias, weights, rows)
+    if wide:
         z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z.sum(axis=1)
+        np.exp(z, out=z)
+        sums = z @ ones
+    return z, sums
 
 
 def softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -109,23 +122,30 @@ def log10_given(model: Model, codes: np.ndarray, place: np.ndarray) -> np.ndarra
 
 def row_sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, sum, n): the gradients of a batch summed by weight row; rows are features x tokens. A row met often is summed by a product
-    of matrices, the others by adding their first, second, … gradients, each row once a pass."""
+    of matrices, one met up to FEW times by adding its first, second, … gradients, each row once a pass, the others one after the other."""
     size = rows.shape[1]
-    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")  # 2 ROWS fit, and short integers sort by radix
-    flat, token = rows.ravel()[order], order % size
+    short = rows.ravel().astype(np.uint16)  # 2 ROWS fit, and short integers sort by radix
+    order = np.argsort(short, kind="stable")
+    flat, token = short[order], order % size
     starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     n = np.diff(np.concatenate([starts, [len(flat)]]))
-    sums = np.zeros((len(starts), gradient.shape[1]), np.float32)
     by_count = np.argsort(-n, kind="stable")
-    hot, cold = by_count[:(n > OFTEN).sum()], by_count[(n > OFTEN).sum():]
+    falling = -n[by_count]
+    hot = by_count[:np.searchsorted(falling, -OFTEN, "left")]
+    sums = np.take(gradient, token[starts], axis=0)
     if len(hot):
         met = np.repeat(np.arange(len(hot)), n[hot])
         at = np.concatenate([token[starts[h]:starts[h] + n[h]] for h in hot])
         sums[hot] = np.bincount(met * size + at, minlength=len(hot) * size).reshape(len(hot), size).astype(np.float32) @ gradient
-    for turn in range(n[cold[0]] if len(cold) else 0):
-        cold = cold[:np.searchsorted(-n[cold], -turn, "left")]
-        sums[cold] += gradient[token[starts[cold] + turn]]
-    return flat[starts], sums, n
+    for turn in range(1, FEW):
+        few = by_count[np.searchsorted(falling, -FEW, "left"):np.searchsorted(falling, -turn, "left")]
+        sums[few] += np.take(gradient, token[starts[few] + turn], axis=0)
+    rest = by_count[len(hot):np.searchsorted(falling, -FEW, "left")]
+    if len(rest):
+        first = np.cumsum(n[rest]) - n[rest]
+        at = np.repeat(starts[rest] - first, n[rest]) + np.arange(n[rest].sum())
+        sums[rest] = np.add.reduceat(np.take(gradient, token[at], axis=0), first, axis=0)
+    return flat[starts].astype(np.int64), sums, n
 
 
 def step(model: Model, touched: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:

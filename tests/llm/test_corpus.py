@@ -250,3 +250,25 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(none, "lang", "text").count() == 0
     few = spark.createDataFrame([("en", "a b c")], "lang string, text string")
     assert collocations.collocations(few, "lang", "text").count() == 0
+
+
+def test_maxent_row_sums_by_every_path():
+    """Rows met once, a few times, often and most often are summed alike; logits out of range are shifted, others not."""
+    rng = np.random.default_rng(2)
+    size = 3 * maxent.OFTEN
+    rows = np.concatenate([np.full(2 * maxent.OFTEN, 7), rng.integers(8, 40, maxent.OFTEN // 2), rng.integers(100, 400, maxent.OFTEN // 2)])
+    rows = np.stack([rows, rng.integers(1000, 2 * maxent.ROWS, size), rng.permutation(rows)])
+    gradient = rng.normal(size=(size, maxent.WIDTH)).astype(np.float32)
+    want, met = np.zeros((2 * maxent.ROWS, maxent.WIDTH)), np.bincount(rows.ravel(), minlength=2 * maxent.ROWS)
+    for r in rows:
+        np.add.at(want, r, gradient)
+    found, sums, n = maxent.row_sums(rows, gradient)
+    assert n.min() == 1 and n.max() > maxent.OFTEN and ((n > maxent.FEW) & (n <= maxent.OFTEN)).any() and ((n > 1) & (n <= maxent.FEW)).any()
+    assert (found == np.flatnonzero(met)).all() and (n == met[found]).all() and np.allclose(sums, want[found], atol=1e-3)
+    bias = np.zeros((4, maxent.WIDTH), np.float32)
+    bias[1] = -300
+    bias[2, 0], bias[3, 5:] = 300, -1e4
+    for part in (bias, bias[[0, 3]], bias[[0, 1]]):
+        z, s = maxent.exponents(part, np.zeros((1, maxent.WIDTH), np.float32), np.zeros((3, len(part)), np.int64))
+        exact = np.exp(part.astype(float) - part.max(axis=1, keepdims=True))
+        assert np.isfinite(s).all() and np.allclose(z / s[:, None], exact / exact.sum(axis=1, keepdims=True), atol=1e-6)
