@@ -220,7 +220,10 @@ def snapshot_at(points: DataFrame, seg: DataFrame, lines: DataFrame, history: Da
     going = going.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.array_join("w", " ").alias("x")))), lambda r: r["x"]), " ").alias("_now"))
 
     none = F.array().cast("array<struct<speaker:string,text:string>>")
-    out = at.join(whole, "call_id", "left").join(last, key, "left").join(going, key, "left")
+    talking = covering(p, lines.select("call_id", "line_at", "line_end"), "call_id", "t", "line_at", "line_end", width=BUCKET_MS).select(*key).distinct()
+    talking = talking.withColumn("agent_speaking", F.lit(True))
+    # the call's turns come last: after them a row holds its whole call, and is not sent anywhere any more
+    out = at.join(last, key, "left").join(going, key, "left").join(talking, key, "left").na.fill(False, ["agent_speaking"]).join(whole, "call_id", "left")
     before = F.when(F.col("g") > 1, F.slice("_all", F.lit(1), F.col("g").cast("int") - 1)).otherwise(none)
     out = out.withColumn("_t", F.when(F.col("_last").isNull(), none).otherwise(F.array_append(before, F.col("_last")))).drop("_all", "_last")
     end = F.try_element_at("_t", F.lit(-1))
@@ -237,10 +240,7 @@ def snapshot_at(points: DataFrame, seg: DataFrame, lines: DataFrame, history: Da
                          ).otherwise(F.col("_t")))
 
     out = pop(pop(out, "user", "user_partial"), "agent", "agent_last")
-    talking = covering(p, lines.select("call_id", "line_at", "line_end"), "call_id", "t", "line_at", "line_end", width=BUCKET_MS).select(*key).distinct()
-    talking = talking.withColumn("agent_speaking", F.lit(True))
-    return out.select(*key, F.col("t"), "user_partial", "agent_last", F.col("_t").alias("recent_turns")).join(talking, key, "left").na.fill(
-        False, ["agent_speaking"])
+    return out.select(*key, F.col("t"), "user_partial", "agent_last", F.col("_t").alias("recent_turns"), "agent_speaking")
 
 
 ACT = ("call_id", "seg", "event", "action", "route", "escalate", "reason", "decided_at_ms",

@@ -104,6 +104,17 @@ def test_snapshots_equal_plain(spark, with_history):
     assert got == want
 
 
+def test_whole_calls_are_joined_last(spark):
+    """A point is joined to its call's turns by the call alone, and after that to nothing, so rows with whole calls are not sent on."""
+    seg = spark.createDataFrame([(1, 0, "user", 0, 400, 400, "one two"), (1, 1, "agent", 500, 300, 800, "three")],
+                                "call_id bigint, seg int, who string, at_ms bigint, dur_ms bigint, end_ms bigint, text string")
+    lines = spark.createDataFrame([(1, 1, 500, 800.0, False)], "call_id bigint, line int, line_at bigint, line_end double, was_cut boolean")
+    points = spark.createDataFrame([(1, 0, C.PAUSE, 700.0)], "call_id bigint, seg int, event string, t double")
+    plan = C.snapshot_at(points, seg, lines)._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join " in line)
+    assert "call_id" in top and "event" not in top and "seg" not in top, top
+
+
 def test_ancestors_by_jumps(spark):
     rng = random.Random(9)
     parent = {i: rng.randrange(max(0, i - 3), i) for i in range(1, 300)} | {301: 302, 302: 301}
