@@ -2,15 +2,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.llm.common import dropped, mixed, saved
-from colloquy.llm.dictionary import counted_words, local_ids, packed, unpacked, with_answers, word_blocks
+from colloquy.llm.dictionary import local_ids, packed, unpacked, with_answers, word_blocks
 from colloquy.operators.scale import range_ranks
 
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
@@ -19,6 +20,12 @@ _TOKEN = re.compile(rb"[^ \t\n]+|\n")
 FILTER_GRAMS = 2_000_000
 #: Filters of 2^MERGE_BITS shards meet in one merge, for a 2^MERGE_BITS-th of their keys.
 MERGE_BITS = 8
+#: Words of blocks that a task holds before it gives out their numbers.
+ANSWERS = 1_000_000
+#: N-grams that are packed and permuted at a time.
+PACK_GRAMS = 1 << 17
+#: Bits of a sieve for each pair in it, the most bits that one has, and those of a chunk of it.
+PAIR_BITS, SIEVE_BITS, CHUNK_BITS = 32, 27, 16
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -95,12 +102,18 @@ class Filter:
         self.packing, self.prefix, self.limbs, self.counts = packing, prefix, limbs, counts
 
     @classmethod
-    def of(cls, packing: Packing, prefix: int, limbs: list[np.ndarray], counts: np.ndarray) -> Filter:
-        """The filter of permuted keys in any order, equal ones counted together."""
-        if len(limbs) == 2 and sum(packing.widths) <= 64:
-            order = np.argsort((limbs[0] << np.uint64(packing.widths[1])) | limbs[1])
-        else:
-            order = np.lexsort(limbs[::-1])
+    def of(cls, packing: Packing, prefix: int, limbs: list[np.ndarray], counts: np.ndarray | None = None) -> Filter:
+        """The filter of permuted keys in any order, equal ones counted together; each counts once if there are no counts."""
+        flat = len(limbs) == 2 and sum(packing.widths) <= 64
+        if flat and counts is None:
+            low = np.uint64(packing.widths[1])
+            key = (limbs[0] << low) | limbs[1]
+            key.sort()
+            starts = np.flatnonzero(np.append(np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
+            counts, key = np.diff(np.append(starts, len(key))), key[starts]
+            return cls(packing, prefix, [key >> low, key & ((np.uint64(1) << low) - np.uint64(1))], counts)
+        counts = np.ones(len(limbs[0]), np.int64) if counts is None else counts
+        order = np.argsort((limbs[0] << np.uint64(packing.widths[1])) | limbs[1]) if flat else np.lexsort(limbs[::-1])
         limbs, counts = [x[order] for x in limbs], counts[order]
         new = np.ones(len(counts), bool)
         if len(counts):
@@ -157,19 +170,125 @@ class Filter:
         return self.packing.unpack(self.packing.restore(self.limbs))
 
 
-def common_runs(block: pa.RecordBatch, answers: dict[str, np.ndarray]) -> pa.RecordBatch:
+def numbered_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """(group, word, f, id) of the words that occur `least` times in their group, (block, n, pos, local, part) of where blocks
+    have them, and the number of parts; written once.
+
+    A word's rows meet in one task, a part, which counts the words of each group: a word is told by that number and the part, and
+    its id, local * parts + part, needs no join. A block's places of words and their local numbers are packed, one row for each part.
+    """
+    pairs = (blocks.select("block", "group", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
+             .select("block", "group", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n")))
+    by = Window.partitionBy("group", "word").orderBy("block")
+    everywhere = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = pairs.select("block", "group", "pos", "word", F.sum("n").over(everywhere).alias("f"), F.row_number().over(by).alias("k"))
+    rows = rows.where(F.col("f") >= least).select("block", "group", "pos", F.when(F.col("k") == 1, F.col("word")).alias("word"), "f")
+    schema = {"group": pa.string(), "word": pa.string(), "f": pa.int64(), "local": pa.int64(), "part": pa.int64(),
+              "block": pa.int64(), "n": pa.int64(), "pos": pa.binary(), "locals": pa.binary()}
+
+    def batch(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c].cast(kind) if c in columns else pa.nulls(size, kind) for c, kind in schema.items()], list(schema))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, words, held, size = TaskContext.get().partitionId(), {}, [], 0
+
+        def answers() -> pa.RecordBatch:
+            block, pos, local = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(block, kind="stable")
+            block, pos, local = block[order], pos[order], local[order]
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            ends = np.append(starts[1:], len(block))
+            return batch(len(starts), part=pa.array(np.full(len(starts), part)), block=pa.array(block[starts]), n=pa.array(ends - starts),
+                         pos=pa.array([packed(pos[i:j]) for i, j in zip(starts, ends)], pa.binary()),
+                         locals=pa.array([packed(local[i:j]) for i, j in zip(starts, ends)], pa.binary()))
+
+        for rows in batches:
+            first = rows.column("word").is_valid().to_numpy(zero_copy_only=False)
+            groups = rows.column("group").dictionary_encode()
+            codes, local = groups.indices.to_numpy(), np.empty(rows.num_rows, np.int64)
+            for code, group in enumerate(groups.dictionary.to_pylist()):
+                at = np.flatnonzero(codes == code)
+                local[at] = words.get(group, 0) + np.cumsum(first[at]) - 1
+                words[group] = int(local[at[-1]]) + 1
+            new = rows.filter(pa.array(first))
+            if new.num_rows:
+                yield batch(new.num_rows, group=new.column("group"), word=new.column("word"), f=new.column("f"),
+                            local=pa.array(local[first]), part=pa.array(np.full(new.num_rows, part)))
+            held.append((rows.column("block").to_numpy(), rows.column("pos").to_numpy().astype(np.uint32), local.astype(np.uint32)))
+            size += rows.num_rows
+            if size >= ANSWERS:
+                yield answers()
+                held, size = [], 0
+        if size:
+            yield answers()
+
+    found = saved(rows.mapInArrow(number, "group string, word string, f long, local long, part long, block long, n long, pos binary, locals binary"))
+    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
+    words = found.where("word IS NOT NULL").select("group", "word", "f", (F.col("local") * parts + F.col("part")).alias("id"))
+    return words, found.where("block IS NOT NULL").select("block", "n", "pos", F.col("locals").alias("local"), "part"), parts
+
+
+def common_runs(parts: int) -> Callable[[pa.RecordBatch, dict[str, np.ndarray]], pa.RecordBatch]:
     """A block's text as ids of common words from 1 on, packed, with 0 between runs; runs of one word are left out."""
-    ids, lengths, size = local_ids(block)
-    ends = np.cumsum(lengths)
-    known = np.full(size + 1, -1, np.int32)  # the last place stands for breaks
-    known[answers["pos"]] = answers["id"]
-    seq = np.insert(known[ids], ends, -1) if len(ends) else known[ids]
-    word = seq >= 0
-    near = np.zeros(len(seq), bool)
-    near[1:] |= word[:-1]
-    near[:-1] |= word[1:]
-    seq = seq[near & (word | np.roll(near, 1))] if len(seq) else seq
-    return pa.RecordBatch.from_arrays([block.column("group"), pa.array([len(seq)], pa.int64()), pa.array([packed(seq + 1)], pa.binary())], ["group", "size", "ids"])
+
+    def encode(block: pa.RecordBatch, answers: dict[str, np.ndarray]) -> pa.RecordBatch:
+        ids, lengths, size = local_ids(block)
+        ends = np.cumsum(lengths)
+        known = np.full(size + 1, -1, np.int64)  # the last place stands for breaks
+        for n, pos, local, part in zip(*(answers[c] for c in ("n", "pos", "local", "part"))):
+            known[unpacked(pos, n)] = unpacked(local, n) * parts + part
+        seq = np.insert(known[ids], ends, -1) if len(ends) else known[ids]
+        word = seq >= 0
+        near = np.zeros(len(seq), bool)
+        near[1:] |= word[:-1]
+        near[:-1] |= word[1:]
+        pairs = np.count_nonzero(word[1:] & word[:-1])
+        seq = seq[near & (word | np.roll(near, 1))] if len(seq) else seq
+        return pa.RecordBatch.from_arrays([block.column("group"), pa.array([len(seq)], pa.int64()), pa.array([pairs], pa.int64()),
+                                           pa.array([packed(seq + 1)], pa.binary())], ["group", "size", "pairs", "ids"])
+
+    return encode
+
+
+class Sieve:
+    """A bitmap of pairs of words of a group: it holds every pair that was put in, and lets a few others pass."""
+
+    def __init__(self, bits: int, marks: bytes = b""):
+        self.bits, self.marks = bits, np.frombuffer(marks, np.uint8)
+
+    def places(self, group: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        pair = (first.astype(np.uint64) << np.uint64(32)) ^ second.astype(np.uint64)
+        return (mixed(pair ^ np.uint64(xxhash.xxh64_intdigest(group))) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def holds(self, group: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = self.places(group, first, second)
+        return (self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    @classmethod
+    def of(cls, pairs: DataFrame) -> Sieve:
+        """The sieve of the pairs (group, gram), of bounded size: the more pairs there are beyond it, the more others pass."""
+        empty = cls(min(max(pairs.count() * PAIR_BITS, 1 << CHUNK_BITS).bit_length(), SIEVE_BITS))
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column("gram").flatten().to_numpy()
+                groups = batch.column("group").dictionary_encode()
+                codes = groups.indices.to_numpy()
+                for code, group in enumerate(groups.dictionary.to_pylist()):
+                    own = codes == code
+                    at = np.unique(empty.places(group, words[::2][own], words[1::2][own]))
+                    yield pa.RecordBatch.from_arrays([pa.array(at >> CHUNK_BITS), pa.array(at & ((1 << CHUNK_BITS) - 1))], ["chunk", "bit"])
+
+        def chunk(table: pa.Table) -> pa.Table:
+            marks = np.zeros(1 << CHUNK_BITS, np.uint8)
+            marks[table.column("bit").to_numpy()] = 1
+            return pa.table({"chunk": table.column("chunk")[:1], "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+        marks = bytearray((1 << empty.bits) // 8)
+        size = (1 << CHUNK_BITS) // 8
+        for row in pairs.select("group", "gram").mapInArrow(places, "chunk long, bit long").groupBy("chunk").applyInArrow(chunk, "chunk long, marks binary").collect():
+            marks[row["chunk"] * size:(row["chunk"] + 1) * size] = row["marks"]
+        return cls(empty.bits, bytes(marks))
 
 
 _FILTER = "group string, size int, shard long, segment long, n int, quotient int, runs binary, rest binary, counts binary"
@@ -190,20 +309,22 @@ def cut_bits(packing: Packing, prefix: int, step: int) -> int:
     return min(step, max(packing.widths[0] - prefix, 0))
 
 
-def shard_filters(runs: DataFrame, longest: int, bits: int, left: int) -> DataFrame:
-    """Filters of all n-grams of 2 to `longest` words; a task ends one for every FILTER_GRAMS n-grams of a group and size, which is then
-    one of 2^left shards. They come cut by the first bits of their keys, for the first merge."""
+def shard_filters(runs: DataFrame, sizes: range, bits: int, left: int, sieve: Broadcast | None = None) -> DataFrame:
+    """Filters of all n-grams of `sizes` words, of those whose pairs pass the sieve if there is one; a task ends a filter for every
+    FILTER_GRAMS n-grams of a group and size, which is then one of 2^left shards. They come cut by the first bits of their keys, for the
+    first merge."""
     step = min(MERGE_BITS, left)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held, ended = {}, {}, 0
+        passes = Sieve(*sieve.value) if sieve is not None else None
 
         def end(group, size):
             nonlocal ended
             packing = Packing(size, bits)
-            limbs = [np.concatenate(x) for x in zip(*kept.pop((group, size)))]
+            limbs = [np.concatenate(x).astype(np.uint64) for x in zip(*kept.pop((group, size)))]
             held.pop((group, size))
-            found = Filter.of(packing, 0, packing.permute(limbs), np.ones(len(limbs[0]), np.int64))
+            found = Filter.of(packing, 0, limbs)
             ended += 1
             shard = int(mixed(np.array([TaskContext.get().partitionId() << 32 | ended], np.uint64))[0]) % (1 << left)
             return cut_rows(packing, group, shard >> step, found, 0, cut_bits(packing, 0, step))
@@ -211,14 +332,22 @@ def shard_filters(runs: DataFrame, longest: int, bits: int, left: int) -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 group, seq = batch.column("group")[i].as_py(), unpacked(batch.column("ids")[i].as_py(), batch.column("size")[i].as_py()) - 1
-                whole = seq >= 0
-                for size in range(2, longest + 1):
-                    whole = whole[:-1] & (seq[size - 1:] >= 0)
+                pair = (seq[:-1] >= 0) & (seq[1:] >= 0)
+                if passes is not None:
+                    at = np.flatnonzero(pair)
+                    pair[at] = passes.holds(group, seq[at], seq[at + 1])
+                whole = pair
+                for size in range(2, sizes.stop):
+                    whole = whole[:-1] & pair[size - 2:] if size > 2 else whole
                     at = np.flatnonzero(whole)
                     if not len(at):
                         break
-                    for part in np.array_split(at, -(-len(at) // FILTER_GRAMS)):
-                        kept.setdefault((group, size), []).append(Packing(size, bits).pack([seq[part + k] for k in range(size)]))
+                    if size not in sizes:
+                        continue
+                    packing = Packing(size, bits)
+                    for part in np.array_split(at, -(-len(at) // PACK_GRAMS)):
+                        limbs = packing.permute(packing.pack([seq[part + k] for k in range(size)]))
+                        kept.setdefault((group, size), []).append([x.astype(np.uint32) if w <= 32 else x for x, w in zip(limbs, packing.widths)])
                         held[group, size] = held.get((group, size), 0) + len(part)
                         if held[group, size] >= FILTER_GRAMS:
                             yield end(group, size)
@@ -230,18 +359,17 @@ def shard_filters(runs: DataFrame, longest: int, bits: int, left: int) -> DataFr
     return runs.mapInArrow(count, _FILTER)
 
 
-def merged_filters(runs: DataFrame, longest: int, bits: int, least: int) -> DataFrame:
-    """(group, gram array<long>, f) of all n-grams that occur `least` times or more.
+def merged_filters(runs: DataFrame, sizes: range, bits: int, least: int, grams: int, sieve: Broadcast | None = None) -> DataFrame:
+    """(group, gram array<long>, f) of all n-grams of `sizes` words that occur `least` times or more; `grams` is about how many are counted.
 
     Each round cuts every filter by MERGE_BITS further bits of its keys and merges what 2^MERGE_BITS shards have of one part, so a
     merge holds about one shard's keys and the rows of a round grow with the shards, not with their square. Keys are permuted, so parts
     are of like size whatever the words.
     """
-    grams = (longest - 1) * (runs.agg(F.sum("size")).first()[0] or 0)
     left = max(-(-grams // FILTER_GRAMS) - 1, 0).bit_length()  # bits of shard numbers that are still apart
-    parts = shard_filters(runs, longest, bits, left)
+    parts = shard_filters(runs, sizes, bits, left, sieve)
     step = min(MERGE_BITS, left)
-    prefixes = {n: cut_bits(Packing(n, bits), 0, step) for n in range(2, longest + 1)}
+    prefixes = {n: cut_bits(Packing(n, bits), 0, step) for n in sizes}
     left -= step
     while True:
         def joined(table: pa.Table, prefixes=prefixes) -> Filter:
@@ -284,24 +412,28 @@ def phrase_counts(docs: DataFrame, lang: Column, text: Column, longest: int, lea
     """(group, gram, f) of all phrases of 1 to `longest` words that occur `least` times or more, (group, id, word) of their words,
     and (group, n), the occurrences of all words.
 
-    A phrase occurs no more often than its words, so only words that occur `least` times get ids, and only runs of such words
-    are counted further; the counts are exact.
+    A phrase occurs no more often than its parts, so only words that occur `least` times get ids, only runs of such words are
+    counted further, and of longer runs only those all of whose pairs occur `least` times, as far as a sieve tells; the counts are exact.
     """
     rows = docs.select(lang.alias("group"), F.lit(0).alias("doc"), F.lit(0).alias("slot"), text.alias("text"))
     blocks = word_blocks(rows, tokens)
-    counted = counted_words(blocks)
-    totals = counted.where("first").select("group", "word", F.col("c").alias("f"))
-    words = saved(range_ranks(totals.where(F.col("f") >= least), ["group"], [F.desc("f"), "word"], "id").withColumn("id", F.col("id") - 1))
-    most = words.agg(F.max("id")).first()[0] or 0
-    answers = counted.where(F.col("c") >= least).select("block", "group", "pos", "word").join(words, ["group", "word"]).select("block", "pos", "id")
-    runs = saved(with_answers(blocks.select("block", "group", "words", "lengths", "ids"), answers, common_runs, "group string, size long, ids binary"))
-    sizes = saved(totals.groupBy("group").agg(F.sum("f").alias("n")))
+    words, answers, parts = numbered_words(blocks, least)
+    runs = saved(with_answers(blocks.select("block", "group", "words", "lengths", "ids"), answers, common_runs(parts), "group string, size long, pairs long, ids binary"))
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
+    sizes = saved(blocks.select("group", n.alias("n")).groupBy("group").agg(F.sum("n").alias("n")))
     dropped(blocks)
-    dropped(counted)
-    bits = max(int(most).bit_length(), 8)
-    grams = merged_filters(runs, longest, bits, least)
-    single = words.select("group", F.array("id").alias("gram"), "f")
-    return saved(single.unionByName(grams)), words.select("group", "id", "word"), sizes
+    bits = max(int(words.agg(F.max("id")).first()[0] or 0).bit_length(), 8)
+    grams = words.select("group", F.array("id").alias("gram"), "f")
+    if longest >= 2:
+        pairs = saved(merged_filters(runs, range(2, 3), bits, least, runs.agg(F.sum("pairs")).first()[0] or 0))
+        grams = grams.unionByName(pairs)
+    if longest >= 3:
+        passes = Sieve.of(pairs)
+        sieve = docs.sparkSession.sparkContext.broadcast((passes.bits, passes.marks.tobytes()))  # no class of ours: workers need not have this package
+        # a longer phrase starts with a pair, so those of a size are no more than the pairs
+        most = (longest - 2) * (pairs.agg(F.sum("f")).first()[0] or 0)
+        grams = grams.unionByName(merged_filters(runs, range(3, longest + 1), bits, least, most, sieve))
+    return saved(grams), words.select("group", "id", "word"), sizes
 
 
 def collocations(docs: DataFrame, lang: str, text: str, longest: int = 5, least: int = 100, scale: int = 1000, share: int = 100, top: int = 2000) -> DataFrame:

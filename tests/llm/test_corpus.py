@@ -245,6 +245,33 @@ def test_collocations_equal_plain(spark, monkeypatch, grams):
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 5, 8, 40)
 
 
+def test_runs_with_rare_pairs_are_not_counted_longer(spark, monkeypatch):
+    """All words are common, nearly all pairs are rare: of their longer runs next to nothing reaches a filter."""
+    sent, made = Counter(), collocations.shard_filters
+
+    def seen(*args, **named):
+        filters = made(*args, **named)
+        sent.update({r["size"]: r["n"] for r in filters.groupBy("size").agg(F.sum("n").alias("n")).collect()})
+        return filters
+
+    monkeypatch.setattr(collocations, "shard_filters", seen)
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b"]), " ".join(f"w{rng.randrange(300)}" for _ in range(2000))) for _ in range(30)]
+    rows += [("a", "w1 w2 w3 w4. " * 20)]
+    grams, _, _ = collocations.phrase_counts(spark.createDataFrame(rows, "lang string, text string"), F.col("lang"), F.col("text"), 5, 20)
+    assert grams.where("size(gram) = 4 AND f >= 20").count() == 1
+    assert sent[2] > 20_000 and all(sent[k] < 6_000 for k in (3, 4, 5))
+
+
+def test_sieve_holds_what_was_put_in(spark):
+    pairs = [(g, [a, b]) for g in ("a", "ü") for a in range(60) for b in range(a % 7)]
+    sieve = collocations.Sieve.of(spark.createDataFrame(pairs, "group string, gram array<long>").repartition(5))
+    for g in ("a", "ü"):
+        a, b = (np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60))
+        held = sieve.holds(g, a, b)
+        assert held[b < a % 7].all() and held.sum() < 1.2 * (b < a % 7).sum()
+
+
 def test_collocations_of_nothing(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(none, "lang", "text").count() == 0
