@@ -113,9 +113,11 @@ def next_starts(seg: DataFrame) -> DataFrame:
     return s.where("kind = 0").select("call_id", "seg", "next_at")
 
 
-def pause_points(seg: DataFrame, lines: DataFrame | None = None, vad_ms: int = K.VAD_PAUSE_MS
-                 ) -> DataFrame:
-    """(call_id, seg, end_ms, gap_ms): user ends outside agent lines with enough silence after."""
+def pause_points(seg: DataFrame, lines: DataFrame | None = None, vad_ms: int = K.VAD_PAUSE_MS,
+                 starts: DataFrame | None = None) -> DataFrame:
+    """(call_id, seg, end_ms, gap_ms): user ends outside agent lines with enough silence after.
+
+    `starts` are the next_starts of the segments, if they are there already."""
     if lines is None:
         lines = seg.where("who = 'agent'").select(
             "call_id", F.col("seg").alias("line"), F.col("at_ms").alias("line_at"),
@@ -123,8 +125,8 @@ def pause_points(seg: DataFrame, lines: DataFrame | None = None, vad_ms: int = K
     users = seg.where("who = 'user'").select("call_id", "seg", "end_ms")
     busy = covering(users, lines.select("call_id", "line_at", "line_end"), "call_id", "end_ms",
                     "line_at", "line_end", width=BUCKET_MS).select("call_id", "seg").distinct()
-    free = users.join(busy, ["call_id", "seg"], "left_anti").join(next_starts(seg),
-                                                                  ["call_id", "seg"])
+    free = users.join(busy, ["call_id", "seg"], "left_anti").join(
+        next_starts(seg) if starts is None else starts, ["call_id", "seg"])
     gap = F.col("next_at") - F.col("end_ms")
     return free.withColumn("gap_ms", gap).where(F.col("gap_ms").isNull() | (
         F.col("gap_ms") >= vad_ms)).drop("next_at")
@@ -257,11 +259,17 @@ def _met(over: DataFrame, folded: DataFrame) -> DataFrame:
     return over.join(met, ["call_id", "seg"], "left_semi")
 
 
+def before_acts(seg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What does not depend on the agent, written once for all of them: speech over the agent's full lines, and the starts after user ends."""
+    return written(speech_over_agent(seg)), written(next_starts(seg))
+
+
 def policy_acts(seg: DataFrame, probs: DataFrame, route_labels, budgets: dict,
-                cfg: Policy = Policy(), window_ms: int = K.BARGE_WINDOW_MS):
+                cfg: Policy = Policy(), window_ms: int = K.BARGE_WINDOW_MS, known: tuple | None = None):
     """(acts, lines) of the deciding agent. probs: call_id, seg, p_barge, p_complete, p_escalate,
-    p_route. Each decision costs its event's budget; the safety net answers at max_wait."""
-    over = speech_over_agent(seg).join(probs.select("call_id", "seg", "p_barge", "p_escalate"),
+    p_route. Each decision costs its event's budget; the safety net answers at max_wait. `known`: what `before_acts` wrote."""
+    over, starts = known or (speech_over_agent(seg), None)
+    over = over.join(probs.select("call_id", "seg", "p_barge", "p_escalate"),
                                        ["call_id", "seg"])
     d = barge_policy(F.col("p_barge"), F.col("p_escalate"), cfg)
     at = F.least(F.col("user_end"), F.col("onset") + window_ms).cast("double")
@@ -273,7 +281,7 @@ def policy_acts(seg: DataFrame, probs: DataFrame, route_labels, budgets: dict,
     lines = spoken_lines(seg, cut_lines(folded))
     barge = _met(over, folded).select("*", "d.*").withColumn("event", F.lit(OVER)).withColumn(
         "budget_ms", F.lit(float(budgets[OVER]))).withColumn("timer", F.lit(False))
-    p = pause_points(seg, lines, cfg.vad_pause_ms).join(
+    p = pause_points(seg, lines, cfg.vad_pause_ms, starts).join(
         probs.select("call_id", "seg", "p_complete", "p_route", "p_escalate"), ["call_id", "seg"])
 
     def decide(ms):
@@ -296,11 +304,11 @@ def policy_acts(seg: DataFrame, probs: DataFrame, route_labels, budgets: dict,
     return _acts(barge, "policy").unionByName(_acts(pause, "policy")), lines
 
 
-def naive_acts(seg: DataFrame, silence_ms: int = K.NAIVE_SILENCE_MS, vad_ms: int = K.VAD_PAUSE_MS):
-    """(acts, lines) of an agent with a silence timeout that stops at any user speech."""
-    over = speech_over_agent(seg).withColumn("stops", F.lit(True)).withColumn(
-        "effective_ms", F.col("onset").cast("double"))
-    over = written(over)    # read by the fold, the acts and, through the cuts, the pauses
+def naive_acts(seg: DataFrame, silence_ms: int = K.NAIVE_SILENCE_MS, vad_ms: int = K.VAD_PAUSE_MS, known: tuple | None = None):
+    """(acts, lines) of an agent with a silence timeout that stops at any user speech. `known`: what `before_acts` wrote."""
+    # read by the fold, the acts and, through the cuts, the pauses
+    over, starts = known or (written(speech_over_agent(seg)), None)
+    over = over.withColumn("stops", F.lit(True)).withColumn("effective_ms", F.col("onset").cast("double"))
     folded = written(fold_onsets(over))
     lines = spoken_lines(seg, cut_lines(folded))
     none = F.lit(None).cast("string")
@@ -310,7 +318,7 @@ def naive_acts(seg: DataFrame, silence_ms: int = K.NAIVE_SILENCE_MS, vad_ms: int
         F.lit("any user speech stops the agent").alias("reason"),
         F.col("onset").alias("decided_at_ms"), "effective_ms", F.lit(0.0).alias("budget_ms"),
         F.lit(False).alias("timer"))
-    p = pause_points(seg, lines, vad_ms)
+    p = pause_points(seg, lines, vad_ms, starts)
     answers = F.col("gap_ms").isNull() | (F.col("gap_ms") >= silence_ms)
     waited = F.when(answers, F.lit(silence_ms)).otherwise(F.col("gap_ms"))
     pause = p.select(
@@ -378,13 +386,13 @@ def missed_points(acts: DataFrame, lines: DataFrame, expect: DataFrame, seg: Dat
     done = acts.select("call_id", "seg", (F.col("event") == OVER).alias("over_agent"))
     m = expect.join(done, ["call_id", "seg", "over_agent"], "left_anti").join(
         seg.select("call_id", "seg", "at_ms"), ["call_id", "seg"])
+    # asks hand nothing on, so that equal ones may come in any order; they carry what is asked through the scan
     asks = m.select("call_id", F.col("at_ms").cast("double").alias("t"), F.lit(1).alias("kind"),
-                    "seg").distinct()
+                    "seg", "over_agent", "want")
     stops = lines.where("was_cut").select("call_id", F.col("line_end").alias("t"),
                                           F.lit(0).alias("kind"), F.col("line").alias("seg"))
-    s = chunk_scan(asks.unionByName(stops), ["call_id"], ["t", "kind", "seg"], SCAN_MS,
-                   last_before={"stopped_at": F.when(F.col("kind") == 0, F.col("t"))})
-    m = m.join(s.where("kind = 1").select("call_id", "seg", "stopped_at"), ["call_id", "seg"])
+    m = chunk_scan(asks.unionByName(stops, allowMissingColumns=True), ["call_id"], ["t", "kind", "seg"], SCAN_MS,
+                   last_before={"stopped_at": F.when(F.col("kind") == 0, F.col("t"))}).where("kind = 1")
     quiet = F.col("over_agent") & F.col("stopped_at").isNotNull()
     why = (F.when(quiet, F.concat(F.lit("agent silent since "),
                                   F.format_string("%.2f", F.col("stopped_at") / 1000), F.lit(" s")))

@@ -218,9 +218,10 @@ def both(spark, sf):
     """(seg, expect, {agent: (acts, lines, outcomes, missed)}) for the naive and deciding agents."""
     seg, probs = stored(spark, sf)
     expect = expectations(seg)
+    known = O.before_acts(seg)
     out = {}
-    for name, (acts, lines) in (("naive", O.naive_acts(seg)),
-                                ("policy", O.policy_acts(seg, probs, D.ROUTE5, BUDGETS))):
+    for name, (acts, lines) in (("naive", O.naive_acts(seg, known=known)),
+                                ("policy", O.policy_acts(seg, probs, D.ROUTE5, BUDGETS, known=known))):
         acts, lines = written(acts), written(lines)
         missed = O.missed_points(acts, lines, expect, seg).withColumn("agent", F.lit(name))
         out[name] = (acts, lines, O.score_acts(acts, expect), missed)

@@ -208,11 +208,13 @@ def segments(spark: SparkSession, sf: str, clip: bool = True) -> DataFrame:
         F.floor((us - day5 * 86_400_000_000 * CALL_DAYS) / 1000 / CALL_SCALE).alias("at_ms"),
         F.when(F.col("event_id") % 2 == 0, "user").otherwise("agent").alias("who"),
         (F.lit(600) + F.floor(F.col("value") * 20)).alias("dur_ms"), "event_type")
-    one, order = e, ["at_ms", "event_id"]
+    # a scan reads its rows twice, so one after another would read them four times: both speakers' next lines come with the numbers
+    speakers = ("user", "agent") if clip else ()
+    one = chunk_scan(e, ["call_id"], ["at_ms", "event_id"], CALL_CHUNK_MS, cumsum={"_nth": F.lit(1).cast("bigint")},
+                     next_after={f"_{who}": F.when(F.col("who") == who, F.col("at_ms")) for who in speakers})
     if clip:
-        one = chunk_scan(e, ["call_id", "who"], order, CALL_CHUNK_MS, lead={"_next": F.col("at_ms")})
-        one = one.withColumn("dur_ms", F.least("dur_ms", F.col("_next") - F.col("at_ms"))).drop("_next")
-    one = chunk_scan(one, ["call_id"], order, CALL_CHUNK_MS, cumsum={"_nth": F.lit(1).cast("bigint")})
+        following = F.when(F.col("who") == "user", F.col("_user")).otherwise(F.col("_agent"))
+        one = one.withColumn("dur_ms", F.least("dur_ms", following - F.col("at_ms")))
     n = (2 + F.col("event_id") % 7).cast("int")
     text = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
         F.col("event_type"), i.cast("string"))), " ")
